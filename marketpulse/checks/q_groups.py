@@ -20,9 +20,8 @@ from marketpulse.operators import scopes as Z
 from marketpulse.operators import strength as S
 
 G2_SPEC = ("trade_date:d group_id s1_return:f s2_breadth:f s4_relative:f s_body:f member_count:i "
-           "z_s1:f z_s2:f z_s4:f score:f rank_1d:i")
+           "z_s1:f z_s2:f z_s4:f score:f rank_1d:f0")
 
-# Scores that agree mathematically may differ in the last bit between engines.
 RANKED = "CASE WHEN {s} IS NOT NULL THEN rank() OVER (PARTITION BY trade_date ORDER BY round({s}, 9) DESC NULLS LAST) END"
 
 
@@ -94,7 +93,7 @@ def multi_ctes(bars="bars", members="cur", minimum=6, where="true"):
 
 
 G5_SPEC = ("trade_date:d group_id s1_return:f s2_breadth:f s4_relative:f member_count:i z_s1:f z_s2:f z_s4:f "
-           "score_1d:f score_5d:f score_20d:f score_final:f rank_1d:i")
+           "score_1d:f score_5d:f score_20d:f score_final:f rank_1d:f0")
 
 
 @query("g5_multi_period", G5_SPEC, "SELECT * FROM g5", **multi_ctes())
@@ -325,7 +324,7 @@ def _(t):
        sc=member_score_sql("gm"))
 def _(t):
     sc = P.score_members(S.quotes_by_group(I.indicators(t.ticks), t.current))
-    return P.member_ranking(sc.withColumn("score", F.round("score", 9)), "speed", True, 10)
+    return P.member_ranking(sc, "speed", True, 10)
 
 
 @query("i5_order_nulls", "pos:i code trade_date:d change_ratio:f",
@@ -417,10 +416,7 @@ def _(t):
        """SELECT * FROM (SELECT trade_date, row_number() OVER (PARTITION BY trade_date ORDER BY rank_1d NULLS LAST, group_id) AS pos,
           group_id, group_name, score_final FROM g5 JOIN grp USING (group_id)) WHERE pos <= 10""", **multi_ctes())
 def _(t):
-    strength = S.multi_period_strength(t.bars, t.current, precision=None).withColumn(
-        "score_final", F.round("score_final", 9))
-    ranked = strength.withColumn("rank_1d", R.min_rank("score_final", ["trade_date"]))
-    return K.rankings(ranked, t.groups, top_n=10)
+    return K.rankings(S.multi_period_strength(t.bars, t.current, precision=None), t.groups, top_n=10)
 
 
 @query("k8_groups_from_members", "code group_id weight:f",

@@ -261,8 +261,8 @@ def _(t):
     return ok.withColumn("saved", F.lit(True)).unionByName(rest.withColumn("saved", F.lit(False)))
 
 
-@query("b4_purge", "table deleted:i",
-       f"""SELECT 'group_dict' AS "table", count(*) FILTER (WHERE substr(group_id, 1, 3) NOT IN
+@query("b4_purge", "table_name deleted:i",
+       f"""SELECT 'group_dict' AS table_name, count(*) FILTER (WHERE substr(group_id, 1, 3) NOT IN
             ('700','881','883','884','885','886')) AS deleted FROM grp
        UNION ALL SELECT 'group_members', count(*) FILTER (WHERE substr(group_id, 1, 3) NOT IN
             ('700','881','883','884','885','886')) FROM members

@@ -1 +1,256 @@
-"""Jobs."""
+"""Calendar, jobs, digests and streams (L, M10-M12, B7, S)."""
+
+from pyspark.sql import functions as F
+
+from marketpulse.checks.q_groups import EXPO, classify_ctes, figures, hits_of, multi_ctes
+from marketpulse.checks.q_ingest import bar_payloads
+from marketpulse.checks.registry import query
+from marketpulse.checks.sql import ZT, scored, tick_states
+from marketpulse.functions import clock
+from marketpulse.operators import attribution as K
+from marketpulse.operators import intraday as I
+from marketpulse.operators import screening as H
+from marketpulse.operators import strength as S
+from marketpulse.operators import tradingdays as D
+from marketpulse.plans import jobs as J
+from marketpulse.sources import star
+from marketpulse.staging import shared_path
+from marketpulse.streaming import live as V
+
+_ORDERS = "SELECT DISTINCT CAST(o_orderdate AS DATE) AS d FROM orders UNION SELECT DISTINCT CAST(ts AS DATE) FROM events"
+
+
+def dates_of(t):
+    days = t.table("orders").select(F.to_date("o_orderdate").alias("d")).unionByName(
+        t.table("events").select(F.to_date("ts").alias("d")))
+    return days.distinct()
+
+
+@query("l1_trading_days", "trade_date:d", "SELECT * FROM cal WHERE year(trade_date) = 2024 AND trade_date >= DATE '2024-01-10'")
+def _(t):
+    return D.trading_days(D.trading_days(t.calendar, start="2024-01-10"), year=2024)
+
+
+@query("l2_is_trading_day", "d:d is_trading_day:b",
+       """SELECT d, CASE WHEN d IN (SELECT trade_date FROM cal) THEN true WHEN d BETWEEN (SELECT min(trade_date) FROM cal)
+          AND (SELECT max(trade_date) FROM cal) THEN false ELSE isodow(d) <= 5 END AS is_trading_day FROM dd""", dd=_ORDERS)
+def _(t):
+    return D.is_trading_day(dates_of(t), t.calendar)
+
+
+_LCAL = "SELECT DISTINCT CAST(l_shipdate AS DATE) AS trade_date FROM lineitem WHERE isodow(l_shipdate) <= 5 AND year(l_shipdate) < 2001"
+
+
+def long_calendar(t):
+    days = t.table("lineitem").select(F.to_date("l_shipdate").alias("trade_date")).distinct()
+    return days.filter((F.weekday("trade_date") < 5) & (F.year("trade_date") < 2001))
+
+
+@query("l3_latest_trading_day", "o_orderkey:i d:d latest_trading_day:d",
+       "SELECT o_orderkey, CAST(o_orderdate AS DATE) AS d, (SELECT max(trade_date) FROM lcal WHERE trade_date <= CAST(o_orderdate AS DATE)) AS latest_trading_day FROM orders",
+       lcal=_LCAL)
+def _(t):
+    dates = t.table("orders").select("o_orderkey", F.to_date("o_orderdate").alias("d"))
+    return D.latest_trading_day(dates, long_calendar(t))
+
+
+@query("l4_next_trading_day", "o_orderkey:i d:d next_trading_day:d",
+       """SELECT o_orderkey, d, coalesce((SELECT min(trade_date) FROM lcal WHERE trade_date >= d),
+          d + CASE isodow(d) WHEN 6 THEN 2 WHEN 7 THEN 1 ELSE 0 END) AS next_trading_day
+          FROM (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS d FROM orders)""", lcal=_LCAL)
+def _(t):
+    dates = t.table("orders").select("o_orderkey", F.to_date("o_orderdate").alias("d"))
+    return D.next_trading_day(dates, long_calendar(t))
+
+
+_PHASE = """SELECT event_id, CASE WHEN NOT td THEN 'closed' WHEN m < 555 THEN 'pre_open' WHEN m < 565 THEN 'auction' WHEN m < 570 THEN 'pre_morning'
+    WHEN m < 690 THEN 'morning' WHEN m < 780 THEN 'lunch' WHEN m < 900 THEN 'afternoon' ELSE 'closed' END AS phase, td
+    FROM (SELECT event_id, hour(ts) * 60 + minute(ts) AS m, CAST(ts AS DATE) IN (SELECT trade_date FROM cal) AS td FROM events)"""
+
+
+@query("l5_session_phase", "event_id:i phase next_open in_session:b gate:b",
+       """SELECT event_id, phase, CASE WHEN phase IN ('pre_open', 'closed') THEN '09:15' END AS next_open,
+          phase NOT IN ('pre_open', 'closed') AS in_session, td AND phase <> 'pre_open' AS gate FROM ph""", ph=_PHASE)
+def _(t):
+    events = t.table("events").select("event_id", "ts", F.to_date("ts").alias("d"))
+    marked = D.is_trading_day(events, t.calendar)
+    phased = marked.withColumn("phase", clock.session_phase("ts", "is_trading_day"))
+    return phased.select(
+        "event_id", "phase", clock.next_open_time("phase").alias("next_open"),
+        clock.in_session("phase").alias("in_session"), clock.stream_gate("phase", "is_trading_day").alias("gate"))
+
+
+@query("l7_calendar_from_bars", "trade_date:d", "SELECT DISTINCT trade_date FROM lbars")
+def _(t):
+    return D.calendar_from_bars(t.long_bars)
+
+
+_DAY = "2024-01-25"
+
+
+def _daily(t):
+    warehouse = shared_path(t.spark, "m10")
+    J.daily_run(t.spark, warehouse, bar_payloads(t.bars), t.members, t.groups, t.watched, _DAY, precision=None)
+    return warehouse
+
+
+@query("m10_daily_strength", "trade_date:d group_id member_count:i score_1d:f score_5d:f score_20d:f score_final:f",
+       "SELECT * FROM g5", **multi_ctes(members="wm", where=f"trade_date = DATE '{_DAY}'"))
+def _(t):
+    return t.spark.read.parquet(f"{_daily(t)}/{J.STRENGTH}")
+
+
+@query("m10_daily_attribution", "trade_date:d code total_return:f n:i")
+def _(t):
+    stored = t.spark.read.parquet(f"{_daily(t)}/{J.ATTRIBUTION}")
+    return K.attribution_from_json(stored).withColumn("n", F.size("attributions"))
+
+
+def _digest_ctes(members, groups):
+    return {
+        **classify_ctes(members, groups),
+        "gp": "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY trade_date ORDER BY hit_count DESC, hit_avg_change DESC, group_id) AS group_pos FROM cls) WHERE group_pos <= 12",
+        "dl": f"""SELECT * FROM (SELECT g.trade_date, g.group_pos, g.group_id, h.code, h.change_ratio,
+            row_number() OVER (PARTITION BY g.trade_date, g.group_id ORDER BY h.change_ratio DESC, h.code) AS hit_pos
+            FROM gp g JOIN (SELECT DISTINCT group_id, code FROM {members}) m USING (group_id)
+            JOIN hit h ON h.trade_date = g.trade_date AND h.code = m.code) WHERE hit_pos <= 8""",
+    }
+
+
+@query("b7_alert_digest", "trade_date:d scope group_pos:i group_id hit_pos:i code change_ratio:f",
+       "SELECT *, 'custom' AS scope FROM dl", **_digest_ctes("custom", "custom_names"))
+def _(t):
+    result = H.classify_hits(hits_of(t), t.custom, t.custom_names, "custom", digits=None)
+    return H.digest_lines(H.alert_digest(result, "custom"))
+
+
+@query("b7_error_digest", "trade_date:d scope error:s hit_total:f0 group_hit_count:f0",
+       """SELECT trade_date, 'market' AS scope, CAST(NULL AS VARCHAR) AS error, hit_total, group_hit_count FROM tot
+          UNION ALL SELECT trade_date, 'custom', 'ValueError: no groups', NULL, NULL FROM tot""", **classify_ctes("wm", "grp"))
+def _(t):
+    def broken():
+        raise ValueError("no groups")
+
+    def market():
+        return H.alert_digest(H.classify_hits(hits_of(t), t.scope, t.groups, "market", digits=None), "market")
+
+    return J.isolated_digests({"custom": broken, "market": market})
+
+
+_SLOT = {"hit": "SELECT trade_date, code, round(change_ratio, 2) AS change_ratio FROM bars WHERE change_ratio > 7 AND change_ratio < 12.1 "
+                "AND NOT coalesce(change_ratio >= CASE WHEN code LIKE '%.BJ' THEN 29.0 WHEN code LIKE '300%' OR code LIKE '688%' THEN 19.5 ELSE 9.8 END, false)"}
+
+
+@query("m11_alert_run", "trade_date:d scope pool_size:i hit_total:i group_hit_count:i",
+       """SELECT trade_date, scope, pool_size, hit_total, n AS group_hit_count FROM (
+          SELECT trade_date, 'custom' AS scope, count(*) AS pool_size, count(*) FILTER (WHERE code IN (SELECT code FROM custom)) AS hit_total FROM hit GROUP BY 1
+          UNION ALL SELECT trade_date, 'market', count(*), count(*) FILTER (WHERE code IN (SELECT code FROM wm)) FROM hit GROUP BY 1)
+          JOIN (SELECT trade_date, 'custom' AS scope, count(DISTINCT group_id) AS n FROM hit JOIN custom USING (code) GROUP BY 1
+          UNION ALL SELECT trade_date, 'market', count(DISTINCT group_id) FROM hit JOIN wm USING (code) GROUP BY 1) USING (trade_date, scope)""",
+       **_SLOT)
+def _(t):
+    named = t.bars.withColumn("name", F.col("code"))
+    return J.alert_run(named, t.custom, t.scope, t.groups, "1430")
+
+
+def m12(t):
+    strength = S.multi_period_strength(t.bars, t.current, precision=None)
+    return J.portfolio_report(t.holdings, t.current, strength, t.groups)
+
+
+_M12 = {**multi_ctes(), "expo": EXPO}
+
+
+@query("m12_portfolio_dominant", "group_id group_name exposure_weight:f2",
+       "SELECT group_id, group_name, exposure_weight FROM expo JOIN grp USING (group_id) ORDER BY exposure_weight DESC, group_id LIMIT 1", **_M12)
+def _(t):
+    return m12(t).dominant
+
+
+@query("m12_portfolio_alerts", "trade_date:d group_id rank_1d:i score_final:f exposure_weight:f2",
+       "SELECT * FROM g5 JOIN expo USING (group_id) WHERE rank_1d <= 10", **_M12)
+def _(t):
+    return m12(t).alerts
+
+
+@query("m12_portfolio_leaders", "trade_date:d group_id pos:i",
+       "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY trade_date ORDER BY rank_1d NULLS LAST, group_id) AS pos FROM g5) "
+       "WHERE pos <= 5 AND rank_1d <= 10", **_M12)
+def _(t):
+    return m12(t).leaders
+
+
+# ---- streams ------------------------------------------------------------------------
+
+
+def tick_stream(t):
+    schema = t.table("events").schema
+    events = t.spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(t.dir)
+    return star.ticks_of(events)
+
+
+def _drain(t, df, label):
+    """Run a stream over all available input and read what it wrote."""
+    out = shared_path(t.spark, label)
+    V.write_stream(df, out, shared_path(t.spark, f"{label}-log"), availableNow=True).awaitTermination()
+    return t.spark.read.schema(df.schema).parquet(out)
+
+
+_MINUTES = """SELECT code, strftime(date_trunc('minute', ts), '%Y-%m-%d %H:%M') AS minute, arg_min(price, seq) AS open, max(price) AS high,
+    min(price) AS low, arg_max(price, seq) AS close, sum(volume) AS volume, sum(price * volume) AS amount
+    FROM ticks WHERE phase = 'trading' GROUP BY code, date_trunc('minute', ts)"""
+MINUTE_SPEC = "code minute open:f high:f low:f close:f volume:f amount:f"
+
+
+def _minute_text(df):
+    return df.withColumn("minute", F.date_format("minute", "yyyy-MM-dd HH:mm"))
+
+
+@query("s1_minute_bars", MINUTE_SPEC, _MINUTES)
+def _(t):
+    return _minute_text(V.minute_bars(t.ticks, lateness=None))
+
+
+@query("s1_minute_bars_stream", MINUTE_SPEC,
+       f"SELECT * FROM ({_MINUTES} HAVING date_trunc('minute', ts) + INTERVAL 1 MINUTE <= (SELECT max(ts) FROM ticks) - INTERVAL 2 MINUTE)")
+def _(t):
+    return _minute_text(_drain(t, V.minute_bars(tick_stream(t)), "s1"))
+
+
+_STATE = {"ind": tick_states("ticks", "trade_date, code")}
+
+
+@query("s2_latest_state_stream", "trade_date:d code change_ratio:f speed:f body:f acceleration:f amount:f", "SELECT * FROM ind", **_STATE)
+def _(t):
+    state = V.LatestState(shared_path(t.spark, "s2"))
+    state.start(tick_stream(t), shared_path(t.spark, "s2-log"), availableNow=True).awaitTermination()
+    return I.indicators(t.spark.read.schema(t.ticks.schema).parquet(state.state_path))
+
+
+@query("s3_strength_stream", "trade_date:d group_id s1_return:f s2_breadth:f member_count:i score:f", "SELECT * FROM sc",
+       **_STATE, fig=figures("ind", "wm", body="q.body"), sc=scored("fig", "trade_date"))
+def _(t):
+    state = V.LatestState(shared_path(t.spark, "s3"), members=t.scope, precision=None)
+    state.start(tick_stream(t), shared_path(t.spark, "s3-log"), availableNow=True).awaitTermination()
+    return t.spark.read.parquet(state.strength_path())
+
+
+@query("s4_dedupe_stream", "code trade_date:d phase seq:i price:f", "SELECT * FROM ticks")
+def _(t):
+    return _drain(t, V.dedupe_ticks(tick_stream(t)), "s4")
+
+
+@query("s5_session_gate_stream", "code trade_date:d seq:i",
+       """SELECT code, trade_date, seq FROM ticks WHERE trade_date IN (SELECT trade_date FROM cal) AND hour(ts) * 60 + minute(ts) >= 555""")
+def _(t):
+    return _drain(t, V.gated(tick_stream(t), t.calendar), "s5")
+
+
+_SLIDE = """SELECT code, strftime(w, '%Y-%m-%d %H:%M') AS window_start, CASE WHEN a > 0 THEN (z - a) / a * 100 ELSE 0 END AS speed
+    FROM (SELECT code, date_trunc('minute', ts) - INTERVAL 1 MINUTE * k AS w, arg_min(price, seq) AS a, arg_max(price, seq) AS z
+          FROM ticks, (VALUES (0), (1), (2)) v(k) WHERE phase = 'trading' AND price > 0 GROUP BY 1, 2)"""
+
+
+@query("s6_sliding_speed", "code window_start speed:f", _SLIDE)
+def _(t):
+    return V.sliding_speed(t.ticks, lateness=None).withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd HH:mm"))

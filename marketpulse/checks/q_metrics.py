@@ -136,7 +136,7 @@ SUMMARY = """SELECT code, count(*) AS n_bars,
 
 
 @query("f16_bar_summary",
-       "code n_bars:i total_change:f last_change:f volume_ratio:f amplitude:f last_close:f last_amount:f dates",
+       "code n_bars:i total_change:f last_change:f volume_ratio:f amplitude:f last_close:f8 last_amount:f dates",
        SUMMARY.format(t="lbars"))
 def _(t):
     return T.bar_summary(t.long_bars).withColumn(
@@ -213,7 +213,7 @@ _MEMBERS_OF = "SELECT i.*, c.group_id FROM ind i JOIN cur c USING (code)"
        ind=tick_states("ticks", "trade_date, code"), gm=_MEMBERS_OF, sc=member_score_sql("gm"))
 def _(t):
     scored = P.score_members(S.quotes_by_group(I.indicators(t.ticks), t.current))
-    return R.spread_rank(scored.withColumn("__r", F.round("score", 9)), "__r", ["trade_date", "group_id"])
+    return R.spread_rank(scored, "score", ["trade_date", "group_id"])
 
 
 @query("h1_zscore_bounded", "trade_date:d group_id z:f",
@@ -224,13 +224,13 @@ def _(t):
     return means.select("trade_date", "group_id", R.zscore("m", ["trade_date"]).alias("z"))
 
 
-@query("h6_spread_rank", "code trade_date:d rank:i",
+@query("h6_spread_rank", "code trade_date:d rank:f0",
        "SELECT code, trade_date, CASE WHEN change_ratio IS NOT NULL THEN rank() OVER (PARTITION BY trade_date ORDER BY change_ratio DESC NULLS LAST) END AS rank FROM bars")
 def _(t):
     return R.spread_rank(t.bars, "change_ratio", ["trade_date"])
 
 
-@query("h7_tail_frame", "code trade_date:d pos:i close:f",
+@query("h7_tail_frame", "code trade_date:d pos:i close:f8",
        """SELECT * FROM (SELECT code, trade_date, row_number() OVER (PARTITION BY code ORDER BY trade_date DESC) AS pos, close FROM lbars)
           WHERE pos <= 30""")
 def _(t):

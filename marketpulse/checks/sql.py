@@ -61,7 +61,7 @@ def scored(source: str, by: str) -> str:
     """SELECT adding z-scores, score and rank to rows of group figures."""
     w = f"(PARTITION BY {by})"
     score = "CASE WHEN s1_return IS NOT NULL THEN 0.4 * z_s1 + 0.3 * z_s2 + 0.3 * z_s4 END"
-    return f"""SELECT *, CASE WHEN score IS NOT NULL THEN rank() OVER (PARTITION BY {by} ORDER BY score DESC NULLS LAST) END AS rank_1d
+    return f"""SELECT *, CASE WHEN score IS NOT NULL THEN rank() OVER (PARTITION BY {by} ORDER BY round(score, 9) DESC NULLS LAST) END AS rank_1d
       FROM (SELECT *, {score} AS score FROM (SELECT *, {z('s1_return', w)} AS z_s1, {z('s2_breadth', w)} AS z_s2,
       {z('s4_relative', w)} AS z_s4 FROM {source}))"""
 

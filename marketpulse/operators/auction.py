@@ -103,12 +103,15 @@ def auction_stats(factors: DataFrame, by: Sequence[str] = BY_DATE) -> DataFrame:
 
 def auction_top_stocks(scored: DataFrame, n: int = TOP_STOCKS, by: Sequence[str] = BY_DATE) -> DataFrame:
     """Strongest instruments of each session."""
-    return R.top_per_group(scored, by, [F.col("score").desc(), F.col("code").asc()], n)
+    return R.top_per_group(scored, by, [R.steady("score").desc(), F.col("code").asc()], n)
 
 
 def auction_group_lists(grouped: DataFrame, top: int = TOP_GROUPS, by: Sequence[str] = BY_DATE) -> DataFrame:
-    """The strongest ``top`` ordinary groups and all ZT groups, as sections."""
-    lane = R.Window.partitionBy(*by, "is_zt").orderBy(F.col("score").desc(), F.col("group_id").asc())
+    """The strongest ``top`` ordinary groups and all ZT groups, as sections.
+
+    Ordered by the score at four digits, so groups of the same members tie.
+    """
+    lane = R.Window.partitionBy(*by, "is_zt").orderBy(M.rounded("score", 4).desc(), F.col("group_id").asc())
     return (
         grouped.withColumn("pos", F.row_number().over(lane))
         .filter(F.col("is_zt") | (F.col("pos") <= top))
@@ -122,4 +125,4 @@ def auction_group_members(scored: DataFrame, members: DataFrame, picked: DataFra
     keys = [*by, "group_id"]
     joined = scored.join(members.select("group_id", "code").distinct(), "code").join(
         picked.select(*keys), keys, "left_semi")
-    return R.top_per_group(joined, keys, [F.col("score").desc(), F.col("code").asc()], n)
+    return R.top_per_group(joined, keys, [R.steady("score").desc(), F.col("code").asc()], n)

@@ -75,7 +75,7 @@ def _dense(days: pd.Series, vals: pd.Series, axis: np.ndarray) -> tuple[np.ndarr
     return x, mask
 
 
-def _block_sums(key, pdf: pd.DataFrame) -> pd.DataFrame:
+def _block_sums(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
     """Sum and count of the defined correlations between two blocks."""
     group_id, left_id, right_id = key
     axis = np.unique(np.concatenate([np.asarray(d) for d in pdf["days"]]))

@@ -260,11 +260,42 @@ def session_axes(ticks: DataFrame) -> DataFrame:
     return ticks.groupBy("trade_date").agg(F.array_sort(F.collect_set("hhmm")).alias("axis"))
 
 
-def replay_states(ticks: DataFrame) -> DataFrame:
-    """Indicator intervals for a replay: metrics, start and number of axis minutes."""
-    anchored = minute_states(ticks).join(session_anchors(ticks), list(KEY))
-    metrics = with_metrics(anchored)
+EXACT = "decimal(28,10)"
+STEP_SUMS = ("change", "body", "up", "n")
+
+
+def replay_steps(ticks: DataFrame) -> DataFrame:
+    """What each new state of an instrument changes in the sums it enters.
+
+    One row per (instrument, minute with a new state): the differences of
+    change, body, up flag and count against the instrument's previous state.
+    """
+    states = with_metrics(minute_states(ticks).drop("next_hhmm").join(session_anchors(ticks), list(KEY)))
+    valued = states.select(
+        *KEY, "hhmm", F.col("change_ratio").cast(EXACT).alias("change"), F.col("body").cast(EXACT).alias("body"),
+        (F.col("change_ratio") > 0).cast("int").alias("up"), F.lit(1).alias("n"))
+    ordered = Window.partitionBy(*KEY).orderBy("hhmm")
+
+    def step(c):
+        return (F.col(c) - F.coalesce(F.lag(c).over(ordered), F.lit(0))).alias(c)
+
+    return valued.select(*KEY, "hhmm", *[step(c) for c in STEP_SUMS])
+
+
+def running_totals(steps: DataFrame, keys: Sequence[str], axes: DataFrame) -> DataFrame:
+    """Totals of each key at every axis minute from its first step on.
+
+    Steps of a minute add up in a combining aggregate; the running sums see one
+    row per minute of a key, and each total is spread over the axis minutes
+    until the key's next step.
+    """
+    summed = steps.groupBy(*keys, "hhmm").agg(*[F.sum(c).alias(c) for c in STEP_SUMS])
+    ordered = Window.partitionBy(*keys).orderBy("hhmm")
+    so_far = ordered.rowsBetween(Window.unboundedPreceding, 0)
+    totals = summed.select(
+        *keys, "hhmm", F.lead("hhmm").over(ordered).alias("__next"),
+        *[F.sum(c).over(so_far).cast("double" if c in ("change", "body") else "long").alias(c) for c in STEP_SUMS])
     start = F.array_position("axis", F.col("hhmm"))
-    end = F.coalesce(F.array_position("axis", F.col("next_hhmm")), F.size("axis") + 1)
-    return metrics.join(session_axes(ticks), "trade_date").select(
-        *metrics.columns, F.slice("axis", start.cast("int"), (end - start).cast("int")).alias("minutes"))
+    end = F.coalesce(F.array_position("axis", F.col("__next")), F.size("axis") + 1)
+    minutes = F.slice("axis", start.cast("int"), (end - start).cast("int"))
+    return totals.join(axes, "trade_date").select(*keys, F.explode(minutes).alias("hhmm"), *STEP_SUMS)

@@ -47,9 +47,9 @@ def member_ranking(scored: DataFrame, key: str = "score", descending: bool = Tru
     """
     if key not in SORT_KEYS:
         raise ValueError(f"unsupported sort key: {key}")
-    first = F.col(key).desc() if descending else F.col(key).asc()
+    first = R.steady(key).desc() if descending else R.steady(key).asc()
     n = max(1, min(int(limit), MAX_RANKING))
-    return R.top_per_group(scored, by, [first, F.col("score").desc(), F.col("code").asc()], n)
+    return R.top_per_group(scored, by, [first, R.steady("score").desc(), F.col("code").asc()], n)
 
 
 def section_members(scored: DataFrame, picked: DataFrame, figure: str = "score", n: int = 10,

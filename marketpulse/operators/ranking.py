@@ -15,12 +15,22 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BUCKETS_PER_LOG = 64
+STEADY_DIGITS = 9
 
 
 def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def steady(value) -> Column:
+    """Sort key of a computed score, blind to the last bits.
+
+    Sums of doubles depend on the order in which partitions arrive; scores that
+    are equal in exact arithmetic must tie on every run.
+    """
+    return F.round(_col(value), STEADY_DIGITS)
+
+
 def _z(value, mean, std) -> Column:
     return F.when(std > 0, (value - mean) / std).otherwise(0.0)
 
@@ -59,7 +69,7 @@ def weighted(weights: dict[str, float], prefix: str = "z_") -> Column:
 
 def min_rank(value, by: Sequence[str]) -> Column:
     """H6: descending rank, ties share the smallest; unknown values get NULL."""
-    value = _col(value)
+    value = steady(value)
     rank = F.rank().over(Window.partitionBy(*by).orderBy(value.desc_nulls_last()))
     return F.when(value.isNotNull(), rank.cast("long"))
 
@@ -107,10 +117,11 @@ def spread_rank(df: DataFrame, value: str, by: Sequence[str], out: str = "rank")
     rank = 1 + rows with a greater value = rows in greater buckets + rows with
     greater values in the own bucket.
     """
-    ranks = _value_counts(df, value, by, descending=True).select(
-        *by, value, (F.col("__before") + 1).alias(out)
+    keyed = df.withColumn("__key", steady(value))
+    ranks = _value_counts(keyed, "__key", by, descending=True).select(
+        *by, "__key", (F.col("__before") + 1).alias(out)
     )
-    return df.join(ranks, [*by, value], "left").select(*df.columns, F.col(out).cast("long").alias(out))
+    return keyed.join(ranks, [*by, "__key"], "left").select(*df.columns, F.col(out).cast("long").alias(out))
 
 
 def exact_median(df: DataFrame, value: str, by: Sequence[str], out: str = "median") -> DataFrame:
@@ -152,8 +163,8 @@ def top_bottom(df: DataFrame, score: str, n: int, by: Sequence[str], tie: str =
     ``top`` or ``bottom`` and ``pos`` counts from 1 in it.
     """
     w = Window.partitionBy(*by)
-    best = F.row_number().over(w.orderBy(F.col(score).desc_nulls_last(), F.col(tie).asc()))
-    worst = F.row_number().over(w.orderBy(F.col(score).asc_nulls_first(), F.col(tie).desc()))
+    best = F.row_number().over(w.orderBy(steady(score).desc_nulls_last(), F.col(tie).asc()))
+    worst = F.row_number().over(w.orderBy(steady(score).asc_nulls_first(), F.col(tie).desc()))
     return sections(df.withColumn("__top", best).withColumn("__bottom", worst), n)
 
 
@@ -176,7 +187,7 @@ def sections(df: DataFrame, n: int, zt: str | None = None) -> DataFrame:
 
 def signed(column, section="section") -> Column:
     """Sort key, greatest first, that turns a figure round in bottom sections."""
-    column = _col(column)
+    column = steady(column)
     return F.when(_col(section) == "bottom", -column).otherwise(column)
 
 

@@ -36,6 +36,14 @@ def current_members(members: DataFrame) -> DataFrame:
     return latest_by(members, ["group_id"]).groupBy("group_id", "code").agg(F.min("name").alias("name"))
 
 
+def current_eligible(members: DataFrame, watched: DataFrame, lo: int = MONITORED_MIN,
+                     hi: int = MONITORED_MAX) -> DataFrame:
+    """C5/C6 with their members: current members of the selected groups of eligible size."""
+    current = current_members(keep_groups(members, watched))
+    sized = current.groupBy("group_id").agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n").between(lo, hi))
+    return keep_groups(current, sized)
+
+
 def group_sizes(members: DataFrame) -> DataFrame:
     """Member count of each group at its latest snapshot."""
     return latest_by(members, ["group_id"]).groupBy("group_id").agg(F.count(F.lit(1)).alias("member_count"))

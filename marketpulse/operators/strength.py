@@ -27,10 +27,11 @@ def latest_quotes(quotes: DataFrame, order: str, by: Sequence[str] = BY_DATE) ->
     return quotes.groupBy(*keys).agg(F.max_by(F.struct(*rest), order).alias("q")).select(*keys, "q.*")
 
 
-def quotes_by_group(quotes: DataFrame, members: DataFrame) -> DataFrame:
-    """One row per (group, quoted member). Duplicate pairs count once."""
-    pairs = members.select("group_id", "code").distinct()
-    return quotes.join(pairs, "code")
+def quotes_by_group(quotes: DataFrame, members: DataFrame, unique: bool = False) -> DataFrame:
+    """One row per (group, quoted member). Duplicate pairs count once (J1);
+    ``unique`` says there are none and saves the shuffle that removes them."""
+    pairs = members.select("group_id", "code")
+    return quotes.join(pairs if unique else pairs.distinct(), "code")
 
 
 def market_return(quotes: DataFrame, by: Sequence[str] = BY_DATE) -> DataFrame:
@@ -58,16 +59,25 @@ def aggregate_groups(joined: DataFrame, market: DataFrame, by: Sequence[str], mi
     ``member_count`` counts quoted members, also those whose change is unknown.
     """
     body = F.avg("body") if "body" in joined.columns else F.lit(None).cast("double")
+    figures = joined.groupBy(*by, "group_id").agg(
+        F.avg("change_ratio").alias("s1"),
+        F.count_if(F.col("change_ratio") > 0).alias("up"),
+        F.count(F.lit(1)).alias("member_count"),
+        body.alias("body_mean"),
+    )
+    return finish_figures(figures, market, by, min_members, precision)
+
+
+def finish_figures(figures: DataFrame, market: DataFrame, by: Sequence[str], min_members: int,
+                   precision: int | None) -> DataFrame:
+    """Group figures from sums: minimum size, breadth, relative strength, rounding.
+
+    ``market`` has one row per snapshot, dates or minutes of dates: no more than
+    a calendar's worth times 1,440, and small against any quotes it came from.
+    """
     return (
-        joined.groupBy(*by, "group_id")
-        .agg(
-            F.avg("change_ratio").alias("s1"),
-            F.count_if(F.col("change_ratio") > 0).alias("up"),
-            F.count(F.lit(1)).alias("member_count"),
-            body.alias("body_mean"),
-        )
-        .filter(F.col("member_count") >= min_members)
-        .join(F.broadcast(market), list(by))
+        figures.filter(F.col("member_count") >= min_members)
+        .join(market, list(by))
         .select(
             *by, "group_id",
             M.rounded("s1", precision).alias("s1_return"),
@@ -82,7 +92,7 @@ def aggregate_groups(joined: DataFrame, market: DataFrame, by: Sequence[str], mi
 def group_strength(quotes: DataFrame, members: DataFrame, by: Sequence[str] = BY_DATE,
                    weights: dict[str, float] | None = None, min_members: int = MIN_MEMBERS,
                    precision: int | None = 4, order: str | None = None,
-                   groups: DataFrame | None = None) -> DataFrame:
+                   groups: DataFrame | None = None, unique: bool = False) -> DataFrame:
     """Strength of every group in every snapshot, ranked inside the snapshot.
 
     ``quotes`` carry ``by``, ``code``, ``change_ratio`` and optionally ``body``;
@@ -96,7 +106,7 @@ def group_strength(quotes: DataFrame, members: DataFrame, by: Sequence[str] = BY
         quotes = latest_quotes(quotes, order, by)
     if groups is not None:
         members = members.join(groups.select("group_id"), "group_id", "left_semi")
-    joined = quotes_by_group(quotes, members)
+    joined = quotes_by_group(quotes, members, unique)
     return score_groups(
         aggregate_groups(joined, market, by, min_members, precision), by, weights or SCORE_WEIGHTS
     )
@@ -160,7 +170,7 @@ def multi_period_strength(bars: DataFrame, members: DataFrame,
         quotes_by_group(returns, members).groupBy("trade_date", "group_id")
         .agg(F.count(F.lit(1)).alias("member_count"), *figures)
         .filter(F.col("member_count") >= min_members)
-        .join(F.broadcast(market), "trade_date")
+        .join(market, "trade_date")
     )
 
     def parts(k):

@@ -79,14 +79,14 @@ def purge_foreign(tables: dict[str, DataFrame]) -> tuple[dict[str, DataFrame], D
     """B4 over a set of tables: by group prefix where a table has groups only,
     by instrument suffix where it has instruments.
 
-    Returns the kept frames and ``(table, deleted)`` counts.
+    Returns the kept frames and ``(table_name, deleted)`` counts.
     """
     kept, counts = {}, None
     for name, df in tables.items():
         scope = C.is_domestic_group() if "group_id" in df.columns and name != "instrument_group_map" \
             else C.is_domestic()
         kept[name], deleted = purge(df, scope)
-        row = deleted.select(F.lit(name).alias("table"), "deleted")
+        row = deleted.select(F.lit(name).alias("table_name"), "deleted")
         counts = row if counts is None else counts.unionByName(row)
     return kept, counts
 

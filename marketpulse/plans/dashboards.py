@@ -19,7 +19,7 @@ from marketpulse.operators import ranking as R
 from marketpulse.operators import strength as S
 from marketpulse.operators.attribution import rankings, with_names
 from marketpulse.operators.latest import prev_volume, resolve_snapshot, with_member_names
-from marketpulse.operators.scopes import current_members, keep_groups, keep_members, monitorable
+from marketpulse.operators.scopes import current_eligible, keep_groups, keep_members
 from marketpulse.staging import stage
 
 BY_DATE = ["trade_date"]
@@ -40,7 +40,7 @@ class Dashboard:
 
 def watched_members(members: DataFrame, watched: DataFrame) -> DataFrame:
     """Current members of the selected groups of eligible size."""
-    return current_members(keep_groups(members, keep_groups(watched, monitorable(members))))
+    return current_eligible(members, watched)
 
 
 def scoped_ticks(ticks: DataFrame, members: DataFrame) -> DataFrame:
@@ -49,15 +49,21 @@ def scoped_ticks(ticks: DataFrame, members: DataFrame) -> DataFrame:
     return keep_members(ticks, members.select("code").distinct())
 
 
+def _scope(members: DataFrame, *columns: str) -> DataFrame:
+    """Distinct memberships in scope, staged: every section joins them, and their
+    real size lets Spark decide about broadcasting."""
+    return stage(members.select("group_id", *columns, "code").distinct(), "scope")
+
+
 def _member_lists(quotes: DataFrame, members: DataFrame, picked: DataFrame) -> DataFrame:
     """Ten best members of top and ZT groups, ten worst (worst first) of bottom ones.
 
     Only groups that are shown get their members scored.
     """
     shown = picked.select(*GROUP_KEYS).distinct()
-    joined = S.quotes_by_group(quotes, members).join(shown, GROUP_KEYS, "left_semi")
+    joined = S.quotes_by_group(quotes, members, unique=True).join(shown, GROUP_KEYS, "left_semi")
     lists = P.section_members(P.score_members(joined), picked, n=TOP_MEMBERS)
-    return lists.withColumn("limit", F.col("limit_score").cast("int"))
+    return lists.withColumn("limit_up", F.col("limit_score").cast("int"))
 
 
 def _quotes(ticks: DataFrame, snapshots: DataFrame) -> DataFrame:
@@ -72,10 +78,11 @@ def intraday_dashboard(ticks: DataFrame, members: DataFrame, groups: DataFrame,
 
     ``members``: (group_id, code) in scope; ``names``: dated members for names.
     """
+    members = _scope(members)
     ticks = scoped_ticks(ticks, members)
     snapshots = resolve_snapshot(ticks, at)
     quotes = _quotes(ticks, snapshots)
-    strength = S.group_strength(quotes, members, min_members=min_members, precision=precision)
+    strength = S.group_strength(quotes, members, min_members=min_members, precision=precision, unique=True)
     picked = R.top_bottom(strength, "score", top_n, BY_DATE).join(
         groups.select("group_id", "group_name"), "group_id", "left"
     ).withColumn("group_name", F.coalesce("group_name", "group_id"))
@@ -92,11 +99,12 @@ def custom_dashboard(ticks: DataFrame, custom: DataFrame, names: DataFrame, at:
     are scored without a minimum, in a cross-section of their own
     (``cross_section`` says which one); the ZT section is ordered by mean change.
     """
+    custom = _scope(custom, "group_name")
     groups = P.custom_group_names(custom)
     ticks = scoped_ticks(ticks, custom)
     snapshots = resolve_snapshot(ticks, at)
     quotes = _quotes(ticks, snapshots)
-    joined = S.quotes_by_group(quotes, custom)
+    joined = S.quotes_by_group(quotes, custom, unique=True)
     figures = stage(with_names(
         S.aggregate_groups(joined, S.market_return(quotes), BY_DATE, 0, precision), groups), "custom_figures")
     enough = F.col("member_count") >= min_members
@@ -105,7 +113,7 @@ def custom_dashboard(ticks: DataFrame, custom: DataFrame, names: DataFrame, at:
     lanes = ranked.withColumn("cross_section", F.lit("all")).unionByName(
         small.withColumn("cross_section", F.lit("zt"))).withColumn("zt", C.is_zt())
     lane = R.Window.partitionBy(*BY_DATE, "zt")
-    figure = F.when(F.col("zt"), F.col("s1_return")).otherwise(F.col("score"))
+    figure = R.steady(F.when(F.col("zt"), F.col("s1_return")).otherwise(F.col("score")))
     placed = (
         lanes.withColumn("__top", F.row_number().over(lane.orderBy(figure.desc_nulls_last(), F.col("group_id").asc())))
         .withColumn("__bottom", F.row_number().over(lane.orderBy(figure.asc_nulls_first(), F.col("group_id").desc())))
@@ -121,8 +129,9 @@ def custom_dashboard(ticks: DataFrame, custom: DataFrame, names: DataFrame, at:
 def member_drilldown(ticks: DataFrame, members: DataFrame, names: DataFrame, at: str | None = None,
                      key: str = "score", descending: bool = True, limit: int = 10) -> DataFrame:
     """M3: every group's members by a chosen figure, with the group's quoted count."""
-    quotes = I.indicators(scoped_ticks(ticks, members), at, resolve=False)
-    scored = P.score_members(S.quotes_by_group(quotes, members))
+    members = _scope(members)
+    quotes = stage(I.indicators(scoped_ticks(ticks, members), at, resolve=False), "indicators")
+    scored = stage(P.score_members(S.quotes_by_group(quotes, members, unique=True)), "member_scores")
     counts = scored.groupBy(*GROUP_KEYS).agg(F.count(F.lit(1)).alias("member_count"))
     picked = P.member_ranking(scored, key, descending, limit).join(counts, GROUP_KEYS)
     return with_member_names(picked, names)
@@ -140,6 +149,7 @@ def auction_dashboard(ticks: DataFrame, bars: DataFrame, custom: DataFrame, name
                       at: str | None = None, top_stock: int = A.TOP_STOCKS,
                       top_group: int = A.TOP_GROUPS) -> AuctionBoard:
     """M4: strongest instruments and user groups of the opening auction."""
+    custom = _scope(custom, "group_name")
     groups = P.custom_group_names(custom)
     pool = scoped_ticks(ticks, custom)
     factors = A.auction_factors(pool, prev_volume(bars), at)
@@ -153,7 +163,7 @@ def auction_dashboard(ticks: DataFrame, bars: DataFrame, custom: DataFrame, name
             .na.fill(False, ["holding"])
         )
 
-    grouped = A.auction_groups(scored, custom, groups)
+    grouped = stage(A.auction_groups(scored, custom, groups), "auction_groups")
     listed = A.auction_group_lists(grouped, top_group)
     return AuctionBoard(
         decorated(A.auction_top_stocks(scored, top_stock)), listed,
@@ -178,8 +188,8 @@ def history_dashboard(bars: DataFrame, members: DataFrame, groups: DataFrame, na
         zt = F.lit(False)
     else:
         ranked = with_names(S.daily_group_rank(quotes, members), groups)
-        best = [F.col("score").desc(), F.col("group_id").asc()]
-        worst = [F.col("score").asc(), F.col("group_id").desc()]
+        best = [R.steady("score").desc(), F.col("group_id").asc()]
+        worst = [R.steady("score").asc(), F.col("group_id").desc()]
         zt = C.is_zt()
     lane = R.Window.partitionBy(*BY_DATE, "zt")
     placed = (
@@ -197,16 +207,20 @@ def replay(ticks: DataFrame, members: DataFrame, min_members: int = S.MIN_MEMBER
            precision: int | None = 4) -> DataFrame:
     """M9: strength and rank of every group at every minute of every session.
 
-    Instrument states are intervals; memberships are joined to the intervals
-    and only then spread over the minutes they cover, straight into the partial
-    aggregate. Equals ``intraday_dashboard``'s strength at each minute.
+    An instrument changes a group's sums only in the minutes it ticks, so only
+    those changes are joined with memberships and summed; running totals per
+    group (at most 1,440 rows a session) give the sums at any minute. Changes
+    are exact decimals, so totals do not drift and equal what
+    ``intraday_dashboard`` aggregates at that minute.
     """
     by = ["trade_date", "hhmm"]
-    states = stage(I.replay_states(scoped_ticks(ticks, members)), "replay_states")
-    lean = states.select("trade_date", "code", "change_ratio", "body", "minutes")
-    market = lean.select("trade_date", F.explode("minutes").alias("hhmm"), "change_ratio").groupBy(*by).agg(
-        F.avg("change_ratio").alias("market_return"))
-    joined = S.quotes_by_group(lean, members).select(
-        "trade_date", "group_id", "change_ratio", "body", F.explode("minutes").alias("hhmm"))
-    figures = S.aggregate_groups(joined, market, by, min_members, precision)
+    members = _scope(members)
+    ticks = scoped_ticks(ticks, members)
+    steps = stage(I.replay_steps(ticks), "replay_steps")
+    axes = I.session_axes(ticks)
+    market = I.running_totals(steps, BY_DATE, axes).select(*by, (F.col("change") / F.col("n")).alias("market_return"))
+    totals = I.running_totals(S.quotes_by_group(steps, members, unique=True), GROUP_KEYS, axes)
+    figures = S.finish_figures(totals.select(
+        *by, "group_id", (F.col("change") / F.col("n")).alias("s1"), "up", F.col("n").alias("member_count"),
+        (F.col("body") / F.col("n")).alias("body_mean")), market, by, min_members, precision)
     return S.score_groups(figures, by, S.SCORE_WEIGHTS)

@@ -60,7 +60,7 @@ def unpack_bars(raw: DataFrame, column: str = "payload") -> DataFrame:
 
 
 def _names_list(text: Column) -> Column:
-    return F.filter(F.transform(F.split(text, ","), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(text, ","), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def unpack_group_map(raw: DataFrame, column: str = "payload") -> DataFrame:
@@ -193,7 +193,7 @@ def _answer(raw: Column) -> Column:
 
 
 def _cells(line: Column) -> Column:
-    return F.transform(F.split(F.regexp_replace(line, r"^\|+|\|+$", ""), r"\|"), F.trim)
+    return F.transform(F.split(F.regexp_replace(line, r"^\|+|\|+$", ""), r"\|"), lambda x: F.trim(x))
 
 
 def parse_screen_tables(responses: DataFrame, key: str = "response_id", column: str = "payload") -> tuple[DataFrame, DataFrame]:
