@@ -18,6 +18,7 @@ from marketpulse.operators import rotation as O
 from marketpulse.operators import screening as H
 from marketpulse.operators import scopes as Z
 from marketpulse.operators import strength as S
+from marketpulse.staging import stage
 
 G2_SPEC = ("trade_date:d group_id s1_return:f s2_breadth:f s4_relative:f s_body:f member_count:i "
            "z_s1:f z_s2:f z_s4:f score:f rank_1d:f0")
@@ -212,7 +213,7 @@ def bench_index(t):
 
 @query("g12_rotation_stats", ROT_SPEC, ROT_SQL, **ROT_CTES)
 def _(t):
-    return O.rotation_stats(t.bars, t.custom, t.custom_names, bench_index(t))
+    return O.rotation_stats(O.valid_summaries(t.bars), t.custom, t.custom_names, O.benchmark(bench_index(t)))
 
 
 @query("g13_benchmark", "bench_total:f bench_last:f", "SELECT * FROM bench", **ROT_CTES)
@@ -323,7 +324,7 @@ def _(t):
        ind=tick_states("ticks", "trade_date, code"), gm="SELECT i.*, c.group_id FROM ind i JOIN cur c USING (code)",
        sc=member_score_sql("gm"))
 def _(t):
-    sc = P.score_members(S.quotes_by_group(I.indicators(t.ticks), t.current))
+    sc = P.score_members(stage(S.quotes_by_group(I.indicators(t.ticks), t.current), "quotes"))
     return P.member_ranking(sc, "speed", True, 10)
 
 
@@ -351,7 +352,7 @@ def _(t):
        """SELECT * FROM (SELECT c.group_id, row_number() OVER (PARTITION BY c.group_id ORDER BY last_change DESC, code) AS pos, code, last_change
           FROM summ JOIN custom c USING (code) JOIN elig e ON e.group_id = c.group_id) WHERE pos <= 3""", **ROT_CTES)
 def _(t):
-    return O.rotation_leaders(t.bars, t.custom, t.custom_names)
+    return O.rotation_leaders(O.valid_summaries(t.bars), t.custom, t.custom_names)
 
 
 # ---- attribution -------------------------------------------------------------------

@@ -13,6 +13,7 @@ from marketpulse.operators import members as P
 from marketpulse.operators import ranking as R
 from marketpulse.operators import returns as T
 from marketpulse.operators import strength as S
+from marketpulse.staging import stage
 
 IND_SPEC = "trade_date:d code change_ratio:f speed:f body:f acceleration:f amount:f"
 
@@ -212,8 +213,8 @@ _MEMBERS_OF = "SELECT i.*, c.group_id FROM ind i JOIN cur c USING (code)"
        "SELECT *, rank() OVER (PARTITION BY trade_date, group_id ORDER BY round(score, 9) DESC) AS rank FROM sc",
        ind=tick_states("ticks", "trade_date, code"), gm=_MEMBERS_OF, sc=member_score_sql("gm"))
 def _(t):
-    scored = P.score_members(S.quotes_by_group(I.indicators(t.ticks), t.current))
-    return R.spread_rank(scored, "score", ["trade_date", "group_id"])
+    quotes = stage(S.quotes_by_group(I.indicators(t.ticks), t.current), "quotes")
+    return P.score_members(quotes, rank=True)
 
 
 @query("h1_zscore_bounded", "trade_date:d group_id z:f",

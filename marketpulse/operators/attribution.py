@@ -10,6 +10,7 @@ from marketpulse.functions import measures as M
 from marketpulse.operators.latest import latest_by
 from marketpulse.operators.scopes import in_pool, keep_groups
 from marketpulse.operators.strength import group_return
+from marketpulse.staging import stage
 
 ENTRY = "array<struct<group_id:string,weight:double,group_return:double,contribution:double,contrib_pct:double>>"
 TOTAL_EPSILON = 1e-8
@@ -93,10 +94,11 @@ def daily_attribution(bars: DataFrame, members: DataFrame, groups: DataFrame, sc
         bars = bars.join(F.broadcast(dates.select("trade_date")), "trade_date", "left_semi")
     days = bars.select(F.collect_set("trade_date")).scalar()
     scoped = members if scope is None else keep_groups(members, scope)
-    returns = group_return(
+    returns = stage(group_return(
         bars.filter(F.col("change_ratio").isNotNull()).select("trade_date", "code", "change_ratio"),
-        latest_by(scoped, ["group_id"]))
-    weights = equal_weights(groups_from_members(members, groups, pool).drop("weight"), keys=("code",))
+        latest_by(scoped, ["group_id"])), "group_returns")
+    belongs = stage(groups_from_members(members, groups, pool).drop("weight"), "instrument_groups")
+    weights = equal_weights(belongs, keys=("code",))
     universe = latest_by(members, []).filter(C.is_domestic()).select("code").distinct()
     quotes = bars.select("trade_date", "code", "change_ratio", F.lit(True).alias("__quoted"))
     instruments = (

@@ -11,6 +11,7 @@ from marketpulse.functions import codes as C
 from marketpulse.functions import measures as M
 from marketpulse.operators import ranking as R
 from marketpulse.schemas import PRE_MARKET
+from marketpulse.staging import stage
 
 # Factor weights, thresholds, base minute of the trend, list sizes.
 AUCTION_WEIGHTS = {"gap_pct": 0.35, "vol_ratio": 0.30, "order_imbalance": 0.20, "trend_score": 0.15}
@@ -70,7 +71,8 @@ def auction_groups(scored: DataFrame, members: DataFrame, groups: DataFrame,
     """Mean gap, exact median volume ratio, mean imbalance, share of strong
     gaps and mean score per group, with the ZT flag."""
     keys = [*by, "group_id"]
-    joined = scored.join(members.select("group_id", "code").distinct(), "code")
+    joined = stage(scored.join(members.select("group_id", "code").distinct(), "code").select(
+        *keys, "gap_pct", "vol_ratio", "order_imbalance", "score"), "auction_members")
     means = joined.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("member_count"),
         F.avg("gap_pct").alias("sector_gap"),

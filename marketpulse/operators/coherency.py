@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marketpulse.functions import measures as M
+from marketpulse.staging import stage
 
 BLOCK = 256
 FLAT = 1e-12  # variance of a pair's common sessions below this share counts as none
@@ -38,16 +39,22 @@ def _series(bars: DataFrame) -> DataFrame:
 
 
 def _with_group_shape(series: DataFrame, members: DataFrame) -> DataFrame:
-    """Member series with ``complete`` and the block counts of their group."""
+    """Member series with ``complete`` and the block counts of their group.
+
+    The flags per membership are staged without the series, which join again.
+    """
     joined = series.join(members.select("group_id", "code").distinct(), "code")
     sessions = (
         joined.select("group_id", F.explode("days").alias("day")).distinct()
         .groupBy("group_id").agg(F.count(F.lit(1)).alias("n_days"))
     )
-    marked = joined.join(sessions, "group_id").withColumn("complete", F.size("days") == F.col("n_days"))
-    shape = marked.groupBy("group_id").agg(
+    flags = stage(
+        joined.select("group_id", "code", F.size("days").alias("n")).join(sessions, "group_id")
+        .select("group_id", "code", (F.col("n") == F.col("n_days")).alias("complete")),
+        "coherency_flags")
+    shape = flags.groupBy("group_id").agg(
         F.count_if("complete").alias("n_complete"), F.count_if(~F.col("complete")).alias("n_gapped"))
-    return marked.join(shape, "group_id")
+    return flags.join(shape, "group_id").join(series, "code")
 
 
 def _complete_pairs(shaped: DataFrame) -> DataFrame:
@@ -131,7 +138,7 @@ def coherency(bars: DataFrame, members: DataFrame, digits: int | None = 4, block
     Repeated bars of a day are averaged first; undefined pairs are left out;
     groups without a defined pair get 0.
     """
-    shaped = _with_group_shape(_series(bars), members)
+    shaped = _with_group_shape(stage(_series(bars), "coherency_series"), members)
     sums = _complete_pairs(shaped).unionByName(_gapped_pairs(shaped, block)).groupBy("group_id").agg(
         F.sum("corr_sum").alias("corr_sum"), F.sum("pairs").alias("pairs"))
     mean = F.when(F.col("pairs") > 0, F.col("corr_sum") / F.col("pairs"))

@@ -135,8 +135,10 @@ def compact_ticks(ticks: DataFrame) -> DataFrame:
 
     First and last auction point, first trading point and the last three
     trading points: at most six rows per instrument and session. Compacting a
-    union of compacted parts gives the same rows, so this is a mergeable state.
+    union of compacted parts gives the same rows, repeated ticks or not, so this
+    is a mergeable state.
     """
+    ticks = ticks.dropDuplicates([*KEY, "phase", "seq"])
     spec = Window.partitionBy(*KEY, "phase")
     up = F.row_number().over(spec.orderBy(F.col("seq").asc()))
     down = F.row_number().over(spec.orderBy(F.col("hhmm").desc(), F.col("seq").desc()))
@@ -260,7 +262,7 @@ def session_axes(ticks: DataFrame) -> DataFrame:
     return ticks.groupBy("trade_date").agg(F.array_sort(F.collect_set("hhmm")).alias("axis"))
 
 
-EXACT = "decimal(28,10)"
+EXACT = "decimal(32,14)"
 STEP_SUMS = ("change", "body", "up", "n")
 
 

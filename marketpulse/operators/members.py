@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from marketpulse.functions import codes as C
 from marketpulse.operators import ranking as R
+from marketpulse.staging import stage
 
 # Member score weights; sort keys and limit bounds of a ranking.
 MEMBER_WEIGHTS = {"change_ratio": 0.4, "speed": 0.2, "body": 0.2}
@@ -36,7 +37,7 @@ def score_members(df: DataFrame, by: Sequence[str] = ("trade_date", "group_id"),
     scored = R.standardise(filled, list(weights), by).withColumn(
         "score", R.weighted(weights) + F.lit(limit_weight) * F.col("limit_score")
     )
-    return R.spread_rank(scored, "score", by) if rank else scored
+    return R.spread_rank(stage(scored, "member_scores"), "score", by) if rank else scored
 
 
 def member_ranking(scored: DataFrame, key: str = "score", descending: bool = True, limit: int = 10,

@@ -14,6 +14,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from marketpulse.staging import stage
+
 BUCKETS_PER_LOG = 64
 STEADY_DIGITS = 9
 
@@ -85,12 +87,16 @@ def value_bucket(value) -> Column:
 
 
 def _value_counts(df: DataFrame, value: str, by: Sequence[str], descending: bool) -> DataFrame:
-    """Distinct values per key with ``__n`` equal rows and ``__before`` rows ahead."""
-    counts = (
+    """Distinct values per key with ``__n`` equal rows and ``__before`` rows ahead.
+
+    The counted values are staged: two passes over them must not mean two
+    passes over the input.
+    """
+    counts = stage(
         df.filter(F.col(value).isNotNull())
         .groupBy(*by, value).agg(F.count(F.lit(1)).alias("__n"))
-        .withColumn("__b", value_bucket(value))
-    )
+        .withColumn("__b", value_bucket(value)),
+        "value_counts")
 
     def ordered(c):
         return F.col(c).desc() if descending else F.col(c).asc()
@@ -127,7 +133,7 @@ def spread_rank(df: DataFrame, value: str, by: Sequence[str], out: str = "rank")
 def exact_median(df: DataFrame, value: str, by: Sequence[str], out: str = "median") -> DataFrame:
     """Exact median per key (even counts interpolate) without gathering a key."""
     values = _value_counts(df, value, by, descending=False)
-    totals = df.filter(F.col(value).isNotNull()).groupBy(*by).agg(F.count(F.lit(1)).alias("__total"))
+    totals = values.groupBy(*by).agg(F.sum("__n").alias("__total"))
     low, high = F.expr("(__total - 1) div 2"), F.expr("__total div 2")
     end = F.col("__before") + F.col("__n")
     covers_low = (F.col("__before") <= low) & (low < end)

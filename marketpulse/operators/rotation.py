@@ -29,17 +29,21 @@ def relative_label(change, bench, band: float = BAND) -> Column:
     return F.when(change > bench + band, STRONGER).when(change < bench - band, WEAKER).otherwise(IN_LINE)
 
 
-def rotation_stats(bars: DataFrame, members: DataFrame, groups: DataFrame, index_bars: DataFrame,
-                   n: int = BARS) -> DataFrame:
+def valid_summaries(bars: DataFrame, n: int = BARS) -> DataFrame:
+    """Figures of the last n bars of every instrument with at least two."""
+    return bar_summary(bars, n).filter(F.col("n_bars") >= 2).select(
+        "code", "total_change", "last_change", "volume_ratio")
+
+
+def rotation_stats(valid: DataFrame, members: DataFrame, groups: DataFrame, bench: DataFrame) -> DataFrame:
     """Group means over the last n bars of each member, versus the benchmark.
 
+    ``valid`` are the ``valid_summaries`` and ``bench`` the ``benchmark``.
     Members with fewer than two bars are skipped; groups left without members
     are absent.
     """
     eligible = rotation_groups(members, groups)
-    valid = bar_summary(bars, n).filter(F.col("n_bars") >= 2)
     pairs = members.select("group_id", "code").distinct().join(eligible, "group_id")
-    bench = benchmark(index_bars, n)
     return (
         valid.join(pairs, "code").groupBy("group_id", "group_name", "member_count")
         .agg(
@@ -54,11 +58,10 @@ def rotation_stats(bars: DataFrame, members: DataFrame, groups: DataFrame, index
     )
 
 
-def rotation_leaders(bars: DataFrame, members: DataFrame, groups: DataFrame, n: int = BARS,
+def rotation_leaders(valid: DataFrame, members: DataFrame, groups: DataFrame,
                      leaders: int = LEADERS) -> DataFrame:
     """Members with the greatest last change in every rotation group."""
     eligible = rotation_groups(members, groups).select("group_id")
-    valid = bar_summary(bars, n).filter(F.col("n_bars") >= 2).select("code", "last_change")
     pairs = members.select("group_id", "code").distinct().join(eligible, "group_id", "left_semi")
-    return top_per_group(valid.join(pairs, "code"), ["group_id"],
+    return top_per_group(valid.select("code", "last_change").join(pairs, "code"), ["group_id"],
                          [F.col("last_change").desc(), F.col("code").asc()], leaders)

@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marketpulse.functions import measures as M
-from marketpulse.operators.ranking import top_per_group
+from marketpulse.operators.ranking import steady, top_per_group
+from marketpulse.staging import stage
 
 # Digest caps and the structured conditions of the alert slots.
 MAX_GROUPS, MAX_HITS = 12, 8
@@ -42,13 +43,13 @@ def classify_hits(hits: DataFrame, members: DataFrame, groups: DataFrame, scope:
     if scope not in ("custom", "market"):
         raise ValueError(f"unknown scope: {scope}")
     keys = [*by, "group_id"]
-    pairs = members.select("group_id", "code").distinct()
+    pairs = stage(members.select("group_id", "code").distinct(), "scope")
     sizes = pairs.groupBy("group_id").agg(F.count(F.lit(1)).alias("member_total"))
     change = M.rounded(F.coalesce("change_ratio", F.lit(0.0)), digits)
-    unique = (
+    unique = stage(
         hits.groupBy(*by, "code").agg(F.max(F.struct("change_ratio", "name")).alias("h"))
-        .select(*by, "code", "h.*")
-    )
+        .select(*by, "code", "h.*"),
+        "hits")
     in_groups = unique.withColumn("change_ratio", change).join(pairs, "code")
     classified = (
         in_groups.groupBy(*keys)
@@ -80,8 +81,8 @@ def alert_digest(result: Classification, scope: str, max_groups: int = MAX_GROUP
     an ``error`` gives a row of its own (see ``error_digest``).
     """
     keys = [*by, "group_id"]
-    order = [F.col("hit_count").desc(), F.col("hit_avg_change").desc(), F.col("group_id").asc()]
-    picked = top_per_group(result.groups, by, order, max_groups, "group_pos")
+    order = [F.col("hit_count").desc(), steady("hit_avg_change").desc(), F.col("group_id").asc()]
+    picked = stage(top_per_group(result.groups, by, order, max_groups, "group_pos"), "digest_groups")
     shown = top_per_group(
         result.hits.join(picked.select(*keys), keys, "left_semi"), keys,
         [F.col("change_ratio").desc(), F.col("code").asc()], max_hits, "hit_pos",

@@ -120,11 +120,10 @@ def merge_periods(base: DataFrame, others: dict[str, DataFrame], keys: Sequence[
     return base
 
 
-def _fuse(base: DataFrame, others: dict[str, DataFrame], by: Sequence[str],
-          period_weights: dict[str, float]) -> DataFrame:
-    merged = merge_periods(base.withColumnRenamed("score", "score_1d"), others, [*by, "group_id"])
+def _fuse(base: DataFrame, others: dict[str, DataFrame], period_weights: dict[str, float]) -> DataFrame:
+    merged = merge_periods(base.withColumnRenamed("score", "score_1d"), others, ["group_id"])
     final = R.weighted(period_weights, prefix="score_")
-    return merged.withColumn("score_final", final).withColumn("rank_1d", R.min_rank("score_final", by))
+    return merged.withColumn("score_final", final).withColumn("rank_1d", R.min_rank("score_final", BY_DATE))
 
 
 def multi_period_strength_on(bars: DataFrame, members: DataFrame, date,
@@ -136,15 +135,12 @@ def multi_period_strength_on(bars: DataFrame, members: DataFrame, date,
     day = F.lit(date).cast("date")
 
     def strength(quotes):
-        same_day = quotes.withColumn("trade_date", day)
-        return group_strength(same_day, members, weights=weights, min_members=min_members, precision=precision)
-
-    base = strength(bars.filter(F.col("trade_date") == day).select("trade_date", "code", "change_ratio"))
-    others = {
-        f"score_{n}d": strength(period_return(bars, date, n).select("trade_date", "code", "change_ratio"))
-        for n in (5, 20)
-    }
-    return _fuse(base, others, BY_DATE, period_weights or PERIOD_WEIGHTS)
+        return group_strength(quotes.select("trade_date", "code", "change_ratio"), members, weights=weights,
+                              min_members=min_members, precision=precision)
+
+    base = strength(bars.filter(F.col("trade_date") == day))
+    others = {f"score_{n}d": strength(period_return(bars, date, n)) for n in (5, 20)}
+    return _fuse(base, others, period_weights or PERIOD_WEIGHTS)
 
 
 def multi_period_strength(bars: DataFrame, members: DataFrame,

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marketpulse.functions import codes as C
+from marketpulse.staging import exists
 
 
 def upsert(existing: DataFrame, new: DataFrame, keys: Sequence[str], order: str | None = None) -> DataFrame:
@@ -50,7 +51,7 @@ def replace_partition(df: DataFrame, path: str, partition: str = "trade_date") -
 def upsert_table(spark: SparkSession, path: str, new: DataFrame, keys: Sequence[str], partition: str,
                  order: str | None = None) -> None:
     """B1 on a stored table: only the partitions ``new`` touches are rewritten."""
-    if table_exists(spark, path):
+    if exists(spark, path):
         touched = new.select(partition).distinct()
         stored = spark.read.schema(new.schema).parquet(path)
         current = stored.join(F.broadcast(touched), partition, "left_semi").select(*new.columns)
@@ -59,16 +60,6 @@ def upsert_table(spark: SparkSession, path: str, new: DataFrame, keys: Sequence[
     write_partitions(upsert(current, new, keys, order), path, partition)
 
 
-def table_exists(spark: SparkSession, path: str) -> bool:
-    from pyspark.errors import AnalysisException
-
-    try:
-        spark.read.parquet(path)
-        return True
-    except AnalysisException:
-        return False
-
-
 def purge(df: DataFrame, in_scope: Column) -> tuple[DataFrame, DataFrame]:
     """Rows to keep, and a one-row count of the rows to delete."""
     keep = F.coalesce(in_scope, F.lit(False))

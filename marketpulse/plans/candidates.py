@@ -14,6 +14,7 @@ from marketpulse.operators import rotation as O
 from marketpulse.operators import scopes as Z
 from marketpulse.operators.latest import as_of_date
 from marketpulse.operators.strength import group_mean_return
+from marketpulse.staging import stage
 
 
 def _frame(groups: DataFrame, members: DataFrame, watched: DataFrame) -> DataFrame:
@@ -35,9 +36,9 @@ def candidates(bars: DataFrame, members: DataFrame, groups: DataFrame, watched:
     """
     if date is None:
         date = as_of_date(bars).first()[0]
-    frame = _frame(groups, members, watched)
-    scope = Z.keep_groups(Z.current_members(members), frame)
-    fresh = Z.new_listings(bars, date)
+    frame = stage(_frame(groups, members, watched), "candidates")
+    scope = stage(Z.keep_groups(Z.current_members(members), frame).select("group_id", "code"), "scope")
+    fresh = stage(Z.new_listings(bars, date), "new_listings")
     last = T.last_bar(bars, date).select(
         "code", "change_ratio", M.pct_change("close", "open").alias("body"))
     day = (
@@ -71,6 +72,7 @@ def quoted_candidates(quotes: DataFrame, index_bars: DataFrame, members: DataFra
     last history bar.
     """
     frame = _frame(groups, members, watched)
+    index_bars = stage(index_bars.select("code", "trade_date", "open", "close", "change_ratio"), "index_bars")
 
     def q(name):
         return F.try_element_at("quote", F.lit(name))
@@ -106,7 +108,9 @@ class RotationTable:
 
 def rotation_table(bars: DataFrame, custom: DataFrame, index_bars: DataFrame, n: int = O.BARS) -> RotationTable:
     """M8: user groups over the last n bars against the benchmark, with leaders."""
+    custom = stage(custom.select("group_id", "group_name", "code").distinct(), "scope")
     groups = custom.select("group_id", "group_name").distinct()
+    valid = stage(O.valid_summaries(bars, n), "bar_summaries")
+    bench = stage(O.benchmark(index_bars, n), "benchmark")
     return RotationTable(
-        O.rotation_stats(bars, custom, groups, index_bars, n),
-        O.rotation_leaders(bars, custom, groups, n), O.benchmark(index_bars, n))
+        O.rotation_stats(valid, custom, groups, bench), O.rotation_leaders(valid, custom, groups), bench)

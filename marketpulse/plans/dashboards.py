@@ -179,6 +179,7 @@ def history_dashboard(bars: DataFrame, members: DataFrame, groups: DataFrame, na
     ZT groups form a section of their own). ``members``: (group_id, code) of
     the scope.
     """
+    members = _scope(members)
     quotes = bars.select("trade_date", "code", "change_ratio")
     if strength is not None:
         scope = members.select("group_id").distinct()
@@ -198,7 +199,7 @@ def history_dashboard(bars: DataFrame, members: DataFrame, groups: DataFrame, na
         .withColumn("__bottom", F.row_number().over(lane.orderBy(*worst)))
         .select("trade_date", "group_id", "group_name", "score", "s1_return", "s2_breadth", "zt", "__top", "__bottom")
     )
-    picked = R.sections(placed, top_n, zt="zt").drop("zt")
+    picked = stage(R.sections(placed, top_n, zt="zt").drop("zt"), "history_groups")
     lists = with_member_names(P.history_members(quotes, members, picked, TOP_MEMBERS), names)
     return Dashboard(picked, lists, S.market_stats(quotes, members, known_only=True))
 

@@ -26,12 +26,35 @@ def shared_dir(spark: SparkSession) -> str:
     return _fallback[app]
 
 
+def app_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/marketpulse/{spark.sparkContext.applicationId}"
+
+
 def shared_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/marketpulse/{label}-{uuid.uuid4().hex}"
+    return f"{app_dir(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def _file_system(spark: SparkSession, path: str):
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target, target.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    target, fs = _file_system(spark, path)
+    return fs.exists(target)
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete what this application staged; frames read from it become invalid."""
+    target, fs = _file_system(spark, app_dir(spark))
+    fs.delete(target, True)
 
 
 def stage(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and return a frame reading it."""
+    """Write ``df`` once to the shared folder and return a frame reading it.
+
+    Meant for frames that are small next to their inputs and read several times.
+    """
     path = shared_path(df.sparkSession, label)
     df.write.mode("errorifexists").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -13,8 +13,9 @@ from marketpulse.functions import measures as M
 from marketpulse.operators.intraday import compact_ticks, indicators
 from marketpulse.operators.screening import SLOTS
 from marketpulse.operators.strength import MIN_MEMBERS, group_strength
-from marketpulse.operators.upkeep import table_exists, write_partitions
+from marketpulse.operators.upkeep import write_partitions
 from marketpulse.schemas import TRADING
+from marketpulse.staging import exists
 
 LATENESS = "2 minutes"
 
@@ -108,7 +109,7 @@ class LatestState:
             stored = spark.read.schema(batch.schema).parquet(self.state_path)
             return stored.join(touched, "trade_date", "left_semi").select(*batch.columns)
 
-        known = table_exists(spark, self.state_path)
+        known = exists(spark, self.state_path)
         merged = touched_state().unionByName(batch) if known else batch
         write_partitions(compact_ticks(merged), self.state_path, "trade_date")
         if self.members is not None:
