@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from marketpulse.checks.q_groups import EXPO, classify_ctes, figures, hits_of, multi_ctes
+from marketpulse.checks.q_groups import ATTR_CTES, EXPO, classify_ctes, figures, hits_of, multi_ctes
 from marketpulse.checks.q_ingest import bar_payloads
 from marketpulse.checks.registry import query
 from marketpulse.checks.sql import ZT, scored, tick_states
@@ -14,6 +14,7 @@ from marketpulse.operators import strength as S
 from marketpulse.operators import tradingdays as D
 from marketpulse.plans import jobs as J
 from marketpulse.sources import star
+from marketpulse.sources.ingest import read_bars
 from marketpulse.staging import shared_path
 from marketpulse.streaming import live as V
 
@@ -100,7 +101,9 @@ def _(t):
     return t.spark.read.parquet(f"{_daily(t)}/{J.STRENGTH}")
 
 
-@query("m10_daily_attribution", "trade_date:d code total_return:f n:i")
+@query("m10_daily_attribution", "trade_date:d code total_return:f top_group n:i",
+       f"""SELECT trade_date, code, max(total_return) AS total_return, max(group_id) FILTER (pos = 1) AS top_group, count(*) AS n
+           FROM att WHERE trade_date = DATE '{_DAY}' GROUP BY 1, 2""", **ATTR_CTES)
 def _(t):
     stored = t.spark.read.parquet(f"{_daily(t)}/{J.ATTRIBUTION}")
     return K.attribution_from_json(stored).withColumn("n", F.size("attributions"))
@@ -211,6 +214,14 @@ def _(t):
     return _minute_text(V.minute_bars(t.ticks, lateness=None))
 
 
+@query("a9_minute_bars", MINUTE_SPEC,
+       f"SELECT * FROM ({_MINUTES}) WHERE minute BETWEEN '2024-01-10 00:00' AND '2024-01-12 12:00'")
+def _(t):
+    path = shared_path(t.spark, "a9-minutes")
+    V.minute_bars(t.ticks, lateness=None).write.parquet(path)
+    return _minute_text(read_bars(t.spark, path, "2024-01-10 00:00:00", "2024-01-12 12:00:00", column="minute"))
+
+
 @query("s1_minute_bars_stream", MINUTE_SPEC,
        f"SELECT * FROM ({_MINUTES} HAVING date_trunc('minute', ts) + INTERVAL 1 MINUTE <= (SELECT max(ts) FROM ticks) - INTERVAL 2 MINUTE)")
 def _(t):
@@ -246,6 +257,27 @@ def _(t):
     return _drain(t, V.gated(tick_stream(t), t.calendar), "s5")
 
 
+def _slot_totals(slot, at):
+    return f"""SELECT '{slot}' AS slot, trade_date, count(*) AS pool_size, count(*) FILTER (WHERE code IN (SELECT code FROM wm)) AS hit_total
+        FROM ({tick_states(f"(SELECT * FROM ticks WHERE hhmm <= '{at}')", "trade_date, code")}) WHERE change_ratio > 7 GROUP BY trade_date"""
+
+
+@query("s5_slot_alerts_stream", "slot trade_date:d pool_size:i hit_total:i",
+       " UNION ALL ".join(_slot_totals(s, c["time"]) for s, c in H.SLOTS.items()))
+def _(t):
+    out = shared_path(t.spark, "s5-slots")
+
+    def run(batch, slot):
+        quotes = I.indicators(batch, H.SLOTS[slot]["time"], resolve=False).filter(F.col("change_ratio") > 7)
+        hits = quotes.withColumn("name", F.col("code"))
+        return H.classify_hits(hits, t.scope, t.groups, "market").totals
+
+    query_ = tick_stream(t).writeStream.foreachBatch(V.slot_alerts(run, out)).option(
+        "checkpointLocation", shared_path(t.spark, "s5-slots-log")).trigger(availableNow=True).start()
+    query_.awaitTermination()
+    return t.spark.read.parquet(out)
+
+
 _SLIDE = """SELECT code, strftime(w, '%Y-%m-%d %H:%M') AS window_start, CASE WHEN a > 0 THEN (z - a) / a * 100 ELSE 0 END AS speed
     FROM (SELECT code, date_trunc('minute', ts) - INTERVAL 1 MINUTE * k AS w, arg_min(price, seq) AS a, arg_max(price, seq) AS z
           FROM ticks, (VALUES (0), (1), (2)) v(k) WHERE phase = 'trading' AND price > 0 GROUP BY 1, 2)"""

@@ -6,8 +6,10 @@ from marketpulse.checks.registry import query
 from marketpulse.checks.sql import DOMESTIC, ZT, limit_up
 from marketpulse.functions import codes as C
 from marketpulse.functions import measures as M
+from marketpulse.operators import attribution as K
 from marketpulse.operators import latest as L
 from marketpulse.operators import scopes as Z
+from marketpulse.operators import strength as S
 from marketpulse.operators import tradingdays as D
 
 _PREFIX = "substr(group_id, 1, 3)"
@@ -204,6 +206,18 @@ def _(t):
     return L.available_dates(t.bars)
 
 
+@query("e1_quotes_by_group", "trade_date:d group_id code change_ratio:f",
+       "SELECT trade_date, group_id, code, change_ratio FROM bars JOIN cur USING (code)")
+def _(t):
+    return S.quotes_by_group(t.bars, t.current)
+
+
+@query("e2_with_names", "group_id code group_name",
+       "SELECT group_id, code, group_name FROM members JOIN grp USING (group_id) WHERE kind <> 'region' AND as_of = DATE '2024-01-15'")
+def _(t):
+    return K.with_names(L.snapshot(t.members, "2024-01-15"), t.groups.filter("kind <> 'region'"))
+
+
 @query("e6_keep_members", "code trade_date:d close:f",
        "SELECT code, trade_date, close FROM bars WHERE code IN (SELECT code FROM wm)")
 def _(t):

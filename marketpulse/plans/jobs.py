@@ -14,6 +14,7 @@ from marketpulse.operators import upkeep as U
 from marketpulse.operators.scopes import current_members, effective_scope, keep_groups, screen
 from marketpulse.operators.strength import MIN_MEMBERS, multi_period_strength_on
 from marketpulse.sources.ingest import unpack_bars
+from marketpulse.staging import stage
 
 BARS, STRENGTH, ATTRIBUTION = "daily_bars", "group_strength", "instrument_attribution"
 
@@ -28,8 +29,8 @@ def daily_run(spark: SparkSession, warehouse: str, raw_bars: DataFrame, members:
     """
     U.upsert_table(spark, f"{warehouse}/{BARS}", unpack_bars(raw_bars), ["code", "trade_date"], "trade_date")
     bars = spark.read.parquet(f"{warehouse}/{BARS}")
-    scope = effective_scope(watched, groups, members, pool)
-    scoped = current_members(keep_groups(members, scope))
+    scope = stage(effective_scope(watched, groups, members, pool), "scope_groups")
+    scoped = stage(current_members(keep_groups(members, scope)), "scope")
     strength = multi_period_strength_on(bars, scoped, date, min_members=min_members, precision=precision)
     U.replace_partition(strength, f"{warehouse}/{STRENGTH}")
     day = bars.filter(F.col("trade_date") == F.lit(date).cast("date"))
