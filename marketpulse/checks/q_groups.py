@@ -181,7 +181,7 @@ def _(t):
 AUCTION_GROUPS = f"""SELECT trade_date, group_id, max(n.group_name) AS group_name, count(*) AS member_count, avg(gap_pct) AS sector_gap, median(vol_ratio) AS sector_vol_ratio,
     avg(order_imbalance) AS sector_imbalance, avg(CASE WHEN gap_pct >= 2 THEN 1 ELSE 0 END) AS coherency, avg(score) AS score,
     bool_or({ZT}) AS is_zt FROM asc_ s JOIN custom c USING (code) JOIN custom_names n USING (group_id) GROUP BY 1, 2""".replace("upper(trim(group_name))", "upper(trim(n.group_name))")
-AG_SPEC = ("trade_date:d group_id group_name member_count:i sector_gap:f sector_vol_ratio:f sector_imbalance:f "
+AG_SPEC = ("trade_date:d group_id group_name member_count:i sector_gap:f sector_vol_ratio:f sector_imbalance:f8 "
            "coherency:f score:f is_zt:b")
 
 
@@ -328,17 +328,9 @@ def _(t):
     return P.member_ranking(sc, "speed", True, 10)
 
 
-@query("i5_order_nulls", "pos:i code trade_date:d change_ratio:f",
-       "SELECT row_number() OVER (ORDER BY coalesce(change_ratio, 0) DESC, code, trade_date) AS pos, * FROM bars "
-       "QUALIFY pos <= 100")
+@query("i5_order_nulls", "code trade_date:d change_ratio:f", "SELECT code, trade_date, change_ratio FROM bars")
 def _(t):
-    top = R.order_nulls(t.bars, "change_ratio", True, "zero", ["code", "trade_date"]).limit(100)
-    return R.top_per_group(top.withColumn("k", F.lit(1)), ["k"], [
-        F.coalesce("change_ratio", F.lit(0)).desc(), F.col("code").asc(), F.col("trade_date").asc()], 100)
-
-
-_CUT = "SELECT s.*, c.group_id, row_number() OVER (PARTITION BY trade_date, c.group_id ORDER BY score DESC, code) AS pos " \
-       "FROM asc_ s JOIN custom c USING (code)"
+    return R.order_nulls(t.bars, "change_ratio", True, "zero", ["code", "trade_date"])
 
 
 @query("i7_auction_top_stocks", "trade_date:d pos:i code score:f",

@@ -176,7 +176,7 @@ def _(t):
     return L.prev_volume(t.bars, "2024-01-15")
 
 
-@query("d7_last_bar", "code trade_date:d close:f change_ratio:f",
+@query("d7_last_bar", "code trade_date:d close:f8 change_ratio:f",
        """SELECT code, trade_date, close, change_ratio FROM (SELECT *, row_number() OVER (PARTITION BY code ORDER BY trade_date DESC) AS rn
           FROM lbars WHERE trade_date <= DATE '1999-06-30') WHERE rn = 1""")
 def _(t):

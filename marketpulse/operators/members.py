@@ -37,7 +37,10 @@ def score_members(df: DataFrame, by: Sequence[str] = ("trade_date", "group_id"),
     scored = R.standardise(filled, list(weights), by).withColumn(
         "score", R.weighted(weights) + F.lit(limit_weight) * F.col("limit_score")
     )
-    return R.spread_rank(stage(scored, "member_scores"), "score", by) if rank else scored
+    if not rank:
+        return scored
+    keyed = stage(scored.withColumn("__key", R.steady("score")), "member_scores")
+    return R.spread_rank(keyed, "__key", by).drop("__key")
 
 
 def member_ranking(scored: DataFrame, key: str = "score", descending: bool = True, limit: int = 10,

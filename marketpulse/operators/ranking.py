@@ -118,16 +118,15 @@ def _value_counts(df: DataFrame, value: str, by: Sequence[str], descending: bool
 
 
 def spread_rank(df: DataFrame, value: str, by: Sequence[str], out: str = "rank") -> DataFrame:
-    """H6 over keys of any size: same result as ``min_rank``, no key in one task.
+    """H6 over keys of any size: descending rank of exact values, no key in one task.
 
     rank = 1 + rows with a greater value = rows in greater buckets + rows with
     greater values in the own bucket.
     """
-    keyed = df.withColumn("__key", steady(value))
-    ranks = _value_counts(keyed, "__key", by, descending=True).select(
-        *by, "__key", (F.col("__before") + 1).alias(out)
+    ranks = _value_counts(df, value, by, descending=True).select(
+        *by, value, (F.col("__before") + 1).alias(out)
     )
-    return keyed.join(ranks, [*by, "__key"], "left").select(*df.columns, F.col(out).cast("long").alias(out))
+    return df.join(ranks, [*by, value], "left").select(*df.columns, F.col(out).cast("long").alias(out))
 
 
 def exact_median(df: DataFrame, value: str, by: Sequence[str], out: str = "median") -> DataFrame:

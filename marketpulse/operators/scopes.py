@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from marketpulse.functions import codes as C
 from marketpulse.functions import measures as M
 from marketpulse.operators.latest import latest_by
+from marketpulse.staging import stage
 
 # Eligibility bounds.
 MONITORED_MIN, MONITORED_MAX = 10, 500
@@ -79,13 +80,13 @@ def effective_scope(watched: DataFrame, groups: DataFrame, members: DataFrame,
                     pool: DataFrame | None = None) -> DataFrame:
     """Selected groups of eligible size, else the fallback pool.
 
-    Emptiness is a one-row aggregate joined to the (small) dictionary, so the
-    choice stays inside one plan.
+    Only the selected groups' members are counted; the short list of eligible
+    ones is staged and its emptiness decides.
     """
-    chosen = keep_groups(watched.select("group_id").distinct(), monitorable(members))
-    fallback = in_pool(groups.filter(C.is_domestic_group()), pool).select("group_id").distinct()
-    n_chosen = chosen.select(F.count(F.lit(1))).scalar()
-    return chosen.unionByName(fallback.filter(n_chosen == 0))
+    chosen = stage(monitorable(keep_groups(members, watched)).select("group_id"), "selected_groups")
+    if not chosen.isEmpty():
+        return chosen
+    return in_pool(groups.filter(C.is_domestic_group()), pool).select("group_id").distinct()
 
 
 def universe(kind: str, members: DataFrame, groups: DataFrame | None = None) -> DataFrame:
