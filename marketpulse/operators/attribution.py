@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketpulse.functions import codes as C
@@ -34,17 +34,31 @@ def groups_from_members(members: DataFrame, groups: DataFrame, pool: DataFrame |
 
 
 def attribute(instruments: DataFrame, weights: DataFrame, group_returns: DataFrame,
-              digits: int | None = 4) -> DataFrame:
+              digits: int | None = 4, days: Column | None = None) -> DataFrame:
     """K1: one row per (snapshot, instrument) with its ordered contributions.
 
     ``instruments``: trade_date, code, total_return. ``weights``: code,
     group_id, weight. ``group_returns``: trade_date, group_id, group_return;
     missing ones count as 0. Shares divide the rounded contribution by the
-    signed total of unrounded ones, 0 when the total vanishes. The array of an
-    instrument holds its groups, so the dictionary bounds it.
+    signed total of unrounded ones, 0 when the total vanishes. ``days`` may
+    give the array of dates in ``instruments`` when the caller knows it.
+
+    The contributions depend on an instrument's groups and weights only, not on
+    the instrument: they are worked out once per date and distinct profile of
+    groups, and instruments take their profile's. Arrays hold the groups of one
+    instrument, so the dictionary bounds them.
     """
+    if days is None:
+        days = instruments.select(F.collect_set("trade_date")).scalar()
+    profiles = stage(
+        weights.groupBy("code")
+        .agg(F.array_sort(F.collect_list(F.struct("group_id", "weight"))).alias("profile"))
+        .withColumn("profile_id", F.md5(F.to_json("profile"))),
+        "profiles")
+    distinct = profiles.dropDuplicates(["profile_id"]).select("profile_id", "profile").withColumn("__days", days)
     rows = (
-        instruments.join(weights, "code")
+        distinct.select("profile_id", "profile", F.explode("__days").alias("trade_date"))
+        .select("trade_date", "profile_id", F.inline("profile"))
         .join(group_returns, ["trade_date", "group_id"], "left")
         .withColumn("group_return", F.coalesce("group_return", F.lit(0.0)))
         .withColumn("raw", F.col("weight") * F.col("group_return"))
@@ -55,11 +69,8 @@ def attribute(instruments: DataFrame, weights: DataFrame, group_returns: DataFra
         M.rounded("weight", digits).alias("weight"),
         M.rounded("group_return", digits).alias("group_return"), "contribution",
     )
-    per_code = rows.groupBy("trade_date", "code").agg(
-        F.first("total_return").alias("total_return"),
-        F.sum("raw").alias("total"),
-        F.array_sort(F.collect_list(entry)).alias("entries"),
-    )
+    per_profile = rows.groupBy("trade_date", "profile_id").agg(
+        F.sum("raw").alias("total"), F.array_sort(F.collect_list(entry)).alias("entries"))
     total = F.col("total")
 
     def finish(e):
@@ -70,13 +81,17 @@ def attribute(instruments: DataFrame, weights: DataFrame, group_returns: DataFra
             F.coalesce(pct, F.lit(0.0)).alias("contrib_pct"),
         )
 
-    return per_code.select(
-        "trade_date", "code", "total_return", F.transform("entries", finish).alias("attributions")
-    ).select(
-        "trade_date", "code", "total_return",
-        F.col("attributions")[0]["group_id"].alias("top_group"),
-        F.col("attributions")[0]["contrib_pct"].alias("top_contrib_pct"),
-        "attributions",
+    detail = stage(per_profile.select(
+        "trade_date", "profile_id", F.transform("entries", finish).alias("attributions")), "profile_attributions")
+    return (
+        instruments.join(profiles.select("code", "profile_id"), "code")
+        .join(detail, ["trade_date", "profile_id"])
+        .select(
+            "trade_date", "code", "total_return",
+            F.col("attributions")[0]["group_id"].alias("top_group"),
+            F.col("attributions")[0]["contrib_pct"].alias("top_contrib_pct"),
+            "attributions",
+        )
     )
 
 
@@ -97,8 +112,7 @@ def daily_attribution(bars: DataFrame, members: DataFrame, groups: DataFrame, sc
     returns = stage(group_return(
         bars.filter(F.col("change_ratio").isNotNull()).select("trade_date", "code", "change_ratio"),
         latest_by(scoped, ["group_id"])), "group_returns")
-    belongs = stage(groups_from_members(members, groups, pool).drop("weight"), "instrument_groups")
-    weights = equal_weights(belongs, keys=("code",))
+    weights = equal_weights(groups_from_members(members, groups, pool).drop("weight"), keys=("code",))
     universe = latest_by(members, []).filter(C.is_domestic()).select("code").distinct()
     quotes = bars.select("trade_date", "code", "change_ratio", F.lit(True).alias("__quoted"))
     instruments = (
@@ -108,7 +122,7 @@ def daily_attribution(bars: DataFrame, members: DataFrame, groups: DataFrame, sc
         .filter(F.col("change_ratio").isNotNull() | F.col("__quoted").isNull())
         .select("trade_date", "code", F.coalesce("change_ratio", F.lit(0.0)).alias("total_return"))
     )
-    return attribute(instruments, weights, returns, digits)
+    return attribute(instruments, weights, returns, digits, days)
 
 
 def attribution_rows(attributed: DataFrame) -> DataFrame:
