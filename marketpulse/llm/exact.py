@@ -4,7 +4,8 @@ Pass one builds a blocked Bloom filter with two registers per 64-bit word: bits
 set by some row, and bits set again by another. Pass two looks every row up in
 the second register. A row whose bits were not all set twice has no equal and
 passes straight through; only the others shuffle and are grouped exactly, so
-false positives cost time and never change the result.
+false positives cost time and never change the result. The groups are written once, so
+that the join back to the rows may split a group that holds many of them.
 
 The filter takes ``BITS_PER_ROW`` bits per row and is broadcast, which is why a
 filter covers at most ``ROWS_PER_FILTER`` rows (128 MB). A larger input is first
@@ -109,7 +110,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         alone = marked.where("NOT maybe").select("id", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"),
                                                  F.lit(True).alias("kept"), "sha")
         again = marked.where("maybe").select("id", "sha", rank.alias("rank"))
-        best = again.groupBy("sha").agg(F.min("rank").alias("best"), F.count("*").alias("group_size"))
+        best = stage(again.groupBy("sha").agg(F.min("rank").alias("best"), F.count("*").alias("group_size")), "exact-groups")
         out += [alone, again.join(best, "sha").select("id", F.col("best")["id"].alias("keep_id"), "group_size",
                                                       (F.col("rank") == F.col("best")).alias("kept"), "sha")]
     return reduce(DataFrame.union, out).select(F.col("id").alias(id_col), "keep_id", "group_size",
