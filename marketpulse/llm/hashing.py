@@ -6,6 +6,7 @@ import numpy as np
 import pyarrow as pa
 
 MULT = np.uint64(0x9E3779B97F4A7C15)
+PADDED = 400  # grams that hold nothing, added to every text
 
 
 class Grams:
@@ -36,13 +37,13 @@ class Grams:
             self.counts += np.maximum(self.lengths - size + 1, 0)
 
     def means(self, weights: np.ndarray) -> np.ndarray:
-        """Mean weight of each text's grams; 0 without grams."""
+        """Summed weights of each text's grams over their number, which is padded so that short texts stay near 0."""
         out = np.zeros(len(self.lengths))
         some = np.flatnonzero(self.lengths)
         if len(some):
             for b in self.buckets:
                 out[some] += np.add.reduceat(weights[b], self.starts[some])
-        return out / np.maximum(self.counts, 1)
+        return out / (self.counts + PADDED)
 
     def sums(self, weights: np.ndarray) -> np.ndarray:
         """Sum of the weights of each text's distinct grams."""
@@ -56,7 +57,7 @@ class Grams:
         for i, (s, n) in enumerate(zip(self.starts, self.lengths)):
             found, times = np.unique(np.concatenate([b[s:s + n] for b in self.buckets]), return_counts=True)
             keep = found > 0
-            yield found[keep], times[keep] / max(1, self.counts[i])
+            yield found[keep], times[keep] / (self.counts[i] + PADDED)
 
 
 class Sparse:
@@ -85,9 +86,9 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 def fit_logistic(x: Sparse, y: np.ndarray, weight: np.ndarray, steps: int = 120, ridge: float = 1e-3,
-                 rate: float = 0.05) -> tuple[np.ndarray, float]:
+                 rate: float = 0.05, fixed_bias: float | None = None) -> tuple[np.ndarray, float]:
     """Weights and bias for soft labels ``y``: Adam steps on the ridged, weighted mean loss."""
-    w, bias = np.zeros(x.width), 0.0
+    w, bias = np.zeros(x.width), fixed_bias or 0.0
     weight = weight / weight.sum()
     m, v, mb, vb = np.zeros(x.width), np.zeros(x.width), 0.0, 0.0
     for t in range(1, steps + 1):
@@ -97,7 +98,8 @@ def fit_logistic(x: Sparse, y: np.ndarray, weight: np.ndarray, steps: int = 120,
         mb, vb = 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb * gb
         step = rate * np.sqrt(1 - 0.99 ** t) / (1 - 0.9 ** t)
         w -= step * m / (np.sqrt(v) + 1e-6)
-        bias -= 2 * step * mb / (np.sqrt(vb) + 1e-8)
+        if fixed_bias is None:
+            bias -= 2 * step * mb / (np.sqrt(vb) + 1e-8)
     return w, bias
 
 
