@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketpulse.llm import divergence, exact, mixing, packing, quality, toxicity, warc
+from marketpulse.llm import divergence, exact, mixing, neardup, packing, quality, toxicity, warc
 from marketpulse.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -94,3 +94,8 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = quality.quality_scores(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return scored.select("doc_id", "quality_score", (F.col("quality_score") >= quality.THRESHOLD).alias("kept"))
+
+
+@query
+def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_groups(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
