@@ -1,8 +1,10 @@
-"""Connected components of an edge list by alternating large-star and small-star steps."""
+"""Connected components of an edge list, and of the links within inverted lists."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marketpulse.staging import stage
@@ -13,7 +15,7 @@ def _mark(edges: DataFrame) -> tuple:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """Rows (node, root) for every node of the edges (a, b); root is its component's smallest node.
+    """Alternating large-star and small-star steps: rows (node, root) for every node of the edges (a, b); root is its component's smallest node.
 
     Every step joins each node's smallest neighbour to its edges: the minimum is
     combined before the shuffle and the join may be split, so a hub with a large
@@ -36,3 +38,61 @@ def components(edges: DataFrame) -> DataFrame:
             break
         mark = new
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).union(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+
+
+def link_lists(postings: DataFrame, linked: Callable[[DataFrame], DataFrame], num: int, den: int, rounds: int = 3) -> DataFrame:
+    """Components (node, root) of the links between nodes that share a list.
+
+    ``postings``: rows (value, node, n); a pair can only be linked if the smaller n
+    is at least ``num / den`` of the larger. ``linked`` keeps the linked ones of
+    pairs (a, b).
+
+    A list is not expanded into pairs. Its members are compared with one member;
+    where the links leave it in several components, with other members, chosen by
+    hash, in further rounds; and in the last round all pairs of the list that still
+    lie in different components and fit in size are compared. A pair inside a
+    component needs no test, so no link between components is lost.
+    """
+    found = stage(linked(_centre_pairs(postings.withColumn("root", F.col("node")), 0, num, den)), "links")
+    labels = components(found)
+    for salt in range(1, rounds + 1):
+        lists = _open_lists(postings, labels)
+        pairs = _centre_pairs(lists, salt, num, den) if salt < rounds else _last_pairs(lists, num, den)
+        found = stage(linked(pairs), "links")
+        if not found.isEmpty():
+            labels = components(labels.select(F.col("node").alias("a"), F.col("root").alias("b")).union(found))
+    return labels
+
+
+def _fits(num: int, den: int) -> Column:
+    return F.least("n_a", "n_b") * den >= F.greatest("n_a", "n_b") * num
+
+
+def _centre_pairs(lists: DataFrame, salt: int, num: int, den: int) -> DataFrame:
+    """Pairs of a list's centre with its members in other components. lists: (value, node, n, root)."""
+    rank = F.struct((F.xxhash64("node", "value", F.lit(salt)) if salt else F.col("node")).alias("rank"), "node", "n", "root")
+    centre = stage(lists.groupBy("value").agg(F.min(rank).alias("c"), F.count("*").alias("m")).where("m > 1")
+                   .select("value", F.col("c")["node"].alias("c"), F.col("c")["n"].alias("c_n"), F.col("c")["root"].alias("c_root")), "centres")
+    pairs = lists.join(centre, "value").where("root <> c_root")
+    return (pairs.select(F.least("node", "c").alias("a"), F.greatest("node", "c").alias("b"), F.col("n").alias("n_a"), F.col("c_n").alias("n_b"))
+            .where(_fits(num, den)).select("a", "b").distinct())
+
+
+def _open_lists(postings: DataFrame, labels: DataFrame) -> DataFrame:
+    """The postings with their root, of lists that hold more than one component."""
+    rooted = stage(postings.join(labels, "node", "left").select("value", "node", "n", F.coalesce("root", "node").alias("root")), "rooted")
+    split = stage(rooted.groupBy("value").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("value"), "split-lists")
+    return stage(rooted.join(split, "value"), "open-lists")
+
+
+def _last_pairs(lists: DataFrame, num: int, den: int) -> DataFrame:
+    """All pairs of a list in different components that fit in size.
+
+    One side leaves out the list's largest component, whose members meet the others from the other side.
+    """
+    parts = lists.groupBy("value", "root").agg(F.count("*").alias("m"))
+    main = stage(parts.groupBy("value").agg(F.max(F.struct("m", "root"))["root"].alias("main")), "main-parts")
+    left = lists.join(main, "value").where("root <> main").select("value", F.col("node").alias("x"), F.col("n").alias("n_a"), F.col("root").alias("rx"))
+    right = lists.select("value", F.col("node").alias("y"), F.col("n").alias("n_b"), F.col("root").alias("ry"))
+    pairs = left.join(right, "value").where((F.col("rx") != F.col("ry")) & _fits(num, den))
+    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()

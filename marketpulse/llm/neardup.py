@@ -11,12 +11,7 @@ smallest K of the union hold 36 shared ones on average with a deviation of 3, an
 all but the last ``overlap - 1`` of those that other nodes retain too, and a
 passage that many documents share lists only documents that are little else.
 
-A list is not expanded into pairs. Its members are compared with one member; where
-links leave it in several components, it is compared with other members chosen by
-hash in further rounds, and in the last round all pairs of the list that still lie
-in different components and fit in size are compared. A pair inside a component
-needs no test, so every link between different components is tested and
-components are whole. What is compared is first estimated from the smallest K of
+Lists are compared by ``components.link_lists``, which loses no link. What is compared is first estimated from the smallest K of
 the union of two sketches.
 
 Node numbers are 64 bits of a digest of the set: among 10 ** 9 different sets 0.03
@@ -41,13 +36,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketpulse.llm.common import byte_slices, free_name, text_or_empty
-from marketpulse.llm.components import components
+from marketpulse.llm.components import link_lists
 from marketpulse.llm.shingles import shingle_sets
 from marketpulse.staging import stage
 
 SIZE, NUM, DEN = 5, 75, 100
 K, SHARED = 48, 17
-ROUNDS = 3
 
 
 def _node(values: np.ndarray) -> int:
@@ -90,10 +84,6 @@ def _postings(nodes: DataFrame) -> DataFrame:
     return rare.select("node", "n", F.explode(F.slice("values", 1, F.col("listed"))["value"]).alias("value"))
 
 
-def _fits() -> Column:
-    return F.least("n_a", "n_b") * DEN >= F.greatest("n_a", "n_b") * NUM
-
-
 def _linked(pairs: DataFrame, nodes: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough."""
     one, two = ([F.col("node").alias(x), F.col("sketch").alias(f"sketch_{x}")] for x in "ab")
@@ -107,37 +97,6 @@ def _linked(pairs: DataFrame, nodes: DataFrame, sets: DataFrame) -> DataFrame:
     return full.where(inter * DEN >= (F.size("values_a") + F.size("values_b") - inter) * NUM).select("a", "b")
 
 
-def _centre_pairs(lists: DataFrame, salt: int) -> DataFrame:
-    """Pairs of a list's centre with its members in other components. lists: (value, node, n, root)."""
-    rank = F.struct((F.xxhash64("node", "value", F.lit(salt)) if salt else F.col("node")).alias("rank"), "node", "n", "root")
-    centre = stage(lists.groupBy("value").agg(F.min(rank).alias("c")).select("value", F.col("c")["node"].alias("c"), F.col("c")["n"].alias("c_n"),
-                                                                        F.col("c")["root"].alias("c_root")), "centres")
-    pairs = lists.join(centre, "value").where("root <> c_root")
-    return (pairs.select(F.least("node", "c").alias("a"), F.greatest("node", "c").alias("b"), F.col("n").alias("n_a"), F.col("c_n").alias("n_b"))
-            .where(_fits()).select("a", "b").distinct())
-
-
-def _open_lists(postings: DataFrame, labels: DataFrame) -> DataFrame:
-    """The postings with their root, of lists that hold more than one component."""
-    rooted = postings.join(labels, "node", "left").select("value", "node", "n", F.coalesce("root", "node").alias("root"))
-    rooted = stage(rooted, "rooted")
-    split = stage(rooted.groupBy("value").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("value"), "split-lists")
-    return stage(rooted.join(split, "value"), "open-lists")
-
-
-def _last_pairs(lists: DataFrame) -> DataFrame:
-    """All pairs of a list in different components that fit in size.
-
-    One side leaves out the list's largest component, whose members meet the others from the other side.
-    """
-    parts = lists.groupBy("value", "root").agg(F.count("*").alias("m"))
-    main = stage(parts.groupBy("value").agg(F.max(F.struct("m", "root"))["root"].alias("main")), "main-parts")
-    left = lists.join(main, "value").where("root <> main").select("value", F.col("node").alias("x"), F.col("n").alias("n_a"), F.col("root").alias("rx"))
-    right = lists.select("value", F.col("node").alias("y"), F.col("n").alias("n_b"), F.col("root").alias("ry"))
-    pairs = left.join(right, "value").where((F.col("rx") != F.col("ry")) & _fits())
-    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-
-
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE) -> DataFrame:
     """Per row: id, print (hash of its text), n_shingles, component_id and kept."""
     rows = stage(document_sketches(docs, id_col, text_col, size), "sketches")
@@ -148,13 +107,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                   .dropDuplicates(["node"]).select("node", "n", "sketch", "id", "print"), "nodes")
     postings = stage(_postings(nodes), "postings")
     sets = stage(_full_sets(docs, nodes.join(postings.select("node").distinct(), "node"), id_col, text_col, size), "sets")
-    labels = components(stage(_linked(_centre_pairs(postings.withColumn("root", F.col("node")), 0), nodes, sets), "links"))
-    for salt in range(1, ROUNDS + 1):
-        lists = _open_lists(postings, labels)
-        pairs = _centre_pairs(lists, salt) if salt < ROUNDS else _last_pairs(lists)
-        found = stage(_linked(pairs, nodes, sets), "links")
-        if not found.isEmpty():
-            labels = components(labels.select(F.col("node").alias("a"), F.col("root").alias("b")).union(found))
+    labels = link_lists(postings, lambda pairs: _linked(pairs, nodes, sets), NUM, DEN)
     labels = stage(some.select("node", F.col("best")["id"].alias("first"), F.col("best")["no_id"].alias("no_id")).join(labels, "node", "left")
                    .select("node", "first", "no_id", F.coalesce("root", "node").alias("root")), "labels")
     firsts = stage(labels.groupBy("root").agg(F.min(F.struct("no_id", "first"))["first"].alias("component_id")), "firsts")
