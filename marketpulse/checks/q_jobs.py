@@ -39,29 +39,25 @@ def _(t):
     return D.is_trading_day(dates_of(t), t.calendar)
 
 
-_LCAL = "SELECT DISTINCT CAST(l_shipdate AS DATE) AS trade_date FROM lineitem WHERE isodow(l_shipdate) <= 5 AND year(l_shipdate) < 2001"
+_LCAL = "SELECT DISTINCT CAST(l_shipdate AS DATE) AS trade_date FROM lineitem WHERE isodow(l_shipdate) <= 5"
 
 
 def long_calendar(t):
     days = t.table("lineitem").select(F.to_date("l_shipdate").alias("trade_date")).distinct()
-    return days.filter((F.weekday("trade_date") < 5) & (F.year("trade_date") < 2001))
+    return days.filter(F.weekday("trade_date") < 5)
 
 
-@query("l3_latest_trading_day", "o_orderkey:i d:d latest_trading_day:d",
-       "SELECT o_orderkey, CAST(o_orderdate AS DATE) AS d, (SELECT max(trade_date) FROM lcal WHERE trade_date <= CAST(o_orderdate AS DATE)) AS latest_trading_day FROM orders",
-       lcal=_LCAL)
+@query("l3_latest_trading_day", "d:d latest_trading_day:d",
+       "SELECT d, (SELECT max(trade_date) FROM lcal WHERE trade_date <= d) AS latest_trading_day FROM dd", lcal=_LCAL, dd=_ORDERS)
 def _(t):
-    dates = t.table("orders").select("o_orderkey", F.to_date("o_orderdate").alias("d"))
-    return D.latest_trading_day(dates, long_calendar(t))
+    return D.latest_trading_day(dates_of(t), long_calendar(t))
 
 
-@query("l4_next_trading_day", "o_orderkey:i d:d next_trading_day:d",
-       """SELECT o_orderkey, d, coalesce((SELECT min(trade_date) FROM lcal WHERE trade_date >= d),
-          d + CASE isodow(d) WHEN 6 THEN 2 WHEN 7 THEN 1 ELSE 0 END) AS next_trading_day
-          FROM (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS d FROM orders)""", lcal=_LCAL)
+@query("l4_next_trading_day", "d:d next_trading_day:d",
+       """SELECT d, coalesce((SELECT min(trade_date) FROM lcal WHERE trade_date >= d),
+          d + CASE isodow(d) WHEN 6 THEN 2 WHEN 7 THEN 1 ELSE 0 END) AS next_trading_day FROM dd""", lcal=_LCAL, dd=_ORDERS)
 def _(t):
-    dates = t.table("orders").select("o_orderkey", F.to_date("o_orderdate").alias("d"))
-    return D.next_trading_day(dates, long_calendar(t))
+    return D.next_trading_day(dates_of(t), long_calendar(t))
 
 
 _PHASE = """SELECT event_id, CASE WHEN NOT td THEN 'closed' WHEN m < 555 THEN 'pre_open' WHEN m < 565 THEN 'auction' WHEN m < 570 THEN 'pre_morning'
@@ -127,33 +123,74 @@ def _(t):
     return H.digest_lines(H.alert_digest(result, "custom"))
 
 
-@query("b7_error_digest", "trade_date:d scope error:s hit_total:f0 group_hit_count:f0",
-       """SELECT trade_date, 'market' AS scope, CAST(NULL AS VARCHAR) AS error, hit_total, group_hit_count FROM tot
-          UNION ALL SELECT trade_date, 'custom', 'ValueError: no groups', NULL, NULL FROM tot""", **classify_ctes("wm", "grp"))
-def _(t):
-    def broken():
-        raise ValueError("no groups")
+_ALL_DAYS = "SELECT DISTINCT trade_date FROM bars"
+
+
+def _market_digest(t):
+    return H.alert_digest(H.classify_hits(hits_of(t), t.scope, t.groups, "market", digits=None), "market")
 
-    def market():
-        return H.alert_digest(H.classify_hits(hits_of(t), t.scope, t.groups, "market", digits=None), "market")
 
-    return J.isolated_digests({"custom": broken, "market": market})
+def _broken():
+    raise ValueError("no groups")
 
 
-_SLOT = {"hit": "SELECT trade_date, code, round(change_ratio, 2) AS change_ratio FROM bars WHERE change_ratio > 7 AND change_ratio < 12.1 "
-                "AND NOT coalesce(change_ratio >= CASE WHEN code LIKE '%.BJ' THEN 29.0 WHEN code LIKE '300%' OR code LIKE '688%' THEN 19.5 ELSE 9.8 END, false)"}
+def _breaks_in_task(t):
+    """A digest whose rows cannot be computed, which shows only when a task runs."""
+    stop = F.raise_error(F.concat(F.lit("no hits on "), F.col("trade_date").cast("string")))
+    return _market_digest(t).withColumn("hit_total", F.when(F.col("pool_size") >= 0, stop.cast("long")))
+
+
+@query("b7_error_digest", "trade_date:d scope error:s hit_total:f0 group_hit_count:f0",
+       """SELECT trade_date, 'market' AS scope, CAST(NULL AS VARCHAR) AS error, coalesce(hit_total, 0) AS hit_total,
+          coalesce(group_hit_count, 0) AS group_hit_count FROM days LEFT JOIN tot USING (trade_date)
+          UNION ALL SELECT trade_date, 'custom', 'ValueError: no groups', NULL, NULL FROM days
+          UNION ALL SELECT trade_date, 'task', 'USER_RAISED_EXCEPTION', NULL, NULL FROM days""", days=_ALL_DAYS, **classify_ctes("wm", "grp"))
+def _(t):
+    scopes = {"custom": _broken, "task": lambda: _breaks_in_task(t), "market": lambda: _market_digest(t)}
+    return J.isolated_digests(scopes, t.bars.select("trade_date"))
 
 
-@query("m11_alert_run", "trade_date:d scope pool_size:i hit_total:i group_hit_count:i",
-       """SELECT trade_date, scope, pool_size, hit_total, n AS group_hit_count FROM (
-          SELECT trade_date, 'custom' AS scope, count(*) AS pool_size, count(*) FILTER (WHERE code IN (SELECT code FROM custom)) AS hit_total FROM hit GROUP BY 1
-          UNION ALL SELECT trade_date, 'market', count(*), count(*) FILTER (WHERE code IN (SELECT code FROM wm)) FROM hit GROUP BY 1)
-          JOIN (SELECT trade_date, 'custom' AS scope, count(DISTINCT group_id) AS n FROM hit JOIN custom USING (code) GROUP BY 1
-          UNION ALL SELECT trade_date, 'market', count(DISTINCT group_id) FROM hit JOIN wm USING (code) GROUP BY 1) USING (trade_date, scope)""",
-       **_SLOT)
+@query("b7_all_scopes_fail", "trade_date:d scope error:s pool_size:f0",
+       "SELECT trade_date, 'custom' AS scope, 'ValueError: no groups' AS error, NULL AS pool_size FROM days "
+       "UNION ALL SELECT trade_date, 'task', 'USER_RAISED_EXCEPTION', NULL FROM days", days=_ALL_DAYS)
 def _(t):
-    named = t.bars.withColumn("name", F.col("code"))
-    return J.alert_run(named, t.custom, t.scope, t.groups, "1430")
+    return J.isolated_digests({"custom": _broken, "task": lambda: _breaks_in_task(t)}, t.bars.select("trade_date"))
+
+
+_LIMIT_UP = "coalesce(change_ratio >= CASE WHEN code LIKE '%.BJ' THEN 29.0 WHEN code LIKE '300%' OR code LIKE '688%' THEN 19.5 ELSE 9.8 END, false)"
+_NAMED = """SELECT *, CASE code[-4:-4] WHEN '1' THEN ' *st ' WHEN '2' THEN 'S*ST' WHEN '3' THEN 'St' WHEN '4' THEN 'BEST ' ELSE '' END || code AS name,
+    dense_rank() OVER (ORDER BY trade_date) AS session_no FROM bars"""
+_BODY = "(coalesce((close - open) / nullif(open, 0) * 100, 0) > {0} OR coalesce((high / nullif(pre_close, 0) - 1) * 100 > {0}, false))"
+_LISTED = "session_no - min(session_no) OVER (PARTITION BY code) + 1 AS age"
+#: Conditions of the slots, with amounts of this data's size: none of them is empty on it.
+_SLOT_TERMS = {"933": _BODY.format("3.0") + " AND amount > 60 AND age > 5", "945": _BODY.format("3.0") + " AND amount > 100",
+               "1000": _BODY.format("4.0") + " AND amount > 200",
+               "1430": f"change_ratio > 7 AND change_ratio < 12.1 AND NOT {_LIMIT_UP} AND NOT regexp_matches(upper(trim(name)), '^(S?\\*)?ST')"}
+_SLOT_AMOUNTS = {"933": {"min_amount": 60.0}, "945": {"min_amount": 100.0}, "1000": {"min_amount": 200.0}, "1430": {}}
+
+
+def named_bars(t):
+    """Bars with names: four digits in ten get one that begins with, or only holds, the mark of special treatment."""
+    digit = F.substring("code", -4, 1)
+    mark = F.when(digit == "1", " *st ").when(digit == "2", "S*ST").when(digit == "3", "St").when(digit == "4", "BEST ").otherwise("")
+    return t.bars.withColumn("name", F.concat(mark, "code"))
+
+
+def _alert_check(slot):
+    @query(f"m11_alert_run_{slot}", "trade_date:d scope pool_size:i hit_total:i group_hit_count:i",
+           """SELECT trade_date, scope, coalesce(pool_size, 0) AS pool_size, coalesce(hit_total, 0) AS hit_total, coalesce(n, 0) AS group_hit_count
+              FROM days CROSS JOIN (VALUES ('custom'), ('market')) v(scope) LEFT JOIN (
+              SELECT trade_date, 'custom' AS scope, count(*) AS pool_size, count(*) FILTER (WHERE code IN (SELECT code FROM custom)) AS hit_total FROM hit GROUP BY 1
+              UNION ALL SELECT trade_date, 'market', count(*), count(*) FILTER (WHERE code IN (SELECT code FROM wm)) FROM hit GROUP BY 1) USING (trade_date, scope)
+              LEFT JOIN (SELECT trade_date, 'custom' AS scope, count(DISTINCT group_id) AS n FROM hit JOIN custom USING (code) GROUP BY 1
+              UNION ALL SELECT trade_date, 'market', count(DISTINCT group_id) FROM hit JOIN wm USING (code) GROUP BY 1) USING (trade_date, scope)""",
+           days=_ALL_DAYS, nb=f"SELECT *, {_LISTED} FROM ({_NAMED})", hit=f"SELECT trade_date, code FROM nb WHERE {_SLOT_TERMS[slot]}")
+    def _(t):
+        return J.alert_run(named_bars(t), t.custom, t.scope, t.groups, slot, **_SLOT_AMOUNTS[slot])
+
+
+for _slot in _SLOT_TERMS:
+    _alert_check(_slot)
 
 
 def m12(t):

@@ -60,7 +60,7 @@ def attribute(instruments: DataFrame, weights: DataFrame, group_returns: DataFra
         distinct.select("profile_id", "profile", F.explode("__days").alias("trade_date"))
         .select("trade_date", "profile_id", F.inline("profile"))
         .join(group_returns, ["trade_date", "group_id"], "left")
-        .withColumn("group_return", F.coalesce("group_return", F.lit(0.0)))
+        .withColumn("group_return", F.coalesce(F.nanvl("group_return", F.lit(0.0)), F.lit(0.0)))
         .withColumn("raw", F.col("weight") * F.col("group_return"))
         .withColumn("contribution", M.rounded("raw", digits))
     )

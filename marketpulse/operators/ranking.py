@@ -3,7 +3,7 @@
 Two kinds of cross-section occur. Groups of one snapshot number thousands at
 most, so a window per snapshot is fine for them. Instruments of a snapshot or
 of a (possibly huge) group are unbounded: for those the statistics are
-aggregated and joined back, ranks are built from value buckets, and top-k
+aggregated and joined back, ranks are built from ranges of values, and top-k
 relies on the pre-shuffle pruning Spark applies to ``row_number() <= k``.
 """
 
@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 
 from marketpulse.staging import stage
 
-BUCKETS_PER_LOG = 64
 STEADY_DIGITS = 9
 
 
@@ -76,26 +75,18 @@ def min_rank(value, by: Sequence[str]) -> Column:
     return F.when(value.isNotNull(), rank.cast("long"))
 
 
-def value_bucket(value) -> Column:
-    """Monotone bucket of a number, independent of the data.
-
-    Logarithmic on both sides of zero: a few thousand buckets span the whole
-    double range, so per-key bucket tables stay small at any input size.
-    """
-    value = _col(value).cast("double")
-    return F.signum(value).cast("int") * F.floor(F.log1p(F.abs(value) * 1000) * BUCKETS_PER_LOG)
-
-
 def _value_counts(df: DataFrame, value: str, by: Sequence[str], descending: bool) -> DataFrame:
     """Distinct values per key with ``__n`` equal rows and ``__before`` rows ahead.
 
-    The counted values are staged: two passes over them must not mean two
-    passes over the input.
+    The counted values are range-partitioned on (key, value), so a partition is a
+    run of one order whatever the values look like, and staged with its number: a
+    key's rows ahead are those of its earlier partitions, one sum each, and those
+    ahead in its own. Neither window grows with a key. NaN counts as unknown.
     """
+    known = F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))
     counts = stage(
-        df.filter(F.col(value).isNotNull())
-        .groupBy(*by, value).agg(F.count(F.lit(1)).alias("__n"))
-        .withColumn("__b", value_bucket(value)),
+        df.filter(known).groupBy(*by, value).agg(F.count(F.lit(1)).alias("__n"))
+        .repartitionByRange(*[F.col(c) for c in by], F.col(value)).withColumn("__b", F.spark_partition_id()),
         "value_counts")
 
     def ordered(c):
@@ -120,8 +111,8 @@ def _value_counts(df: DataFrame, value: str, by: Sequence[str], descending: bool
 def spread_rank(df: DataFrame, value: str, by: Sequence[str], out: str = "rank") -> DataFrame:
     """H6 over keys of any size: descending rank of exact values, no key in one task.
 
-    rank = 1 + rows with a greater value = rows in greater buckets + rows with
-    greater values in the own bucket.
+    rank = 1 + rows with a greater value = rows in later ranges + rows with
+    greater values in the own range.
     """
     ranks = _value_counts(df, value, by, descending=True).select(
         *by, value, (F.col("__before") + 1).alias(out)

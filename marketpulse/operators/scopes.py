@@ -155,6 +155,9 @@ def missing_groups(mapping: DataFrame, groups: DataFrame) -> DataFrame:
     )
 
 
+ST_NAME = r"^(S?\*)?ST"  # fixed values: the prefixes ST, *ST and S*ST
+
+
 def screen(bars: DataFrame, body_or_max: float | None = None, min_amount: float | None = None,
            listed_days: int | None = None, change_lo: float | None = None,
            change_hi: float | None = None, exclude_limit_up: bool = False,
@@ -179,7 +182,7 @@ def screen(bars: DataFrame, body_or_max: float | None = None, min_amount: float
     if exclude_limit_up:
         df = df.filter(~C.is_limit_up())
     if exclude_st:
-        df = df.filter(~F.upper(F.coalesce("name", F.lit(""))).contains("ST"))
+        df = df.filter(~F.upper(F.trim(F.coalesce("name", F.lit("")))).rlike(ST_NAME))
     if listed_days is not None:
         first = bars.groupBy("code").agg(F.min("trade_date").alias("__first"))
         numbered = session_numbers(bars)

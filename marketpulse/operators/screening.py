@@ -21,6 +21,9 @@ SLOTS = {
     "1430": {"time": "14:30", "change_lo": 7.0, "change_hi": 12.1, "exclude_limit_up": True, "exclude_st": True},
 }
 
+DIGEST_GROUPS = ("array<struct<group_pos:int,group_id:string,group_name:string,hit_count:bigint,member_total:bigint,coverage:double,"
+                 "hit_avg_change:double,band:string,hits:array<struct<hit_pos:int,code:string,name:string,change_ratio:double,band:string>>>>")
+
 
 @dataclass
 class Classification:
@@ -97,14 +100,21 @@ def alert_digest(result: Classification, scope: str, max_groups: int = MAX_GROUP
         "pool_size", "hit_total", "group_hit_count", "groups")
 
 
-def error_digest(digest: DataFrame, scope: str, message: str) -> DataFrame:
-    """The row a failed scope contributes, one per snapshot of the other scope."""
-    others = {c: F.lit(None).cast(t).alias(c) for c, t in digest.dtypes}
-    fixed = {"scope": F.lit(scope).alias("scope"), "error": F.lit(message).alias("error")}
-    keep = [c for c in digest.columns if c not in
-            ("scope", "error", "pool_size", "hit_total", "group_hit_count", "groups")]
-    return digest.select(*keep).distinct().select(
-        *[F.col(c) if c in keep else fixed.get(c, others[c]) for c in digest.columns])
+def error_digest(snapshots: DataFrame, scope: str, message: str) -> DataFrame:
+    """The row a failed scope contributes for each snapshot."""
+    empty = F.lit(None)
+    return snapshots.distinct().select(
+        "*", F.lit(scope).alias("scope"), F.lit(message).alias("error"), empty.cast("long").alias("pool_size"),
+        empty.cast("long").alias("hit_total"), empty.cast("long").alias("group_hit_count"), empty.cast(DIGEST_GROUPS).alias("groups"))
+
+
+def with_empty_digests(digest: DataFrame, snapshots: DataFrame, scope: str) -> DataFrame:
+    """``digest`` with a row of zero hits for every snapshot it lacks."""
+    lacking = snapshots.distinct().join(digest.select(*snapshots.columns), list(snapshots.columns), "left_anti")
+    zero = F.lit(0).cast("long")
+    return digest.unionByName(lacking.select(
+        "*", F.lit(scope).alias("scope"), F.lit(None).cast("string").alias("error"), zero.alias("pool_size"), zero.alias("hit_total"),
+        zero.alias("group_hit_count"), F.lit(None).cast(DIGEST_GROUPS).alias("groups")))
 
 
 def digest_lines(digest: DataFrame, by: Sequence[str] = ("trade_date",)) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,12 +40,14 @@ def daily_run(spark: SparkSession, warehouse: str, raw_bars: DataFrame, members:
                    ["code", "trade_date"], "trade_date")
 
 
-def alert_run(bars: DataFrame, custom: DataFrame, market_members: DataFrame, groups: DataFrame, slot: str) -> DataFrame:
+def alert_run(bars: DataFrame, custom: DataFrame, market_members: DataFrame, groups: DataFrame, slot: str,
+              **changed) -> DataFrame:
     """Screen with a slot's conditions, classify in both scopes, build digests.
 
-    ``bars`` carry a ``name``. An unknown slot raises ``KeyError``.
+    ``bars`` carry a ``name``; every date of theirs has a row in either scope.
+    ``changed`` replaces single conditions. An unknown slot raises ``KeyError``.
     """
-    conditions = {k: v for k, v in H.SLOTS[slot].items() if k != "time"}
+    conditions = {k: v for k, v in H.SLOTS[slot].items() if k != "time"} | changed
     hits = screen(bars, **conditions).select("trade_date", "code", "name", "change_ratio")
     custom_names = custom.select("group_id", "group_name").distinct()
     own = hits.join(custom.select("code").distinct(), "code", "left_semi")
@@ -53,32 +56,27 @@ def alert_run(bars: DataFrame, custom: DataFrame, market_members: DataFrame, gro
     mine.totals = pool.join(mine.totals.drop("pool_size"), "trade_date", "left").na.fill(
         0, ["hit_total", "group_hit_count"])
     market = H.classify_hits(hits, market_members, groups, "market")
-    return H.alert_digest(mine, "custom").unionByName(H.alert_digest(market, "market")).withColumn(
-        "slot", F.lit(slot))
+    dates = bars.select("trade_date").distinct()
+    both = [H.with_empty_digests(H.alert_digest(c, name), dates, name) for c, name in ((mine, "custom"), (market, "market"))]
+    return both[0].unionByName(both[1]).withColumn("slot", F.lit(slot))
 
 
-def isolated_digests(builders: dict[str, object]) -> DataFrame:
-    """Build each scope's digest apart, so one scope's failure leaves the others.
+def isolated_digests(builders: dict[str, object], snapshots: DataFrame) -> DataFrame:
+    """Build and run each scope's digest apart, so one scope's failure leaves the others.
 
-    ``builders`` map a scope to a function returning its digest; a failing one
-    contributes an error row per snapshot of the first scope that worked.
+    ``builders`` map a scope to a function returning its digest, which is written
+    at once: capped lists, so small. ``snapshots`` are all rows (of ``trade_date``)
+    that every scope owes: one that fails, while building or in a task, gives an
+    error row for each, and a snapshot without hits an empty one.
     """
-    done, failed = {}, {}
+    result = None
     for scope, build in builders.items():
         try:
-            frame = build()
-            frame.schema
-            done[scope] = frame
+            frame = H.with_empty_digests(stage(build(), "digest"), snapshots, scope)
         except Exception as e:  # the message becomes the scope's digest
-            failed[scope] = f"{type(e).__name__}: {e}".splitlines()[0]
-    if not done:
-        raise RuntimeError(f"every scope failed: {failed}")
-    first = next(iter(done.values()))
-    result = None
-    for scope in builders:
-        frame = done.get(scope)
-        if frame is None:
-            frame = H.error_digest(first, scope, failed[scope])
+            cause = e.getCondition() if isinstance(e, PySparkException) and e.getCondition() else type(e).__name__
+            text = str(e).splitlines()[0] if not isinstance(e, PySparkException) else cause
+            frame = H.error_digest(snapshots, scope, f"{cause}: {text}" if text != cause else cause)
         result = frame if result is None else result.unionByName(frame)
     return result
 

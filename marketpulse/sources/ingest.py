@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marketpulse.functions import codes as C
+from marketpulse.functions.measures import missing_to_null
 from marketpulse.schemas import BAR_VALUES
 
 # Payload field names and market codes.
@@ -53,10 +54,10 @@ def unpack_bars(raw: DataFrame, column: str = "payload") -> DataFrame:
     table = ",".join(f"{f}:array<double>" for f in BAR_FIELDS)
     items = _parsed(raw, f"thscode string, time array<string>, table struct<{table}>", column)
     points = items.select(F.col("r.thscode").alias("code"), F.posexplode("r.time").alias("i", "t"), "r.table")
-    return points.select(
+    return missing_to_null(points.select(
         "code", compact_date("t").alias("trade_date"),
         *[F.get(F.col(f"table.{f}"), F.col("i")).alias(n) for f, n in BAR_FIELDS.items()],
-    ).select("code", "trade_date", *BAR_VALUES)
+    ).select("code", "trade_date", *BAR_VALUES))
 
 
 def _names_list(text: Column) -> Column:
@@ -108,7 +109,7 @@ def unpack_quotes(raw: DataFrame, column: str = "payload") -> DataFrame:
     without any indicator.
     """
     items = _parsed(raw, "thscode string, table map<string,array<double>>", column)
-    first = F.transform_values("r.table", lambda _, v: F.get(v, F.lit(0)))
+    first = F.transform_values("r.table", lambda _, v: F.nanvl(F.get(v, F.lit(0)), F.lit(None).cast("double")))
     present = F.map_filter(first, lambda _, v: v.isNotNull())
     return items.select(F.col("r.thscode").alias("code"), present.alias("quote")).filter(F.size("quote") > 0)
 
@@ -161,7 +162,7 @@ def normalise_ticks(raw: DataFrame, column: str = "payload") -> DataFrame:
     zero = F.lit(0.0)
 
     def number(name):
-        return F.coalesce(F.col(f"p.{name}"), zero)
+        return F.coalesce(F.nanvl(f"p.{name}", F.lit(None).cast("double")), zero)
 
     def minute(name="p.time"):
         return F.substring(name, 1, 5).alias("hhmm")
@@ -176,7 +177,7 @@ def normalise_ticks(raw: DataFrame, column: str = "payload") -> DataFrame:
         F.col("p.ref_price").alias("price"), zero.alias("avg_price"), zero.alias("volume"), zero.alias("turnover"),
         number("matched_vol").alias("matched_vol"), number("non_matched_vol_buy").alias("unmatched_buy"),
         number("non_matched_vol_sell").alias("unmatched_sell"))
-    return early.unionByName(live).filter(F.col("price").isNotNull())
+    return early.unionByName(live).filter(F.col("price").isNotNull() & ~F.isnan("price"))
 
 
 def _answer(raw: Column) -> Column:
@@ -229,7 +230,7 @@ def parse_screen_tables(responses: DataFrame, key: str = "response_id", column:
     full = rows.filter(F.size("cells") > F.greatest("at_code", "at_name", "at_change")).select(
         key, "pos", F.get("cells", "at_code").alias("code"),
         F.when(F.col("at_name") >= 0, F.get("cells", "at_name")).otherwise("").alias("name"),
-        F.coalesce(F.when(F.col("at_change") >= 0, F.get("cells", "at_change").try_cast("double")),
+        F.coalesce(F.when(F.col("at_change") >= 0, F.nanvl(F.get("cells", "at_change").try_cast("double"), F.lit(0.0))),
                    F.lit(0.0)).alias("change_ratio"))
     hits = full.filter(C.is_domestic()).groupBy(key, "code").agg(
         F.max_by(F.struct("name", "change_ratio"), "pos").alias("h")).select(key, "code", "h.*")
@@ -243,7 +244,7 @@ def read_bars(spark: SparkSession, path: str, start=None, end=None, codes: Seque
     Dates prune partitions, codes are pushed to the parquet scan. Minute bars
     are read alike with ``column="minute"``.
     """
-    bars = spark.read.parquet(path)
+    bars = missing_to_null(spark.read.parquet(path))
     if start is not None:
         bars = bars.filter(F.col(column) >= F.lit(start).cast(bars.schema[column].dataType))
     if end is not None:

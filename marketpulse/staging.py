@@ -7,6 +7,9 @@ optimizer real sizes and lets every branch read only the columns it needs.
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
 
@@ -16,13 +19,20 @@ _fallback: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a private one only where none is set."""
+    """The cluster's shared folder, from ``spark.checkpoint.dir``.
+
+    Without it a local session gets a private folder, removed at exit. On several
+    machines such a folder would silently lose rows, so there it is an error.
+    """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _fallback:
         _fallback[app] = tempfile.mkdtemp(prefix="spark-marketpulse-")
+        atexit.register(shutil.rmtree, _fallback[app], ignore_errors=True)
     return _fallback[app]
 
 
