@@ -54,10 +54,14 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(target)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    target, fs = _file_system(spark, path)
+    fs.delete(target, True)
+
+
 def clear(spark: SparkSession) -> None:
     """Delete what this application staged; frames read from it become invalid."""
-    target, fs = _file_system(spark, app_dir(spark))
-    fs.delete(target, True)
+    remove(spark, app_dir(spark))
 
 
 def stage(df: DataFrame, label: str) -> DataFrame:
