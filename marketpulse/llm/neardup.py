@@ -6,8 +6,8 @@ is ``NUM / DEN`` or more, confirmed on the full sets.
 
 Candidates come from inverted lists of the ``K`` smallest hashes. Linked sets share
 at least ``_overlap`` of them (exactly so for sets that fit the sketch; else the
-smallest K of the union hold 36 shared ones on average with a deviation of 3, and
-17 are asked for). So it is enough to list a node under its rarest retained values,
+smallest K of the union hold 72 shared ones on average with a deviation of 4.2,
+and 45 are asked for). So it is enough to list a node under its rarest retained values,
 all but the last ``overlap - 1`` of those that other nodes retain too, and a
 passage that many documents share lists only documents that are little else.
 
@@ -41,7 +41,10 @@ from marketpulse.llm.shingles import shingle_sets
 from marketpulse.staging import stage
 
 SIZE, NUM, DEN = 5, 75, 100
-K, SHARED = 48, 17
+K, SHARED = 96, 45
+#: A mark has a bit for each retained value; 45 shared values set 44 of its 1024 bits on average, with a deviation of 1.
+MARK_LONGS = 16
+WIDE = 200  # retained values that the last round looks at
 
 
 def _node(values: np.ndarray) -> int:
@@ -54,8 +57,13 @@ def _arrays(rows: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
 
 
+def _ints(rows: list[np.ndarray]) -> pa.Array:
+    wide = _arrays(rows)
+    return pa.ListArray.from_arrays(wide.offsets, pa.array((wide.values.to_numpy() & 0xFFFFFFFF).astype(np.uint32).view(np.int32)))
+
+
 def document_sketches(docs: DataFrame, id_col: str, text_col: str, size: int = SIZE) -> DataFrame:
-    """Per row: id, print (a hash of the text), node, n (size of its set) and its K smallest hashes."""
+    """Per row: id, print (a hash of the text), node, n (size of its set), its K smallest hashes, and of WIDE 32 bits each."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -64,15 +72,27 @@ def document_sketches(docs: DataFrame, id_col: str, text_col: str, size: int = S
                 sets = list(shingle_sets([(t or "").encode() for t in batch.column("text").to_pylist()], size))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("id"), batch.column("print"), pa.array([_node(s) for s in sets], pa.int64()),
-                     pa.array([len(s) for s in sets], pa.int64()), _arrays([s[:K] for s in sets])], ["id", "print", "node", "n", "sketch"])
+                     pa.array([len(s) for s in sets], pa.int64()), _arrays([s[:K] for s in sets]),
+                     _ints([s[:WIDE] for s in sets])], ["id", "print", "node", "n", "sketch", "wide"])
 
     return docs.select(F.col(id_col).alias("id"), F.xxhash64(text_or_empty(text_col)).alias("print"), F.col(text_col).alias("text")).mapInArrow(
-        run, f"id {kind}, print long, node long, n long, sketch array<long>")
+        run, f"id {kind}, print long, node long, n long, sketch array<long>, wide array<int>")
+
+
+def _shared(union: Column, k: int = K) -> Column:
+    """Shared values among the k smallest of a union of this size, of sets that are linked, at the least.
+
+    Three in four of the union up to k. Beyond, three in four of k on average, less 6.4
+    times the deviation of a draw without replacement.
+    """
+    share = NUM / DEN
+    drawn = k * share - 6.4 * (k * share * (1 - share)) ** 0.5 * F.sqrt(F.greatest(F.lit(0.0), 1 - k / union))
+    return F.when(union <= k, union * share).otherwise(drawn)
 
 
 def _overlap(n: Column) -> Column:
-    """Retained values that a set of this size shares with any set it is linked to."""
-    return F.when(n * NUM <= K * NUM * NUM / DEN, F.ceil(n * NUM / DEN)).otherwise(SHARED).cast("int")
+    """Retained values that a set of this size shares with any set it is linked to; their union has up to n / 0.75."""
+    return F.least(F.ceil(n * NUM / DEN), F.floor(_shared(F.greatest(n * DEN / NUM, F.lit(K + 1.0))))).cast("int")
 
 
 def _postings(nodes: DataFrame) -> DataFrame:
@@ -84,6 +104,26 @@ def _postings(nodes: DataFrame) -> DataFrame:
     return rare.select("node", "n", F.explode(F.slice("values", 1, F.col("listed"))["value"]).alias("value"))
 
 
+def _mark(sketch: str) -> Column:
+    """The retained values as a set of bits, by ten of their own bits."""
+    def bits(k):
+        mine = F.filter(sketch, lambda v: F.shiftrightunsigned(v, 40).bitwiseAND(MARK_LONGS - 1) == k)
+        return F.aggregate(mine, F.lit(0).cast("long"), lambda a, v: a.bitwiseOR(
+            F.call_function("shiftleft", F.lit(1).cast("long"), v.bitwiseAND(63).cast("int"))))
+
+    return F.struct(*(bits(k).alias(f"m{k}") for k in range(MARK_LONGS)), F.col("wide"))
+
+
+def _alike(a: str, b: str) -> Column:
+    """Marks share as many bits as the values that linked sets of these sizes share, less those that fall together."""
+    shared = sum((F.bit_count(F.col(f"{a}.m{k}").bitwiseAND(F.col(f"{b}.m{k}"))) for k in range(1, MARK_LONGS)),
+                 F.bit_count(F.col(f"{a}.m0").bitwiseAND(F.col(f"{b}.m0"))))
+    union = (F.col("n_a") + F.col("n_b")) / (1 + NUM / DEN)  # the largest of linked sets of these sizes
+    least = _shared(union)
+    both = F.size(F.array_intersect(f"{a}.wide", f"{b}.wide"))
+    return (shared >= 0.94 * least - F.when(least < 20, 1.01).otherwise(3)) & (both >= _shared(union, WIDE) - 1.01)
+
+
 def _linked(pairs: DataFrame, nodes: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough."""
     one, two = ([F.col("node").alias(x), F.col("sketch").alias(f"sketch_{x}")] for x in "ab")
@@ -102,12 +142,12 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = stage(document_sketches(docs, id_col, text_col, size), "sketches")
     best = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "print"))
     some = stage(rows.where("n > 0").groupBy("node").agg(best.alias("best"), F.min("n").alias("n")), "nodes")
-    nodes = stage(some.join(rows.where("n > 0").select("node", "id", "print", "sketch"), "node")
+    nodes = stage(some.join(rows.where("n > 0").select("node", "id", "print", "sketch", "wide"), "node")
                   .where(F.col("best")["id"].eqNullSafe(F.col("id")) & (F.col("best")["print"] == F.col("print")))
-                  .dropDuplicates(["node"]).select("node", "n", "sketch", "id", "print"), "nodes")
+                  .dropDuplicates(["node"]).select("node", "n", "sketch", "wide", "id", "print"), "nodes")
     postings = stage(_postings(nodes), "postings")
     sets = stage(_full_sets(docs, nodes.join(postings.select("node").distinct(), "node"), id_col, text_col, size), "sets")
-    labels = link_lists(postings, lambda pairs: _linked(pairs, nodes, sets), NUM, DEN)
+    labels = link_lists(postings, lambda pairs: _linked(pairs, nodes, sets), NUM, DEN, nodes.select("node", _mark("sketch").alias("mark")), _alike)
     labels = stage(some.select("node", F.col("best")["id"].alias("first"), F.col("best")["no_id"].alias("no_id")).join(labels, "node", "left")
                    .select("node", "first", "no_id", F.coalesce("root", "node").alias("root")), "labels")
     firsts = stage(labels.groupBy("root").agg(F.min(F.struct("no_id", "first"))["first"].alias("component_id")), "firsts")
