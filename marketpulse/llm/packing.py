@@ -139,12 +139,11 @@ def sum_of_squares(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.nd
     bins_at: list[list[int]] = [[] for _ in range(capacity + 1)]
     bin_of, offset, gaps = np.empty(len(lengths), np.int64), np.empty(len(lengths), np.int64), []
     for i, n in enumerate(lengths.tolist()):
-        # change of the sum, halved: an open bin of gap g goes to g - n
-        cost = count[:capacity - n + 1] - count[n:]
-        cost[0] = -count[n]  # a bin that closes adds nothing; else moving adds one
-        cost[1:] += 1
+        # change of the sum if an open bin of gap g goes to g - n; a bin that closes counts no more
+        cost = 2 * (count[:capacity - n + 1] - count[n:]) + 2
+        cost[0] = 1 - 2 * count[n]
         cost[count[n:] == 0] = np.iinfo(np.int64).max
-        fresh = count[capacity - n] + 0.5 if n < capacity else 0
+        fresh = 2 * count[capacity - n] + 1 if n < capacity else 0
         best = int(cost.argmin()) if n < capacity else -1
         if best >= 0 and cost[best] <= fresh and count[best + n]:
             gap = best + n
