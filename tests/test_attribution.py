@@ -95,7 +95,8 @@ def test_digest_caps_and_isolation(classified):
     def fails():
         raise RuntimeError("no answer")
 
-    both = J.isolated_digests({"custom": fails, "market": lambda: H.alert_digest(classified, "market")})
+    both = J.isolated_digests({"custom": fails, "market": lambda: H.alert_digest(classified, "market")},
+                               classified.totals.select("trade_date"))
     got = {r.scope: r for r in both.collect()}
     assert got["custom"].error == "RuntimeError: no answer" and got["custom"].groups is None
     assert got["market"].error is None and got["market"].pool_size == 11
