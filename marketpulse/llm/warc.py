@@ -11,11 +11,12 @@ nothing but what the manifest lists, and check every digest.
 
 Of records with equal payloads of ``min_revisit`` bytes or more the one with the
 smallest page id is a response and the others are revisits. Which digests repeat
-is decided on slim rows; the decisions then ride in the same range partitioning
-as the pages, so a payload is shuffled once.
+is decided on slim rows; the decisions, one for each page id and digest that repeats,
+then ride in the same range partitioning as the pages, so a payload is shuffled once.
 
 Defined cases: a null payload is empty; null page ids come last; of rows that
-repeat id and payload one is the response; an empty table gives an empty archive.
+repeat id and payload one is the response, and each payload under a shared or null
+id is judged by itself; an empty table gives an empty archive.
 Extra columns of the input are not written.
 """
 
@@ -103,7 +104,7 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: st
     first = (slim.groupBy("digest").agg(F.min(F.struct(*_order(F.col("page_id")))).alias("first"), F.count("*").alias("n"))
              .where("n > 1").select("digest", F.col("first")["page_id"].alias("first")))
     notes = slim.join(first, "digest").select("page_id", F.lit(None).cast("string").alias("url"),
-                                              F.lit(None).cast("binary").alias("payload"), F.lit(0).alias("kind"), "first").distinct()
+                                              F.unhex("digest").alias("payload"), F.lit(0).alias("kind"), "first").distinct()
     rows = all_pages.select("page_id", "url", "payload", F.lit(1).alias("kind"), F.lit(None).cast("long").alias("first")).unionByName(notes)
     n = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
     sorted_rows = rows.repartitionByRange(n, *_order(F.col("page_id"))).sortWithinPartitions(*_order(F.col("page_id")), "kind", "payload", "url")
@@ -115,17 +116,18 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: st
         part, attempt = TaskContext.get().partitionId(), uuid.uuid4().hex
         fs.create_dir(f"{root}/temporary", recursive=True)
         out, files = None, []
-        page, seen, refers_to = object(), set(), None
+        page, firsts, seen = object(), {}, set()
         for batch in batches:
             for p, url, data, kind, first in zip(*(batch.column(i).to_pylist() for i in range(5))):
                 if p != page:
-                    page, seen, refers_to, repeated = p, set(), None, False
+                    page, firsts, seen = p, {}, set()
                 if kind == 0:
-                    refers_to, repeated = first, True
+                    firsts[data] = first
                     continue
-                sha = hashlib.sha1(data).digest() if repeated else None
-                revisit = repeated and len(data) >= min_revisit and (refers_to != p or sha in seen)
-                if repeated:
+                sha = hashlib.sha1(data).digest() if firsts else None
+                refers_to = firsts.get(sha)
+                revisit = sha in firsts and (refers_to != p or sha in seen)
+                if sha in firsts:
                     seen.add(sha)
                 if out is None:
                     name = f"part-{part:05d}-{len(files):04d}.warc.gz"

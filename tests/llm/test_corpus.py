@@ -193,6 +193,21 @@ def test_warc_round_trip(spark, tmp_path):
     assert {f: open(f"{path}/{f}", "rb").read() for f in files} == {f: open(f"{again}/{f}", "rb").read() for f in files}
 
 
+@pytest.mark.parametrize("least", [0, 2])
+def test_warc_keeps_each_payload_of_shared_ids(spark, tmp_path, least):
+    rows = [(1, "AA"), (None, "AA"), (None, "BB"), (5, "AA"), (5, "DD"), (5, "CC"), (5, "CC"), (7, "CC"), (7, "EE"), (7, "AA"),
+            (None, "FF"), (None, "FF"), (8, "x"), (None, "x")]
+    path = str(tmp_path / "shared")
+    warc.write_warc(spark.createDataFrame(rows, "page_id long, html string").withColumn("url", F.lit("u")), path, min_revisit=least)
+    got = warc.read_warc(spark, path).collect()
+    digest = {warc.base32(hashlib.sha1(h.encode()).digest()): h for _, h in rows}
+    assert Counter((r.page_id, digest[r.payload_digest]) for r in got) == Counter(rows)
+    full = Counter((r.page_id, bytes(r.payload).decode()) for r in got if r.record_type == "response")
+    want = [(1, "AA"), (None, "BB"), (5, "DD"), (5, "CC"), (7, "EE"), (None, "FF"), (8, "x"), *[(None, "x")] * (least > 1)]
+    assert full == Counter(want)
+    assert all((r.refers_to, digest[r.payload_digest]) in full for r in got if r.record_type == "revisit")
+
+
 def test_warc_readers_trust_the_manifest_only(spark, tmp_path):
     path = str(tmp_path / "archive")
     warc.write_warc(pages(spark), path)
