@@ -1,12 +1,15 @@
 """Sum-of-squares packing of token pieces into sequences of a fixed length.
 
 Documents are tokenised in Arrow batches; a document longer than a sequence is
-cut, first piece short. Pieces are dealt to tasks of about ``PIECES_PER_TASK``
+cut, first piece short. Pieces are dealt by hash to tasks of about ``PIECES_PER_TASK``
 and each task packs its own, longest first: a piece goes to the open bin (or a
 new one) after which the squared counts of open bins per residual gap add up to
 least. Bins that a task leaves with a gap of ``LOOSE`` or more are undone, and
-their pieces are packed again by an eighth as many tasks, until one task packs
-the last ones. Token ids never travel: a piece is five numbers.
+their pieces are counted, dealt anew to as many tasks as their number asks for and
+packed again, until one task holds the last ones or a round saves less than one in
+``GAIN`` of the undone bins; then the bins with a gap stay as they are. A task that
+gets more than twice its share (rows repeated many times) packs them in parts, so no
+packing holds more. Token ids never travel: a piece is five numbers.
 
 A task's result depends only on the set of its pieces, so a lost executor's work
 is redone alike.
@@ -34,7 +37,7 @@ from marketpulse.staging import stage
 
 CAPACITY = 1024
 END_TOKEN = 2
-LOOSE = 16
+LOOSE, GAIN, MOST_ROUNDS = 16, 100, 100
 PIECES_PER_TASK = 100_000
 MOST_CACHED = 150_000
 
@@ -160,47 +163,59 @@ def sum_of_squares(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.nd
     return bin_of, offset, np.array(gaps, np.int64)
 
 
-def _pack_once(pieces: DataFrame, tasks: int, number: int, capacity: int, last: bool) -> DataFrame:
-    """One round: the pieces with sequence_id, offset and loose (its bin is to be undone)."""
+def _pack_once(pieces: DataFrame, tasks: int, number: int, capacity: int, most: int) -> DataFrame:
+    """One round: the pieces with sequence_id, offset and loose (its bin is to be undone); ``most`` pieces are packed at a time."""
     schema = pieces.schema.add("sequence_id", "long").add("offset", "long").add("loose", "boolean")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        held = [b for b in batches if b.num_rows]  # about PIECES_PER_TASK pieces
-        if not held:
-            return
-        rows = pa.Table.from_batches(held).combine_chunks()
-        lengths = rows.column("length").to_numpy()
-        full = lengths == capacity
-        bins, offset = np.arange(len(lengths)), np.zeros(len(lengths), np.int64)
-        loose = np.zeros(len(lengths), bool)
-        if not full.all():
-            own, at, gaps = sum_of_squares(lengths[~full], capacity)
-            bins[~full], offset[~full] = own + len(lengths), at
-            loose[~full] = (gaps >= LOOSE)[own] & (not last)
-        ids = (number << 56) + (TaskContext.get().partitionId() << 32) + bins
-        for name, x in (("sequence_id", pa.array(ids, pa.int64())), ("offset", pa.array(offset, pa.int64())), ("loose", pa.array(loose))):
-            rows = rows.append_column(name, x)
-        yield from rows.to_batches()
-
-    dealt = pieces.repartition(tasks, "id", "piece", "ids_crc32") if tasks > 1 else pieces.coalesce(1)
+        base, used = (number << 56) + (TaskContext.get().partitionId() << 32), 0
+        for rows in _parts(batches, most):
+            bins, offset, gaps = sum_of_squares(rows.column("length").to_numpy(), capacity)
+            loose = (gaps >= LOOSE)[bins] & (tasks > 1)
+            for name, x in (("sequence_id", pa.array(base + used + bins, pa.int64())), ("offset", pa.array(offset, pa.int64())), ("loose", pa.array(loose))):
+                rows = rows.append_column(name, x)
+            used += len(gaps)
+            yield from rows.to_batches()
+
+    dealt = pieces.repartition(tasks, "id", "piece", "ids_crc32", F.lit(number)) if tasks > 1 else pieces.coalesce(1)
     return dealt.sortWithinPartitions(F.desc("length"), "id", "piece", "ids_crc32").mapInArrow(run, schema)
 
 
+def _parts(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Table]:
+    """The rows in tables of ``most`` rows and a rest."""
+    held, n = [], 0
+    for batch in batches:
+        while n + batch.num_rows >= most:
+            yield pa.Table.from_batches([*held, batch.slice(0, most - n)]).combine_chunks()
+            held, batch, n = [], batch.slice(most - n), 0
+        if batch.num_rows:
+            held, n = [*held, batch], n + batch.num_rows
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
 def pack(pieces: DataFrame, capacity: int = CAPACITY, pieces_per_task: int = PIECES_PER_TASK) -> DataFrame:
     """The pieces with the sequence that holds them and their offset in it.
 
     ``pieces``: rows (id, piece, start, length, ids_crc32), lengths 1 to ``capacity``.
     """
     full, rest = pieces.where(F.col("length") == capacity), pieces.where(F.col("length") < capacity)
-    tasks, number, done = max(1, ceil(rest.count() / pieces_per_task)), 1, []
+    starts = F.col("offset") == 0  # one piece of each bin
+    count, number, done, undone = rest.count(), 1, [], None
     while True:
-        packed = stage(_pack_once(rest, tasks, number, capacity, tasks == 1), "packed")
-        done.append(packed.where("NOT loose").drop("loose"))
-        if tasks == 1:
+        tasks = max(1, ceil(count / pieces_per_task))
+        packed = stage(_pack_once(rest, tasks, number, capacity, 2 * pieces_per_task), "packed")
+        bins, loose, count = packed.agg(F.count_if(starts), F.count_if(starts & F.col("loose")), F.count_if("loose")).first()
+        if undone and bins >= undone[1]:
+            done.append(undone[0].drop("loose"))
+            break
+        if undone and (undone[1] - bins) * GAIN < undone[1] or not count or number == MOST_ROUNDS:
+            done.append(packed.drop("loose"))
             break
-        rest, tasks, number = packed.where("loose").select(*pieces.columns), ceil(tasks / 8), number + 1
+        done.append(packed.where("NOT loose").drop("loose"))
+        undone, rest, number = (packed.where("loose"), loose), packed.where("loose").select(*pieces.columns), number + 1
     alone = full.withColumns({"sequence_id": F.monotonically_increasing_id(), "offset": F.lit(0).cast("long")})
     for x in done:
         alone = alone.union(x)

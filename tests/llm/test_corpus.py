@@ -159,6 +159,25 @@ def test_packing(spark, odd, nothing, monkeypatch, per_task):  # noqa: F811
     assert len(with_ids.ids) == with_ids.length and zlib.crc32(np.array(with_ids.ids, "<u4").tobytes()) == with_ids.ids_crc32
 
 
+@pytest.mark.parametrize("low, high, repeats", [(513, 1008, 1), (1, 1023, 1), (20, 60, 1), (600, 601, 900)])
+def test_no_packing_task_holds_more_than_twice_its_share(spark, low, high, repeats):
+    lengths = np.random.default_rng(3).integers(low, high, 1200 // repeats).tolist() * repeats
+    rows = [(i % (1200 // repeats), 0, 0, n, n) for i, n in enumerate(lengths)]
+    pieces = spark.createDataFrame(rows, "id long, piece int, start long, length long, ids_crc32 long")
+    got = packing.pack(pieces, 1024, 60).collect()
+    assert Counter((r.id, r.length) for r in got) == Counter((r[0], r[3]) for r in rows)
+    bins = {}
+    for r in got:
+        bins.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for parts in bins.values():
+        parts.sort()
+        assert [o for o, _ in parts] == [sum(n for _, n in parts[:k]) for k in range(len(parts))] and sum(n for _, n in parts) <= 1024
+    if repeats == 1:
+        assert max(Counter(r.sequence_id >> 32 for r in got).values()) <= 120
+    if low < 513:
+        assert len(bins) <= 1.08 * sum(lengths) / 1024 + 2
+
+
 # ---- WARC ----
 
 PAGES = [(1, "http://a/1", "<p>x</p>"), (2, None, "<p>x</p>"), (3, "http://a/3\r\nX: y", ""), (4, "u", None), (5, "u", "é" * 5000), (5, "u", "é" * 5000),
