@@ -12,7 +12,8 @@ all but the last ``overlap - 1`` of those that other nodes retain too, and a
 passage that many documents share lists only documents that are little else.
 
 Lists are compared by ``components.link_lists``, which loses no link. What is compared is first estimated from the smallest K of
-the union of two sketches.
+the union of two sketches, and in the last round from the smallest WIDE values of both, as 32 bits each. Hashes are stored with
+their top bit flipped, so that signed longs have the order of the unsigned hashes.
 
 Node numbers are 64 bits of a digest of the set: among 10 ** 9 different sets 0.03
 false unions are expected.
@@ -42,8 +43,6 @@ from marketpulse.staging import stage
 
 SIZE, NUM, DEN = 5, 75, 100
 K, SHARED = 96, 45
-#: A mark has a bit for each retained value; 45 shared values set 44 of its 1024 bits on average, with a deviation of 1.
-MARK_LONGS = 16
 WIDE = 200  # retained values that the last round looks at
 
 
@@ -53,7 +52,7 @@ def _node(values: np.ndarray) -> int:
 
 def _arrays(rows: list[np.ndarray]) -> pa.Array:
     offsets = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int32)
-    values = np.concatenate(rows).astype(np.uint64).view(np.int64) if rows else np.zeros(0, np.int64)
+    values = (np.concatenate(rows).astype(np.uint64) ^ np.uint64(1 << 63)).view(np.int64) if rows else np.zeros(0, np.int64)
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
 
 
@@ -104,24 +103,10 @@ def _postings(nodes: DataFrame) -> DataFrame:
     return rare.select("node", "n", F.explode(F.slice("values", 1, F.col("listed"))["value"]).alias("value"))
 
 
-def _mark(sketch: str) -> Column:
-    """The retained values as a set of bits, by ten of their own bits."""
-    def bits(k):
-        mine = F.filter(sketch, lambda v: F.shiftrightunsigned(v, 40).bitwiseAND(MARK_LONGS - 1) == k)
-        return F.aggregate(mine, F.lit(0).cast("long"), lambda a, v: a.bitwiseOR(
-            F.call_function("shiftleft", F.lit(1).cast("long"), v.bitwiseAND(63).cast("int"))))
-
-    return F.struct(*(bits(k).alias(f"m{k}") for k in range(MARK_LONGS)), F.col("wide"))
-
-
 def _alike(a: str, b: str) -> Column:
-    """Marks share as many bits as the values that linked sets of these sizes share, less those that fall together."""
-    shared = sum((F.bit_count(F.col(f"{a}.m{k}").bitwiseAND(F.col(f"{b}.m{k}"))) for k in range(1, MARK_LONGS)),
-                 F.bit_count(F.col(f"{a}.m0").bitwiseAND(F.col(f"{b}.m0"))))
+    """Sets share as many of their WIDE smallest values as linked sets of these sizes."""
     union = (F.col("n_a") + F.col("n_b")) / (1 + NUM / DEN)  # the largest of linked sets of these sizes
-    least = _shared(union)
-    both = F.size(F.array_intersect(f"{a}.wide", f"{b}.wide"))
-    return (shared >= 0.94 * least - F.when(least < 20, 1.01).otherwise(3)) & (both >= _shared(union, WIDE) - 1.01)
+    return F.size(F.array_intersect(a, b)) >= _shared(union, WIDE) - 1.01
 
 
 def _linked(pairs: DataFrame, nodes: DataFrame, sets: DataFrame) -> DataFrame:
@@ -147,7 +132,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                   .dropDuplicates(["node"]).select("node", "n", "sketch", "wide", "id", "print"), "nodes")
     postings = stage(_postings(nodes), "postings")
     sets = stage(_full_sets(docs, nodes.join(postings.select("node").distinct(), "node"), id_col, text_col, size), "sets")
-    labels = link_lists(postings, lambda pairs: _linked(pairs, nodes, sets), NUM, DEN, nodes.select("node", _mark("sketch").alias("mark")), _alike)
+    labels = link_lists(postings, lambda pairs: _linked(pairs, nodes, sets), NUM, DEN, nodes.select("node", F.col("wide").alias("mark")), _alike)
     labels = stage(some.select("node", F.col("best")["id"].alias("first"), F.col("best")["no_id"].alias("no_id")).join(labels, "node", "left")
                    .select("node", "first", "no_id", F.coalesce("root", "node").alias("root")), "labels")
     firsts = stage(labels.groupBy("root").agg(F.min(F.struct("no_id", "first"))["first"].alias("component_id")), "firsts")

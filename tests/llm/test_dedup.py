@@ -121,6 +121,36 @@ def test_near_groups(spark, odd):
         assert all(r.kept == (r.doc_id == r.component_id) for r in got)
 
 
+def test_near_pairs_at_the_threshold_are_linked(spark):
+    """Windows of one run of words, so that 3 of 4 shingles of the union are shared; one window in three holds the other, and one in four misses by one."""
+    rows, want, number = [], [], 0
+    for k in range(3600):
+        union = 4 * (4 + k % 62)
+        words = [f"w{number + j}" for j in range(union + 4)]
+        number += len(words)
+        left = (union // 4) * (k % 3) // 2
+        near = k % 4 != 3
+        rows += [(2 * k, " ".join(words[:union + 4 - left])), (2 * k + 1, " ".join(words[union // 4 - left + (not near):]))]
+        a, b = shingles(rows[-2][1]), shingles(rows[-1][1])
+        assert (4 * len(a & b) >= 3 * len(a | b)) == near
+        want += [2 * k, 2 * k if near else 2 * k + 1]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.component_id for r in neardup.near_groups(docs).collect()}
+    assert [i for i, w in enumerate(want) if got[i] != w] == []
+
+
+def test_alike_keeps_all_linked_pairs(spark):
+    rng = np.random.default_rng(4)
+    rows = []
+    for k in range(60_000):
+        union = 16 + 4 * (k % 3)
+        h = np.unique(rng.integers(0, 1 << 63, union)).tolist()
+        rows.append((h[:union - union // 8], h[union // 4 - union // 8:]))
+    pairs = spark.createDataFrame(rows, "a array<long>, b array<long>")
+    pairs = pairs.select(F.size("a").alias("n_a"), F.size("b").alias("n_b"), *(F.transform(c, lambda v: v.bitwiseAND(0x7FFFFFFF).cast("int")).alias(c) for c in "ab"))
+    assert pairs.where(~neardup._alike("a", "b")).count() == 0
+
+
 def test_near_dedup_keeps_one_of_each_group(odd, nothing):
     kept = neardup.near_dedup(odd)
     assert kept.columns == odd.columns
