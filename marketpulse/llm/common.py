@@ -6,6 +6,7 @@ import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Characters that separate words, as a Java and as an RE2 character class.
 SPACES = r"[\x20\x09-\x0D]"
@@ -32,9 +33,17 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
-def byte_slices(batch: pa.RecordBatch, column: str, most: int):
-    """Cut a batch into slices whose texts hold about ``most`` bytes; a longer text is alone."""
-    index = batch.schema.get_field_index(column)
+def plus_fields(schema: StructType, *fields: tuple[str, str]) -> StructType:
+    """``schema`` with further (name, type) fields, as a new object: frames cache theirs."""
+    out = StructType(list(schema.fields))
+    for name, kind in fields:
+        out.add(name, kind)
+    return out
+
+
+def byte_slices(batch: pa.RecordBatch, column: str | int, most: int):
+    """Cut a batch into slices whose texts (a column's, by name or place) hold about ``most`` bytes; a longer text is alone."""
+    index = column if isinstance(column, int) else batch.schema.get_field_index(column)
     sizes = pa.compute.binary_length(batch.column(index)).fill_null(0).to_numpy(zero_copy_only=False)
     start, held = 0, 0
     for i, n in enumerate(sizes):

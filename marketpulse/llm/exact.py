@@ -28,7 +28,7 @@ from math import ceil
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marketpulse.llm.common import SPACES, free_name, text_or_empty
+from marketpulse.llm.common import SPACES, free_name, plus_fields, text_or_empty
 from marketpulse.staging import shared_path, stage
 
 BITS_PER_ROW = 16
@@ -93,7 +93,7 @@ def _slices(df: DataFrame, sha: str, rows_per_filter: int):
     part = free_name(df, "slice")
     path = shared_path(df.sparkSession, "exact-slices")
     df.withColumn(part, F.pmod(F.xxhash64(sha, F.lit(2)), F.lit(n))).write.partitionBy(part).parquet(path)
-    whole = df.sparkSession.read.schema(df.schema.add(part, "long")).parquet(path)
+    whole = df.sparkSession.read.schema(plus_fields(df.schema, (part, "long"))).parquet(path)
     sizes = {r[0]: r[1] for r in whole.groupBy(part).count().collect()}  # one row a slice
     return [(whole.where(F.col(part) == i).drop(part), m) for i, m in sorted(sizes.items())]
 

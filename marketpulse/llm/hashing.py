@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 
 MULT = np.uint64(0x9E3779B97F4A7C15)
-PADDED = 400  # grams that hold nothing, added to every text
+PADDED = 2000  # grams that hold nothing, added to every text
 
 
 class Grams:

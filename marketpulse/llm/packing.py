@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marketpulse.llm.common import byte_slices
+from marketpulse.llm.common import byte_slices, plus_fields
 from marketpulse.staging import stage
 
 CAPACITY = 1024
@@ -165,7 +165,7 @@ def sum_of_squares(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.nd
 
 def _pack_once(pieces: DataFrame, tasks: int, number: int, capacity: int, most: int) -> DataFrame:
     """One round: the pieces with sequence_id, offset and loose (its bin is to be undone); ``most`` pieces are packed at a time."""
-    schema = pieces.schema.add("sequence_id", "long").add("offset", "long").add("loose", "boolean")
+    schema = plus_fields(pieces.schema, ("sequence_id", "long"), ("offset", "long"), ("loose", "boolean"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -179,7 +179,7 @@ def _pack_once(pieces: DataFrame, tasks: int, number: int, capacity: int, most:
             used += len(gaps)
             yield from rows.to_batches()
 
-    dealt = pieces.repartition(tasks, "id", "piece", "ids_crc32", F.lit(number)) if tasks > 1 else pieces.coalesce(1)
+    dealt = pieces.repartition(tasks, "id", "piece", "ids_crc32", F.lit(number)) if tasks > 1 else pieces.repartition(1)
     return dealt.sortWithinPartitions(F.desc("length"), "id", "piece", "ids_crc32").mapInArrow(run, schema)
 
 

@@ -7,8 +7,9 @@ maximisation on that table estimates the share of good documents and, for each
 heuristic, how it votes on either class. The posterior of a pattern is the label
 of its documents. A logistic scorer on hashed byte n-grams and three figures of
 word repetition is fitted on soft labels of a bounded sample (``SAMPLE_ROWS`` from
-either side, smallest hash first, texts up to ``SAMPLE_CHARS`` characters), and
-scores every whole text. Labels of people are not used.
+either side, smallest hash first, of any length), and
+scores every whole text. Sampled texts are reduced to their feature counts in
+parallel tasks; the fit gets at most ``2 ** BITS`` counts of each. Labels of people are not used.
 
 Defined cases: a null text counts as empty; all heuristics abstain on an empty
 text, and its score is that of the bias; if the votes give only one class,
@@ -26,14 +27,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marketpulse.llm.common import SPACES, byte_slices, free_name, text_or_empty, words_of
+from marketpulse.llm.common import SPACES, byte_slices, free_name, plus_fields, text_or_empty, words_of
 from marketpulse.llm.hashing import Grams, Sparse, fit_logistic, plus_column, sigmoid
 from marketpulse.staging import stage
 
 SIZES, BITS = (2, 3), 16
 FIGURES = 3  # reserved buckets: shares of repeated neighbours, of repeated words, of repeated words two apart
-SAMPLE_ROWS, SAMPLE_CHARS = 1500, 20_000
-ROUNDS, THRESHOLD = 200, 0.05
+SAMPLE_ROWS = 1500
+ROUNDS, THRESHOLD = 200, 0.2
 
 # Frequent short words of the corpus languages.
 FREQUENT = ("the of and to in is that it for as with was on be by der die das und den von mit ist nicht ein eine "
@@ -150,22 +151,28 @@ def fit(docs: DataFrame, text_col: str = "text") -> tuple[np.ndarray, float]:
     labelled = seen.join(F.broadcast(labels), "votes").select("key", "good").distinct()
     sides = [labelled.where(x).orderBy("key").limit(SAMPLE_ROWS) for x in ("good >= 0.5", "good < 0.5")]
     key = free_name(docs, "key")
-    sample = (docs.where(F.char_length(text_or_empty(text_col)) <= SAMPLE_CHARS).select(text_or_empty(text_col).alias("text"), row_key(docs, text_col).alias(key))
-              .join(F.broadcast(sides[0].union(sides[1]).withColumnRenamed("key", key)), key).select(key, "text", "good").dropDuplicates([key]))
+    sample = (docs.select(text_or_empty(text_col).alias("text"), row_key(docs, text_col).alias(key))
+              .join(F.broadcast(sides[0].union(sides[1]).withColumnRenamed("key", key)), key)
+              .select(F.col(key).alias("key"), "text", "good").dropDuplicates(["key"]))
     bad_share = float((counts * (1 - good)).sum() / counts.sum())
     prior = float(np.log((1 - bad_share) / bad_share))  # the bias: what is said of a text without features
 
+    def reduce_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in byte_slices(whole, "text", 1 << 20):
+                grams, figures = _features(batch.column("text").to_pylist())
+                found = [(np.concatenate([b, (1 << BITS) + np.arange(FIGURES)]), np.concatenate([GAIN * v, 5 * f]))
+                         for (b, v), f in zip(grams.rows(), figures)]
+                yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("good"), pa.array([c.astype("<i4").tobytes() for c, _ in found], pa.binary()),
+                                                  pa.array([v.astype("<f4").tobytes() for _, v in found], pa.binary())], ["key", "good", "columns", "shares"])
+
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [b for b in batches if b.num_rows]
         if not held:
             return
-        rows = pa.Table.from_batches(held).sort_by(held[0].schema.names[0])
-        texts, y = rows.column("text").to_pylist(), rows.column("good").to_numpy()
-        found = []
-        for i in range(0, len(texts), 50):
-            grams, figures = _features(texts[i:i + 50])
-            found += [(np.concatenate([b, (1 << BITS) + np.arange(FIGURES)]), np.concatenate([GAIN * v, 5 * f]))
-                      for (b, v), f in zip(grams.rows(), figures)]
+        rows = pa.Table.from_batches(held).sort_by("key")
+        y = rows.column("good").to_numpy()
+        found = [(np.frombuffer(c, "<i4"), np.frombuffer(v, "<f4")) for c, v in zip(rows.column("columns").to_pylist(), rows.column("shares").to_pylist())]
         side = y >= 0.5
         weight = np.where(side, (1 - bad_share) / max(1, side.sum()), bad_share / max(1, (~side).sum()))
         w, bias = fit_logistic(Sparse(found, width), y, weight, ridge=1e-5, fixed_bias=prior)
@@ -173,7 +180,8 @@ def fit(docs: DataFrame, text_col: str = "text") -> tuple[np.ndarray, float]:
         w[1 << BITS:] *= 5
         yield pa.RecordBatch.from_pydict({"weights": [w.astype("<f4").tobytes()], "bias": [bias]})
 
-    model = sample.coalesce(1).mapInArrow(learn, "weights binary, bias double").first()
+    reduced = sample.mapInArrow(reduce_texts, "key long, good double, columns binary, shares binary")
+    model = reduced.repartition(1).mapInArrow(learn, "weights binary, bias double").first()
     return (np.zeros(width), 4.0) if model is None else (np.frombuffer(model["weights"], "<f4").astype(float), model["bias"])
 
 
@@ -181,16 +189,16 @@ def quality_scores(docs: DataFrame, text_col: str = "text", name: str = "quality
     """``docs`` with the chance that a document is good in a further column."""
     weights, bias = fit(docs, text_col)
     weights = weights.astype(np.float32)
-    text, name = free_name(docs, "text_to_score"), free_name(docs, name)
+    text, name = docs.columns.index(text_col), free_name(docs, name)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in byte_slices(whole, text, 1 << 20):
                 grams, figures = _features(batch.column(text).to_pylist())
                 scores = sigmoid(grams.means(weights[:1 << BITS]) + figures @ weights[1 << BITS:] + bias)
-                yield plus_column(batch.drop_columns([text]), name, pa.array(scores))
+                yield plus_column(batch, name, pa.array(scores))
 
-    return docs.withColumn(text, F.col(text_col)).mapInArrow(run, docs.schema.add(name, "double"))
+    return docs.mapInArrow(run, plus_fields(docs.schema, (name, "double")))
 
 
 def quality_filter(docs: DataFrame, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
