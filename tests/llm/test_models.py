@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import SMALL
-from marketpulse.llm import divergence, hashing, quality, toxicity
+from marketpulse.llm import divergence, exact, hashing, quality, toxicity
 from marketpulse.staging import stage
 from odd import nothing, odd  # noqa: F401
 
@@ -123,6 +123,33 @@ def test_toxicity_of_odd_rows(spark, odd, nothing):  # noqa: F811
     assert toxicity.toxicity_scores(nothing, labels).count() == 0
 
 
+def test_toxicity_learns_from_texts_of_any_length(spark):
+    """Whole verdicts do not hang on a length: all texts long, or only the toxic ones."""
+    docs, labels = table(spark, "documents", DATA), table(spark, "labels", DATA)
+    filler = " ".join(f"plain{i % 37}" for i in range(1500))
+    long = docs.withColumn("text", F.concat(F.coalesce("text", F.lit("")), F.lit(" " + filler)))
+    toxic = labels.where("toxic = 1").select("doc_id").distinct().withColumn("hit", F.lit(True))
+    mixed = long.join(toxic, "doc_id", "left").withColumn("text", F.when(F.col("hit"), F.col("text")).otherwise(F.expr(f"substring(text, 1, char_length(text) - {len(filler) + 1})")))
+    for df in (long, mixed):
+        p = toxicity.toxicity_scores(df, labels).join(labels, "doc_id").toPandas()
+        assert p[p.toxic == 1].predicted.mean() > 0.9 and p[p.toxic == 0].predicted.mean() < 0.1
+
+
+def test_toxicity_with_texts_of_one_class_only(spark):
+    docs = spark.createDataFrame([(i, f"some words {i}") for i in range(20)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 0) for i in range(20)] + [(i, 1) for i in range(100, 110)], "doc_id long, toxic int")
+    assert {r.predicted for r in toxicity.toxicity_scores(docs, labels).collect()} == {0}
+
+
+def test_scorers_leave_their_input_as_it_was(spark):
+    docs, labels = table(spark, "documents"), table(spark, "labels")
+    before = list(docs.columns)
+    quality.quality_scores(docs)
+    toxicity.score(docs, (np.zeros(1 << toxicity.BITS), 0.0))
+    exact.exact_dedup(docs, rows_per_filter=50).count()
+    assert docs.columns == before and toxicity.toxicity_scores(docs, labels).count() == docs.count() and docs.columns == before
+
+
 # ---- quality ----
 
 def test_label_model_recovers_accuracies():
@@ -145,6 +172,14 @@ def test_quality_agrees_with_labels(spark):
     assert kept[p.quality == 1].mean() > 0.99 and kept[p.quality == 0].mean() < 0.4
 
 
+def test_quality_of_long_texts(spark):
+    docs, labels = table(spark, "documents", DATA), table(spark, "labels", DATA)
+    long = docs.withColumn("text", F.expr("repeat(concat(text, ' '), cast(ceil(20500 / greatest(1, char_length(text))) as int))"))
+    p = quality.quality_scores(long).join(labels, "doc_id").toPandas()
+    kept = p.quality_score >= quality.THRESHOLD
+    assert kept[p.quality == 1].mean() > kept[p.quality == 0].mean() + 0.3
+
+
 def test_quality_of_odd_rows(odd, nothing):  # noqa: F811
     scored = quality.quality_scores(odd)
     assert scored.columns == [*odd.columns, "quality_score_"] and scored.count() == odd.count()
