@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketpulse.llm import divergence, exact, lines, mixing, neardup, packing, quality, substrings, toxicity, warc
+from marketpulse.llm import divergence, exact, lines, mixing, neardup, packing, quality, sharding, substrings, toxicity, warc
 from marketpulse.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -109,3 +109,18 @@ def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op9_fuzzy_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.line_counts(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", F.array_join("removed", ",").alias("removed"))
+
+
+@query(sql=r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, octet_length(encode(coalesce(text, ''))) + 1 AS size,
+    CAST('0x' || substr(md5(coalesce(text, '')), 1, 15) AS BIGINT) AS k FROM documents),
+f AS (SELECT list(c ORDER BY b) AS f FROM (SELECT b, list_reduce(list_prepend(b, range(8)), lambda c, i: xor(c >> 1, 3988292384 * (c & 1))) AS c FROM range(256) r(b))),
+o AS (SELECT *, sum(size) OVER (ORDER BY k, doc_id NULLS FIRST ROWS UNBOUNDED PRECEDING) - size AS before, sum(size) OVER () AS total FROM d),
+s AS (SELECT *, CAST(before * 8 // total AS INT) AS shard, hex(encode(t)) AS h FROM o)
+SELECT doc_id, size, CAST(xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(size - 1), lambda i: CAST('0x' || substr(h, 2 * i + 1, 2) AS BIGINT))),
+    lambda c, b: xor(f[1 + (xor(c, b) & 255)], c >> 8))) AS BIGINT) AS text_crc32, 'bytes' AS law, shard,
+  row_number() OVER (PARTITION BY shard ORDER BY k, doc_id NULLS FIRST) - 1 AS slot, CAST(NULL AS INT) AS grown_shard
+FROM s, f""")
+def op12_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sharded = sharding.shard_documents(table(spark, sf_dir, "documents"), 8)
+    return sharded.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
