@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketpulse.llm import divergence, exact, lines, mixing, neardup, packing, quality, runs, sharding, substrings, toxicity, warc
+from marketpulse.llm import divergence, exact, lines, mixing, neardup, packing, phrases, quality, runs, sharding, substrings, toxicity, warc
 from marketpulse.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -133,3 +133,23 @@ def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), best["start"].alias("start"), best["length"].alias("length"),
                         best["period"].alias("period"), F.expr("(1000 * best.length) div best.period").alias("exponent_milli"),
                         F.sha2(runs.runs_text(F.col("runs")), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+@query(sql=r"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM p),
+g AS (SELECT lang, m, unnest(list_transform(range(1, greatest(1, len(w) - m + 2)), lambda i: w[i:i + m - 1])) AS g FROM w, range(1, 5) r(m)),
+f AS (SELECT lang, m, g, count(*) AS f FROM g GROUP BY ALL HAVING count(*) >= 30),
+t AS (SELECT lang, sum(len(w)) AS n FROM w GROUP BY lang),
+c AS (SELECT lang, m, g, f AS a, unnest(range(1, m)) AS k FROM f WHERE m > 1),
+s AS (SELECT c.*, x.f AS l, y.f AS r, CAST(2000000::HUGEINT * a // (x.f + y.f) AS BIGINT) AS score
+  FROM c JOIN f x ON x.lang = c.lang AND x.g = c.g[1:k] JOIN f y ON y.lang = c.lang AND y.g = c.g[k + 1:c.m]),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, k) = 1),
+u AS (SELECT lang, f, unnest(flatten(list_transform(range(2, m), lambda j: list_transform(range(1, m - j + 2), lambda i: g[i:i + j - 1])))) AS g FROM f WHERE m > 2),
+i AS (SELECT lang, g, max(f) AS longer FROM u GROUP BY lang, g),
+o AS (SELECT b.*, array_to_string(b.g, ' ') AS phrase FROM b LEFT JOIN i ON i.lang = b.lang AND i.g = b.g WHERE coalesce(100 * longer < 80 * a, true))
+SELECT o.lang, row_number() OVER (PARTITION BY o.lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, score
+FROM o JOIN t ON t.lang = o.lang QUALIFY rank <= 2000""")
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.phrases(table(spark, sf_dir, "documents"))
