@@ -12,11 +12,13 @@ from marketpulse.operators import intraday as I
 from marketpulse.operators import screening as H
 from marketpulse.operators import strength as S
 from marketpulse.operators import tradingdays as D
+from marketpulse.operators.scopes import screen
 from marketpulse.plans import jobs as J
 from marketpulse.sources import star
 from marketpulse.sources.ingest import read_bars
-from marketpulse.staging import shared_path
+from marketpulse.staging import shared_path, stage
 from marketpulse.streaming import live as V
+from marketpulse.streaming import sessions as W
 
 _ORDERS = "SELECT DISTINCT CAST(o_orderdate AS DATE) AS d FROM orders UNION SELECT DISTINCT CAST(ts AS DATE) FROM events"
 
@@ -193,6 +195,82 @@ for _slot in _SLOT_TERMS:
     _alert_check(_slot)
 
 
+# ---- the slots over the session's ticks: the auction ends at eight, so all four slots see trading ----
+
+
+def early_ticks(t):
+    return star.ticks_of(t.table("events"), opens=8)
+
+
+def tick_names(t):
+    return named_bars(t).select("code", "name").distinct()
+
+
+_EARLY = ("SELECT * REPLACE (CASE WHEN hour(ts) < 8 THEN 'pre_market' ELSE 'trading' END AS phase) FROM ticks")
+_AGES = f"SELECT code, trade_date, name, {_LISTED} FROM ({_NAMED})"
+
+
+def _as_of(at):
+    return f"""SELECT *, (close / nullif(pre_close, 0) - 1) * 100 AS change_ratio FROM (SELECT trade_date, code,
+        coalesce(arg_min(price, seq) FILTER (WHERE phase = 'pre_market'), arg_min(price, seq) FILTER (WHERE phase = 'trading')) AS pre_close,
+        coalesce(arg_max(price, seq) FILTER (WHERE phase = 'pre_market'), arg_min(price, seq) FILTER (WHERE phase = 'trading')) AS open,
+        max(price) FILTER (WHERE phase = 'trading') AS high,
+        coalesce(arg_max(price, (hhmm, seq)) FILTER (WHERE phase = 'trading'), arg_max(price, seq) FILTER (WHERE phase = 'pre_market')) AS close,
+        coalesce(arg_max(turnover, (hhmm, seq)) FILTER (WHERE phase = 'trading'), 0) AS amount
+        FROM early WHERE hhmm <= '{at}' GROUP BY 1, 2) JOIN ages USING (code, trade_date)"""
+
+
+#: The slots' minutes and conditions, with turnovers of this data's size.
+_TICK_SLOTS = {"933": ("09:33", _BODY.format("3.0") + " AND amount > 600 AND age > 5"), "945": ("09:45", _BODY.format("3.0") + " AND amount > 1000"),
+               "1000": ("10:00", _BODY.format("4.0") + " AND amount > 2000"),
+               "1430": ("14:30", f"change_ratio > 7 AND change_ratio < 12.1 AND NOT {_LIMIT_UP} AND NOT regexp_matches(upper(trim(name)), '^(S?\\*)?ST')")}
+_TICK_AMOUNTS = {"933": {"min_amount": 600.0}, "945": {"min_amount": 1000.0}, "1000": {"min_amount": 2000.0}, "1430": {}}
+_TICK_CTES = {"early": _EARLY, "ages": _AGES, "days": _ALL_DAYS,
+              **{f"hit{s}": f"SELECT trade_date, code, change_ratio FROM ({_as_of(at)}) WHERE {terms}" for s, (at, terms) in _TICK_SLOTS.items()}}
+
+
+@query("c12_running_gain", "trade_date:d code hhmm high:f max_gain:f",
+       """SELECT trade_date, code, hhmm, high, (high / nullif(pre_close, 0) - 1) * 100 AS max_gain FROM (
+          SELECT trade_date, code, hhmm, max(max(price)) OVER (PARTITION BY trade_date, code ORDER BY hhmm) AS high
+          FROM ticks WHERE phase = 'trading' GROUP BY 1, 2, 3) JOIN anchors USING (trade_date, code)""")
+def _(t):
+    return I.running_highs(t.ticks)
+
+
+@query("c12_slot_hits", "slot trade_date:d code change_ratio:f",
+       " UNION ALL ".join(f"SELECT '{s}' AS slot, * FROM hit{s}" for s in _TICK_SLOTS), **_TICK_CTES)
+def _(t):
+    ticks, names, found = early_ticks(t), tick_names(t), None
+    for slot, conf in H.SLOTS.items():
+        conditions = {k: v for k, v in conf.items() if k != "time"} | _TICK_AMOUNTS[slot]
+        hits = screen(J.with_labels(I.as_of_bars(ticks, conf["time"]), names), **conditions, history=t.bars).withColumn("slot", F.lit(slot))
+        found = hits if found is None else found.unionByName(hits)
+    return found
+
+
+def _slot_digests(slot):
+    hit = f"hit{slot}"
+    return f"""SELECT '{slot}' AS slot, trade_date, scope, coalesce(pool_size, 0) AS pool_size, coalesce(hit_total, 0) AS hit_total, coalesce(n, 0) AS group_hit_count
+        FROM days CROSS JOIN (VALUES ('custom'), ('market')) v(scope) LEFT JOIN (
+        SELECT trade_date, 'custom' AS scope, count(*) AS pool_size, count(*) FILTER (WHERE code IN (SELECT code FROM custom)) AS hit_total FROM {hit} GROUP BY 1
+        UNION ALL SELECT trade_date, 'market', count(*), count(*) FILTER (WHERE code IN (SELECT code FROM wm)) FROM {hit} GROUP BY 1) USING (trade_date, scope)
+        LEFT JOIN (SELECT trade_date, 'custom' AS scope, count(DISTINCT group_id) AS n FROM {hit} JOIN custom USING (code) GROUP BY 1
+        UNION ALL SELECT trade_date, 'market', count(DISTINCT group_id) FROM {hit} JOIN wm USING (code) GROUP BY 1) USING (trade_date, scope)"""
+
+
+_DIGEST_SPEC = "slot trade_date:d scope pool_size:i hit_total:i group_hit_count:i"
+
+
+def _tick_check(slot):
+    @query(f"m11_ticks_{slot}", _DIGEST_SPEC, _slot_digests(slot), **_TICK_CTES)
+    def _(t):
+        return J.slot_run(early_ticks(t), tick_names(t), t.bars, t.custom, t.scope, t.groups, slot, **_TICK_AMOUNTS[slot])
+
+
+for _slot in _TICK_SLOTS:
+    _tick_check(_slot)
+
+
 def m12(t):
     strength = S.multi_period_strength(t.bars, t.current, precision=None)
     return J.portfolio_report(t.holdings, t.current, strength, t.groups)
@@ -315,6 +393,29 @@ def _(t):
     return t.spark.read.parquet(out)
 
 
+def tick_batches(t, label, parts=5, opens=10):
+    """The events as a stream of ``parts`` micro-batches in order of time, every row once."""
+    events, path = t.table("events"), shared_path(t.spark, f"{label}-feed")
+    low, high = events.select(F.min(F.unix_micros(F.col("ts").cast("timestamp"))), F.max(F.unix_micros(F.col("ts").cast("timestamp")))).first()
+    part = F.least(F.lit(parts - 1), F.floor((F.unix_micros(F.col("ts").cast("timestamp")) - low) * parts / max(1, high - low)))
+    for i in range(parts):
+        events.where(part == i).coalesce(1).write.mode("append").parquet(path)
+    return star.ticks_of(t.spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(path), opens)
+
+
+@query("s5_slot_digests_stream", _DIGEST_SPEC, " UNION ALL ".join(_slot_digests(s) for s in _TICK_SLOTS), **_TICK_CTES)
+def _(t):
+    W.state_settings(t.spark)
+    out, names, custom, scope, bars_ = shared_path(t.spark, "s5-digests"), *(stage(x, "s5") for x in (tick_names(t), t.custom, t.scope, t.bars))
+
+    def run(bars):
+        return J.slot_digests(J.with_labels(bars, names), custom, scope, t.groups, bars_, _TICK_AMOUNTS)
+
+    (W.slot_quotes(tick_batches(t, "s5-digests", parts=3, opens=8)).writeStream.foreachBatch(W.fire_slots(run, out))
+     .option("checkpointLocation", shared_path(t.spark, "s5-digests-log")).trigger(availableNow=True).start().awaitTermination())
+    return t.spark.read.parquet(out)
+
+
 _SLIDE = """SELECT code, strftime(w, '%Y-%m-%d %H:%M') AS window_start, CASE WHEN a > 0 THEN (z - a) / a * 100 ELSE 0 END AS speed
     FROM (SELECT code, date_trunc('minute', ts) - INTERVAL 1 MINUTE * k AS w, arg_min(price, seq) AS a, arg_max(price, seq) AS z
           FROM ticks, (VALUES (0), (1), (2)) v(k) WHERE phase = 'trading' AND price > 0 GROUP BY 1, 2)"""

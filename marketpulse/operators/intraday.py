@@ -130,6 +130,45 @@ def indicators(ticks: DataFrame, at=None, resolve: bool = True) -> DataFrame:
     return with_metrics(as_of_ticks(ticks, at))
 
 
+def as_of_bars(ticks: DataFrame, at=None) -> DataFrame:
+    """C12 on ticks: a bar per instrument and session as of a minute (see ``cut_ticks``).
+
+    Everything is known at that minute: the anchors of the ticks up to it, the highest
+    trading price, the last price (of the auction while nothing has traded) and the
+    cumulative turnover. One combining aggregate.
+    """
+    trading = lambda c: F.when(_is(TRADING), c)
+    auction = lambda c: F.when(_is(PRE_MARKET), c)
+    place = F.struct("hhmm", "seq")
+    state = cut_ticks(ticks, at).groupBy(*KEY).agg(
+        F.min_by(F.struct(auction(F.col("price")).alias("p")), auction(F.col("seq"))).alias("a"),
+        F.max_by(F.struct(auction(F.col("price")).alias("p")), auction(F.col("seq"))).alias("z"),
+        F.min_by(F.struct(trading(F.col("price")).alias("p")), trading(F.col("seq"))).alias("t"),
+        F.max_by(F.struct("price", "turnover"), trading(place)).alias("last"), F.max(trading(F.col("price"))).alias("high"))
+    bars = state.select(
+        *KEY, F.coalesce("a.p", "t.p").alias("pre_close"), F.coalesce("z.p", "t.p").alias("open"), "high",
+        F.when(F.col("last").isNotNull(), F.col("last.price")).otherwise(F.col("z.p")).alias("close"),
+        F.coalesce("last.turnover", F.lit(0.0)).alias("amount"))
+    return bars.withColumn("change_ratio", M.pct_change("close", "pre_close"))
+
+
+def running_highs(ticks: DataFrame) -> DataFrame:
+    """The highest trading price up to every minute of an instrument's session, and the gain it makes.
+
+    Minutes are reduced to their maximum before the shuffle; the running maximum then
+    sees at most 1,440 rows of a session, however many ticks it has. The base is the first
+    auction price or, without one, the first trading price.
+    """
+    keys = [*KEY, "hhmm"]
+    minutes = ticks.filter(_is(TRADING)).groupBy(*keys).agg(F.max("price").alias("minute_high"))
+    so_far = Window.partitionBy(*KEY).orderBy("hhmm").rowsBetween(Window.unboundedPreceding, 0)
+    return (
+        minutes.withColumn("high", F.max("minute_high").over(so_far))
+        .join(session_anchors(ticks).select(*KEY, "pre_close"), list(KEY))
+        .select(*keys, "high", M.pct_change("high", "pre_close").alias("max_gain"))
+    )
+
+
 def compact_ticks(ticks: DataFrame) -> DataFrame:
     """The few ticks that determine the latest state of each instrument.
 

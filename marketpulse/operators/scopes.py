@@ -161,12 +161,13 @@ ST_NAME = r"^(S?\*)?ST"  # fixed values: the prefixes ST, *ST and S*ST
 def screen(bars: DataFrame, body_or_max: float | None = None, min_amount: float | None = None,
            listed_days: int | None = None, change_lo: float | None = None,
            change_hi: float | None = None, exclude_limit_up: bool = False,
-           exclude_st: bool = False) -> DataFrame:
+           exclude_st: bool = False, history: DataFrame | None = None) -> DataFrame:
     """Bars passing every given condition, for all dates at once.
 
-    ``body_or_max``: body or the day's maximum gain exceeds it. ``listed_days``:
-    more loaded trading dates than this since the first bar, that day included.
-    ``exclude_st`` needs a ``name`` column.
+    ``bars`` may be daily, or as of a minute (``intraday.as_of_bars``). ``body_or_max``:
+    body or the maximum gain so far exceeds it. ``listed_days``: more loaded trading
+    dates than this since the first bar, that day included; dates and first bars are
+    those of ``history``, by default ``bars``. ``exclude_st`` needs a ``name`` column.
     """
     df = bars
     if body_or_max is not None:
@@ -184,8 +185,9 @@ def screen(bars: DataFrame, body_or_max: float | None = None, min_amount: float
     if exclude_st:
         df = df.filter(~F.upper(F.trim(F.coalesce("name", F.lit("")))).rlike(ST_NAME))
     if listed_days is not None:
-        first = bars.groupBy("code").agg(F.min("trade_date").alias("__first"))
-        numbered = session_numbers(bars)
+        history = bars if history is None else history
+        first = history.groupBy("code").agg(F.min("trade_date").alias("__first"))
+        numbered = session_numbers(history)
         df = (
             df.join(first, "code")
             .join(F.broadcast(numbered), "trade_date")

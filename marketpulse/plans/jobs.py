@@ -12,6 +12,7 @@ from marketpulse.operators import attribution as K
 from marketpulse.operators import portfolio as Q
 from marketpulse.operators import screening as H
 from marketpulse.operators import upkeep as U
+from marketpulse.operators.intraday import as_of_bars
 from marketpulse.operators.scopes import current_members, effective_scope, keep_groups, screen
 from marketpulse.operators.strength import MIN_MEMBERS, multi_period_strength_on
 from marketpulse.sources.ingest import unpack_bars
@@ -41,24 +42,55 @@ def daily_run(spark: SparkSession, warehouse: str, raw_bars: DataFrame, members:
 
 
 def alert_run(bars: DataFrame, custom: DataFrame, market_members: DataFrame, groups: DataFrame, slot: str,
-              **changed) -> DataFrame:
+              history: DataFrame | None = None, **changed) -> DataFrame:
     """Screen with a slot's conditions, classify in both scopes, build digests.
 
-    ``bars`` carry a ``name``; every date of theirs has a row in either scope.
-    ``changed`` replaces single conditions. An unknown slot raises ``KeyError``.
+    ``bars`` carry a ``name``; every date of theirs has a row in either scope, and rows
+    without a code only stand for their date. ``history`` holds the bars that listing
+    ages are counted from. ``changed`` replaces single conditions. An unknown slot
+    raises ``KeyError``.
     """
-    conditions = {k: v for k, v in H.SLOTS[slot].items() if k != "time"} | changed
-    hits = screen(bars, **conditions).select("trade_date", "code", "name", "change_ratio")
+    return slot_digests(bars.withColumn("slot", F.lit(slot)), custom, market_members, groups, history, {slot: changed})
+
+
+def slot_digests(bars: DataFrame, custom: DataFrame, market_members: DataFrame, groups: DataFrame,
+                 history: DataFrame | None = None, slots: dict[str, dict] | None = None) -> DataFrame:
+    """M11 for several slots in one run: ``bars`` name their ``slot``, ``slots`` hold changed conditions of each."""
+    hits, by = None, ["trade_date", "slot"]
+    for slot, changed in (slots or {s: {} for s in H.SLOTS}).items():
+        conditions = {k: v for k, v in H.SLOTS[slot].items() if k != "time"} | changed
+        mine = bars.where((F.col("slot") == slot) & F.col("code").isNotNull())
+        found = screen(mine, **conditions, history=history).select(*by, "code", "name", "change_ratio")
+        hits = found if hits is None else hits.unionByName(found)
+    hits = stage(hits, "slot-hits")
     custom_names = custom.select("group_id", "group_name").distinct()
     own = hits.join(custom.select("code").distinct(), "code", "left_semi")
-    mine = H.classify_hits(own, custom, custom_names, "custom")
-    pool = hits.groupBy("trade_date").agg(F.count_distinct("code").alias("pool_size"))
-    mine.totals = pool.join(mine.totals.drop("pool_size"), "trade_date", "left").na.fill(
-        0, ["hit_total", "group_hit_count"])
-    market = H.classify_hits(hits, market_members, groups, "market")
-    dates = bars.select("trade_date").distinct()
-    both = [H.with_empty_digests(H.alert_digest(c, name), dates, name) for c, name in ((mine, "custom"), (market, "market"))]
-    return both[0].unionByName(both[1]).withColumn("slot", F.lit(slot))
+    mine = H.classify_hits(own, custom, custom_names, "custom", by)
+    pool = hits.groupBy(*by).agg(F.count_distinct("code").alias("pool_size"))
+    mine.totals = pool.join(mine.totals.drop("pool_size"), by, "left").na.fill(0, ["hit_total", "group_hit_count"])
+    market = H.classify_hits(hits, market_members, groups, "market", by)
+    snapshots = bars.select(*by).distinct()
+    both = [H.with_empty_digests(H.alert_digest(c, name, by=by), snapshots, name) for c, name in ((mine, "custom"), (market, "market"))]
+    return both[0].unionByName(both[1])
+
+
+def slot_run(ticks: DataFrame, names: DataFrame, history: DataFrame, custom: DataFrame, market_members: DataFrame,
+             groups: DataFrame, slot: str, **changed) -> DataFrame:
+    """M11 on a session's ticks: the alert run of a slot over all ticks up to its minute.
+
+    The slot's minute cuts every session alike; dates without a tick by then have a row of no
+    hits. ``names`` are (code, name).
+    """
+    bars = as_of_bars(ticks, H.SLOTS[slot]["time"])
+    silent = ticks.select("trade_date").distinct().join(bars.select("trade_date").distinct(), "trade_date", "left_anti")
+    named = with_labels(bars.unionByName(silent, allowMissingColumns=True), names)
+    return alert_run(named, custom, market_members, groups, slot, history, **changed)
+
+
+def with_labels(bars: DataFrame, names: DataFrame) -> DataFrame:
+    """``bars`` with the name of their instrument, or its code."""
+    labels = names.groupBy("code").agg(F.min("name").alias("name"))
+    return bars.join(labels, "code", "left").withColumn("name", F.coalesce("name", "code"))
 
 
 def isolated_digests(builders: dict[str, object], snapshots: DataFrame) -> DataFrame:

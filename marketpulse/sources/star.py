@@ -170,13 +170,13 @@ def group_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     return members(spark, sf_dir).select("code", "group_id", F.col("as_of").alias("map_date"))
 
 
-def ticks_of(events: DataFrame) -> DataFrame:
-    """Tick rows of an event frame, batch or stream; before ten is the auction."""
+def ticks_of(events: DataFrame, opens: int = 10) -> DataFrame:
+    """Tick rows of an event frame, batch or stream; before ten, or another hour, is the auction."""
     k = F.get_json_object("props", "$.k").cast("double")
     ts = F.col("ts").cast("timestamp")
     return events.select(
         code_of("user_id").alias("code"), F.to_date("ts").alias("trade_date"),
-        F.when(F.hour("ts") < 10, "pre_market").otherwise("trading").alias("phase"),
+        F.when(F.hour("ts") < opens, "pre_market").otherwise("trading").alias("phase"),
         F.col("event_id").alias("seq"), ts.alias("ts"), F.date_format("ts", "HH:mm").alias("hhmm"),
         F.col("value").alias("price"), F.col("value").alias("avg_price"), k.alias("volume"),
         (F.col("value") * 100).alias("turnover"), (k * 10 + 100).alias("matched_vol"),
