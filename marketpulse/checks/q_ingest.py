@@ -9,6 +9,8 @@ from marketpulse.operators import attribution as K
 from marketpulse.operators import returns as T
 from marketpulse.operators import scopes as Z
 from marketpulse.operators import upkeep as U
+from marketpulse.operators.upkeep import write_partitions
+from marketpulse.operators.versions import VersionedTable
 from marketpulse.operators.intraday import session_anchors
 from marketpulse.sources import ingest
 from marketpulse.staging import shared_path
@@ -236,6 +238,38 @@ def _(t):
     return t.spark.read.parquet(path)
 
 
+@query("b1_versioned_upsert", "code trade_date:d close:f amount:f version:i",
+       "SELECT code, trade_date, CASE WHEN trade_date >= DATE '2024-01-15' THEN close ELSE close + 1 END AS close, "
+       "CASE WHEN trade_date >= DATE '2024-01-15' THEN amount ELSE 0 END AS amount, 2 AS version FROM bars "
+       "UNION ALL SELECT code, trade_date, close + 1, 0, 1 FROM bars WHERE trade_date = DATE '2024-01-15'")
+def _(t):
+    table = VersionedTable(t.spark, shared_path(t.spark, "b1-versions"))
+    keys = ["code", "trade_date"]
+    rows = t.bars.select(*keys, "close", "amount")
+    table.upsert(rows.withColumn("close", F.col("close") + 1).withColumn("amount", F.lit(0.0)), keys)
+    table.upsert(rows.filter("trade_date >= date'2024-01-15'"), keys)
+    write_partitions(rows.limit(0), f"{table.path}/data/rows_version=3", "trade_date")  # a writer that died before it published
+    now, before = table.read().withColumn("version", F.lit(2)), table.read(dates=["2024-01-15"], version=1).withColumn("version", F.lit(1))
+    return now.unionByName(before)
+
+
+@query("b3_saved_selection", "group_id",
+       "SELECT group_id FROM mon WHERE group_id IN (SELECT group_id FROM watched)")
+def _(t):
+    path = shared_path(t.spark, "b3")
+    U.save_selection(t.watched.where("group_id LIKE '885%'"), t.members, path)
+    U.save_selection(t.watched, t.members, path)
+    return U.saved(t.spark, path)
+
+
+@query("a6_stored_groups", "group_id group_name code", "SELECT group_id, group_name, code FROM custom WHERE code LIKE '6%'")
+def _(t):
+    path = shared_path(t.spark, "a6")
+    U.save_whole(t.custom, path)
+    U.save_whole(t.custom.where("code LIKE '6%'"), path)
+    return U.saved(t.spark, path)
+
+
 @query("b1_upsert_order", "code close:f amount:f",
        "SELECT code, arg_max(close, trade_date) AS close, arg_max(amount, trade_date) AS amount FROM bars GROUP BY 1")
 def _(t):

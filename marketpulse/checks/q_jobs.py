@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from marketpulse.checks.q_groups import ATTR_CTES, EXPO, classify_ctes, figures, hits_of, multi_ctes
 from marketpulse.checks.q_ingest import bar_payloads
 from marketpulse.checks.registry import query
-from marketpulse.checks.sql import ZT, scored, tick_states
+from marketpulse.checks.sql import CTES, ZT, scored, tick_states
 from marketpulse.functions import clock
 from marketpulse.operators import attribution as K
 from marketpulse.operators import intraday as I
@@ -13,6 +13,7 @@ from marketpulse.operators import screening as H
 from marketpulse.operators import strength as S
 from marketpulse.operators import tradingdays as D
 from marketpulse.operators.scopes import screen
+from marketpulse.operators.versions import VersionedTable
 from marketpulse.plans import jobs as J
 from marketpulse.sources import star
 from marketpulse.sources.ingest import read_bars
@@ -103,7 +104,7 @@ def _(t):
        f"""SELECT trade_date, code, max(total_return) AS total_return, max(group_id) FILTER (pos = 1) AS top_group, count(*) AS n
            FROM att WHERE trade_date = DATE '{_DAY}' GROUP BY 1, 2""", **ATTR_CTES)
 def _(t):
-    stored = t.spark.read.parquet(f"{_daily(t)}/{J.ATTRIBUTION}")
+    stored = VersionedTable(t.spark, f"{_daily(t)}/{J.ATTRIBUTION}").read(dates=[_DAY])
     return K.attribution_from_json(stored).withColumn("n", F.size("attributions"))
 
 
@@ -416,6 +417,44 @@ def _(t):
     return t.spark.read.parquet(out)
 
 
+@query("s2_keyed_state_stream", "trade_date:d code change_ratio:f speed:f body:f acceleration:f amount:f",
+       "SELECT * FROM ind WHERE trade_date + INTERVAL 2 DAY > (SELECT max(ts) - INTERVAL 2 MINUTE FROM ticks)", **_STATE)
+def _(t):
+    W.state_settings(t.spark)
+    log = shared_path(t.spark, "s2-keyed-log")
+    _run(W.quote_changes(tick_batches(t, "s2-keyed")), lambda batch, _: batch.write.format("noop").mode("overwrite").save(), log)
+    return W.stored_quotes(t.spark, log)
+
+
+def _run(df, each, log):
+    df.writeStream.foreachBatch(each).option("checkpointLocation", log).trigger(availableNow=True).start().awaitTermination()
+
+
+_PARTS = 4
+
+
+def _delta_ctes():
+    """Per batch the ticks up to it of the dates it touches, and the strength they give."""
+    ctes = {"lims": "SELECT min(epoch_us(ts)) AS lo, max(epoch_us(ts)) AS hi FROM ticks",
+            "parted": f"SELECT *, least({_PARTS - 1}, (epoch_us(ts) - lo) * {_PARTS} // greatest(1, hi - lo)) AS part FROM ticks, lims"}
+    for b in range(_PARTS):
+        ctes[f"tk{b}"] = f"SELECT * FROM parted WHERE part <= {b} AND trade_date IN (SELECT trade_date FROM parted WHERE part = {b})"
+        ctes[f"an{b}"] = CTES["anchors"].replace("FROM ticks", f"FROM tk{b}")
+        ctes[f"ind{b}"] = tick_states(f"tk{b}", "trade_date, code").replace("JOIN anchors", f"JOIN an{b}")
+        ctes[f"fig{b}"] = figures(f"ind{b}", "wm", body="q.body")
+        ctes[f"sc{b}"] = scored(f"fig{b}", "trade_date")
+    return ctes
+
+
+@query("s3_strength_delta_stream", "batch_id:i trade_date:d group_id s1_return:f s2_breadth:f s4_relative:f s_body:f member_count:i score:f rank_1d:i",
+       " UNION ALL ".join(f"SELECT {b} AS batch_id, * FROM sc{b}" for b in range(_PARTS)), **_delta_ctes())
+def _(t):
+    W.state_settings(t.spark)
+    delta = W.StrengthByDelta(shared_path(t.spark, "s3-delta"), stage(t.scope, "scope"), precision=None)
+    _run(W.quote_changes(tick_batches(t, "s3-delta", _PARTS)), delta.merge, shared_path(t.spark, "s3-delta-log"))
+    return t.spark.read.parquet(delta.strength_path)
+
+
 _SLIDE = """SELECT code, strftime(w, '%Y-%m-%d %H:%M') AS window_start, CASE WHEN a > 0 THEN (z - a) / a * 100 ELSE 0 END AS speed
     FROM (SELECT code, date_trunc('minute', ts) - INTERVAL 1 MINUTE * k AS w, arg_min(price, seq) AS a, arg_max(price, seq) AS z
           FROM ticks, (VALUES (0), (1), (2)) v(k) WHERE phase = 'trading' AND price > 0 GROUP BY 1, 2)"""

@@ -93,10 +93,25 @@ def retain_since(df: DataFrame, cutoff=None, keep_days: int | None = None, colum
 def save_selection(requested: DataFrame, members: DataFrame, path: str) -> tuple[int, int]:
     """Overwrite the stored selection with its eligible groups.
 
-    Returns the numbers of saved and of excluded groups.
+    Returns the numbers of saved and of excluded groups. Readers see the old selection
+    until the new one is whole (see ``saved``).
     """
     from marketpulse.operators.scopes import eligible_selection
 
     eligible, excluded = eligible_selection(requested, members)
-    eligible.withColumn("added_at", F.current_timestamp()).write.mode("overwrite").parquet(path)
-    return eligible.sparkSession.read.parquet(path).count(), excluded.count()
+    save_whole(eligible.withColumn("added_at", F.current_timestamp()), path)
+    return saved(eligible.sparkSession, path).count(), excluded.count()
+
+
+def save_whole(rows: DataFrame, path: str) -> None:
+    """Replace a small stored table (a selection, the user groups) by ``rows``."""
+    from marketpulse.operators.versions import VersionedTable
+
+    VersionedTable(rows.sparkSession, path, None).replace(rows)
+
+
+def saved(spark: SparkSession, path: str) -> DataFrame:
+    """The table that ``save_whole`` or ``save_selection`` stored last."""
+    from marketpulse.operators.versions import VersionedTable
+
+    return VersionedTable(spark, path, None).read()

@@ -15,6 +15,7 @@ from marketpulse.operators import upkeep as U
 from marketpulse.operators.intraday import as_of_bars
 from marketpulse.operators.scopes import current_members, effective_scope, keep_groups, screen
 from marketpulse.operators.strength import MIN_MEMBERS, multi_period_strength_on
+from marketpulse.operators.versions import VersionedTable
 from marketpulse.sources.ingest import unpack_bars
 from marketpulse.staging import stage
 
@@ -27,18 +28,17 @@ def daily_run(spark: SparkSession, warehouse: str, raw_bars: DataFrame, members:
     """Load payloads, then store strength and attribution of one date.
 
     Bars are upserted by (code, date), rewriting only the date partitions in
-    the payload; results replace their date. Every step restarts cleanly.
+    the payload, beside the old ones until one rename makes them current; results
+    replace their date. Every step restarts cleanly and reads only the dates it needs.
     """
-    U.upsert_table(spark, f"{warehouse}/{BARS}", unpack_bars(raw_bars), ["code", "trade_date"], "trade_date")
-    bars = spark.read.parquet(f"{warehouse}/{BARS}")
+    stored = VersionedTable(spark, f"{warehouse}/{BARS}")
+    stored.upsert(unpack_bars(raw_bars), ["code", "trade_date"])
     scope = effective_scope(watched, groups, members, pool)
     scoped = stage(current_members(keep_groups(members, scope)), "scope")
-    strength = multi_period_strength_on(bars, scoped, date, min_members=min_members, precision=precision)
+    strength = multi_period_strength_on(stored.read(end=date), scoped, date, min_members=min_members, precision=precision)
     U.replace_partition(strength, f"{warehouse}/{STRENGTH}")
-    day = bars.filter(F.col("trade_date") == F.lit(date).cast("date"))
-    detail = K.daily_attribution(day, members, groups, scope, pool, digits=precision)
-    U.upsert_table(spark, f"{warehouse}/{ATTRIBUTION}", K.attribution_to_json(detail),
-                   ["code", "trade_date"], "trade_date")
+    detail = K.daily_attribution(stored.read(dates=[date]), members, groups, scope, pool, digits=precision)
+    VersionedTable(spark, f"{warehouse}/{ATTRIBUTION}").upsert(K.attribution_to_json(detail), ["code", "trade_date"])
 
 
 def alert_run(bars: DataFrame, custom: DataFrame, market_members: DataFrame, groups: DataFrame, slot: str,

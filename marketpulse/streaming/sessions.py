@@ -19,10 +19,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
 from marketpulse.functions import measures as M
-from marketpulse.operators.intraday import TAIL, with_metrics
+from marketpulse.operators.intraday import EXACT, TAIL, with_metrics
 from marketpulse.operators.screening import SLOTS
+from marketpulse.operators.strength import BY_DATE, MIN_MEMBERS, SCORE_WEIGHTS, finish_figures, score_groups
 from marketpulse.schemas import PRE_MARKET, TRADING
-from marketpulse.staging import exists, stage
+from marketpulse.staging import exists, remove, stage
 
 # Processors travel to the workers by value; they need not have the package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -231,3 +232,65 @@ def fire_slots(run: Callable[[DataFrame], DataFrame], out: str) -> Callable[[Dat
              .partitionBy("batch_id").parquet(out))
 
     return fire
+
+
+# ---- strength by differences (S3) ----
+
+MARKET = ""  # the id under which a date's whole market is summed
+SUMS = ("change", "known", "up", "n", "body")
+
+
+class StrengthByDelta:
+    """S3: group strength kept up to date by what each trigger changes.
+
+    A touched session takes its old contribution out of its groups' sums and puts the new one
+    in, so a trigger joins only its own sessions with the members. Sums are exact decimals
+    (nothing drifts) in one small table per batch: a row for each open date and group, built from the table of the
+    batch before. A replayed batch builds the same table again. Dates end ``keep_days``
+    after their day.
+    """
+
+    def __init__(self, path: str, members: DataFrame, min_members: int = MIN_MEMBERS, precision: int | None = 4, keep_days: int = 1):
+        self.path, self.members = path.rstrip("/"), members.select("group_id", "code").distinct()
+        self.min_members, self.precision, self.keep_days = min_members, precision, keep_days
+
+    @property
+    def strength_path(self) -> str:
+        return f"{self.path}/strength"
+
+    def _table(self, batch_id: int) -> str:
+        return f"{self.path}/sums/batch_id={batch_id}"
+
+    def merge(self, changes: DataFrame, batch_id: int) -> None:
+        """``foreachBatch`` function over ``quote_changes``."""
+        spark = changes.sparkSession
+        changes = stage(changes, "quote-changes")
+        change = F.col("change_ratio")
+
+        def contributions(when: str, sign: int) -> DataFrame:
+            values = {"change": F.coalesce(change, F.lit(0.0)).cast(EXACT), "known": change.isNotNull().cast("long"),
+                      "up": F.coalesce(change > 0, F.lit(False)).cast("long"), "n": F.lit(1).cast("long"), "body": F.col("body").cast(EXACT)}
+            return figures_of(changes, when).select(*KEY, *[(v * sign).alias(c) for c, v in values.items()])
+
+        def added(df: DataFrame, *keys: str) -> DataFrame:
+            return df.groupBy(*keys).agg(*[F.sum(c).cast(EXACT if c in ("change", "body") else "long").alias(c) for c in SUMS])
+
+        steps = added(contributions("after", 1).unionByName(contributions("before", -1)), *KEY)
+        market = added(steps, "trade_date").withColumn("group_id", F.lit(MARKET))
+        sums = added(steps.join(self.members, "code"), "trade_date", "group_id").unionByName(market)
+        earlier = next((self._table(i) for i in range(batch_id - 1, -1, -1) if exists(spark, self._table(i))), None)
+        if earlier:
+            known = spark.read.schema(sums.schema).parquet(earlier)
+            latest = known.agg(F.max("trade_date")).scalar()
+            opened = known.where(F.date_add("trade_date", self.keep_days) >= latest)
+            sums = added(opened.unionByName(sums), "trade_date", "group_id")
+        sums.write.mode("overwrite").parquet(self._table(batch_id))
+        now = spark.read.schema(sums.schema).parquet(self._table(batch_id)).join(changes.select("trade_date").distinct(), "trade_date", "left_semi")
+        mean = lambda c, n: F.try_divide(F.col(c).cast("double"), F.col(n))
+        groups = now.where(F.col("group_id") != MARKET).select(
+            "trade_date", "group_id", mean("change", "known").alias("s1"), "up", F.col("n").alias("member_count"), mean("body", "n").alias("body_mean"))
+        whole = now.where(F.col("group_id") == MARKET).select("trade_date", mean("change", "known").alias("market_return"))
+        figures = finish_figures(groups, whole, BY_DATE, self.min_members, self.precision)
+        score_groups(figures, BY_DATE, SCORE_WEIGHTS).write.mode("overwrite").parquet(f"{self.strength_path}/batch_id={batch_id}")
+        if batch_id > 1:
+            remove(spark, self._table(batch_id - 2))
