@@ -18,7 +18,8 @@ from marketpulse.operators import rotation as O
 from marketpulse.operators import screening as H
 from marketpulse.operators import scopes as Z
 from marketpulse.operators import strength as S
-from marketpulse.staging import stage
+from marketpulse.plans.runlog import RunLog, strength_step
+from marketpulse.staging import shared_path, stage
 
 G2_SPEC = ("trade_date:d group_id s1_return:f s2_breadth:f s4_relative:f s_body:f member_count:i "
            "z_s1:f z_s2:f z_s4:f score:f rank_1d:f0")
@@ -309,6 +310,35 @@ def _(t):
     return watched
 
 
+@query("g21_run_log", "run_id step metric value:i error",
+       """SELECT 'r' AS run_id, 'group_strength' AS step, unnest(['groups_seen', 'skipped_for_size', 'rows_saved', 'rows_unscored', 'failed']) AS metric,
+          unnest([(SELECT count(*) FROM allg), (SELECT count(*) FROM allg WHERE member_count < 12), (SELECT count(*) FROM sc),
+                  (SELECT count(*) FROM sc WHERE score IS NULL), 0]) AS value, NULL AS error
+          UNION ALL SELECT 'r', 'attribution', 'failed', 1, 'ValueError'""",
+       allg=figures("bars", "cur", minimum=0), fig=figures("bars", "cur", minimum=12), sc=scored("fig", "trade_date"))
+def _(t):
+    def broken():
+        raise ValueError("no mapping")
+
+    log = RunLog(t.spark, shared_path(t.spark, "g21-log"), "r")
+    out = shared_path(t.spark, "g21-strength")
+    strength_step(log, t.bars, t.current, lambda df: df.write.parquet(out), min_members=12, precision=None)
+    log.step("attribution", broken, lambda df: df.write.parquet(out))
+    return log.save()
+
+
+@query("i5_positions", "code trade_date:d change_ratio:f pos:i",
+       "SELECT code, trade_date, change_ratio, row_number() OVER (ORDER BY change_ratio DESC NULLS LAST, code, trade_date) AS pos FROM bars")
+def _(t):
+    return R.ordered_positions(t.bars.select("code", "trade_date", "change_ratio"), "change_ratio", True, "last", ["code", "trade_date"])
+
+
+@query("i6_positions_zero", "code trade_date:d change_ratio:f pos:i",
+       "SELECT code, trade_date, change_ratio, row_number() OVER (ORDER BY coalesce(change_ratio, 0), code, trade_date) AS pos FROM bars")
+def _(t):
+    return R.ordered_positions(t.bars.select("code", "trade_date", "change_ratio"), "change_ratio", False, "zero", ["code", "trade_date"])
+
+
 _TB = """SELECT trade_date, 'top' AS section, group_id, score, row_number() OVER (PARTITION BY trade_date ORDER BY score DESC NULLS LAST, group_id) AS pos FROM sc
     UNION ALL SELECT trade_date, 'bottom', group_id, score, row_number() OVER (PARTITION BY trade_date ORDER BY score ASC NULLS FIRST, group_id DESC) FROM sc"""
 
@@ -383,6 +413,36 @@ def _(t):
     return daily_attribution(t)
 
 
+_DAY_MAPS = "SELECT d.trade_date, max(m.as_of) AS as_of FROM days d JOIN (SELECT DISTINCT as_of FROM members) m ON m.as_of <= d.trade_date GROUP BY 1"
+_LAST_MAPS = "SELECT trade_date, (SELECT max(as_of) FROM members) AS as_of FROM days"
+
+
+def _mapped(day_maps):
+    return ATTR_CTES | {
+        "dm": day_maps,
+        "wts": "SELECT as_of, code, group_id, 1.0 / count(*) OVER (PARTITION BY as_of, code) AS weight FROM (SELECT DISTINCT as_of, code, group_id FROM members) JOIN grp USING (group_id)",
+        "uni": f"SELECT DISTINCT as_of, code FROM members WHERE {DOMESTIC}",
+        "inst": "SELECT d.trade_date, d.as_of, u.code, coalesce(b.change_ratio, 0) AS total_return FROM dm d JOIN uni u USING (as_of) "
+                "LEFT JOIN bars b ON b.code = u.code AND b.trade_date = d.trade_date WHERE b.code IS NULL OR b.change_ratio IS NOT NULL",
+        "contrib": "SELECT i.trade_date, i.code, i.total_return, w.group_id, w.weight, coalesce(g.gr, 0) AS group_return, "
+                   "w.weight * coalesce(g.gr, 0) AS contribution FROM inst i JOIN wts w USING (as_of, code) "
+                   "LEFT JOIN gret g ON g.trade_date = i.trade_date AND g.group_id = w.group_id"}
+
+
+def _mapping_check(name, day_maps, dated):
+    @query(name, "trade_date:d code total_return:f top_group top_contrib_pct:f4 n:i total:f",
+           "SELECT trade_date, code, total_return, max(group_id) FILTER (pos = 1) AS top_group, max(contrib_pct) FILTER (pos = 1) AS top_contrib_pct, "
+           "count(*) AS n, sum(contribution) AS total FROM att GROUP BY 1, 2, 3", **_mapped(day_maps))
+    def _(t):
+        mapping = t.members.select("code", "group_id", F.col("as_of").alias("map_date"))
+        out = K.mapped_attribution(t.bars, mapping, t.members, t.groups, t.scope.select("group_id").distinct(), dated, digits=None)
+        return out.withColumn("n", F.size("attributions")).withColumn("total", F.aggregate("attributions", F.lit(0.0), lambda a, e: a + e["contribution"]))
+
+
+_mapping_check("k2_mapping_attribution", _DAY_MAPS, True)
+_mapping_check("k2_mapping_latest", _LAST_MAPS, False)
+
+
 @query("k3_equal_weights", "code group_id map_date:d weight:f",
        "SELECT code, group_id, as_of AS map_date, 1.0 / count(*) OVER (PARTITION BY code, as_of) AS weight FROM members")
 def _(t):

@@ -20,6 +20,7 @@ from marketpulse.sources.ingest import read_bars
 from marketpulse.staging import shared_path, stage
 from marketpulse.streaming import live as V
 from marketpulse.streaming import sessions as W
+from marketpulse.streaming.intake import TickIntake
 
 _ORDERS = "SELECT DISTINCT CAST(o_orderdate AS DATE) AS d FROM orders UNION SELECT DISTINCT CAST(ts AS DATE) FROM events"
 
@@ -367,6 +368,61 @@ def _(t):
     return _drain(t, V.dedupe_ticks(tick_stream(t)), "s4")
 
 
+_INTAKE_PARTS = 4
+
+
+def _arrivals(t):
+    """Ticks with the batch in which they arrive: some twice at once, some again in the next, some one or two batches late and then corrected."""
+    events = t.table("events").withColumn("ts", F.col("ts").cast("timestamp"))
+    low, high = events.select(F.min(F.unix_micros("ts")), F.max(F.unix_micros("ts"))).first()
+    part = F.least(F.lit(_INTAKE_PARTS - 1), F.floor((F.unix_micros("ts") - low) * _INTAKE_PARTS / max(1, high - low))).cast("int")
+    k = F.col("event_id")
+    delay = F.when(k % 13 == 0, 2).when(k % 11 == 0, 1).otherwise(0)
+    again = F.when((k % 7 == 0) & (part + delay + 1 < _INTAKE_PARTS), delay + 1)
+    times = F.filter(F.array(delay, F.when(k % 5 == 0, delay), again), lambda x: x.isNotNull())
+    change = F.when(F.col("d") > delay, 2).when(delay > 0, 1).otherwise(0)
+    return (events.withColumn("part", part).withColumn("d", F.explode(times)).withColumn("value", F.col("value") + change)
+            .withColumn("arrives", F.least(F.lit(_INTAKE_PARTS - 1), F.col("part") + F.col("d"))).drop("part", "d"))
+
+
+def intake(t, label):
+    arrivals, feed = stage(_arrivals(t), label), shared_path(t.spark, f"{label}-feed")
+    for i in range(_INTAKE_PARTS):
+        arrivals.where(F.col("arrives") == i).drop("arrives").coalesce(1).write.mode("append").parquet(feed)
+    stream = star.ticks_of(t.spark.readStream.schema(arrivals.drop("arrives").schema).option("maxFilesPerTrigger", 1).parquet(feed))
+    box = TickIntake(shared_path(t.spark, label), lateness="12 hours", horizon="9 days")
+    stream.writeStream.foreachBatch(box.merge).option("checkpointLocation", shared_path(t.spark, f"{label}-log")).trigger(availableNow=True).start().awaitTermination()
+    return box, star.ticks_of(arrivals.drop("arrives"))
+
+
+_ARRIVALS = f"""SELECT * REPLACE (price + CASE WHEN d > delay THEN 2 WHEN delay > 0 THEN 1 ELSE 0 END AS price), least({_INTAKE_PARTS - 1}, part + d) AS arrives FROM (
+    SELECT *, unnest(list_filter([delay, CASE WHEN seq % 5 = 0 THEN delay END, CASE WHEN seq % 7 = 0 AND part + delay + 1 < {_INTAKE_PARTS} THEN delay + 1 END], lambda x: x IS NOT NULL)) AS d FROM (
+    SELECT ticks.*, least({_INTAKE_PARTS - 1}, (epoch_us(ts) - lo) * {_INTAKE_PARTS} // greatest(1, hi - lo)) AS part,
+      CASE WHEN seq % 13 = 0 THEN 2 WHEN seq % 11 = 0 THEN 1 ELSE 0 END AS delay
+    FROM ticks, (SELECT min(epoch_us(ts)) AS lo, max(epoch_us(ts)) AS hi FROM ticks)))"""
+_INTAKE = {"arr": _ARRIVALS,
+           "marks": "SELECT arrives, max(max(ts)) OVER (ORDER BY arrives ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - INTERVAL 12 HOUR AS mark FROM arr GROUP BY 1",
+           "kinds_": "SELECT a.*, CASE WHEN mark IS NULL OR ts >= mark THEN 'on_time' WHEN ts >= mark - INTERVAL 9 DAY THEN 'late' ELSE 'too_late' END AS kind, "
+                     "row_number() OVER (PARTITION BY seq, (mark IS NULL OR ts >= mark) ORDER BY a.arrives) AS nth FROM arr a JOIN marks USING (arrives)"}
+
+
+@query("s4_intake_counts", "batch_id:i arrived:i repeated:i on_time:i late:i too_late:i",
+       """SELECT arrives AS batch_id, count(*) AS arrived, count(*) FILTER (kind = 'on_time' AND nth > 1) AS repeated, count(*) FILTER (kind = 'on_time' AND nth = 1) AS on_time,
+          count(*) FILTER (kind = 'late') AS late, count(*) FILTER (kind = 'too_late') AS too_late FROM kinds_ GROUP BY 1""", **_INTAKE)
+def _(t):
+    box, _ = intake(t, "s4-counts")
+    return box.counts(t.spark).where("arrived > 0")
+
+
+@query("s4_revised_ticks", "code trade_date:d seq:i price:f", "SELECT code, trade_date, seq, arg_max(price, arrives) AS price FROM kinds_ WHERE kind = 'late' OR kind = 'on_time' AND nth = 1 GROUP BY 1, 2, 3", **_INTAKE)
+def _(t):
+    box, ticks = intake(t, "s4-revised")
+    table = VersionedTable(t.spark, shared_path(t.spark, "s4-ticks"))
+    box.revise(ticks, table, up_to=1)
+    box.revise(ticks, table)
+    return table.read()
+
+
 @query("s5_session_gate_stream", "code trade_date:d seq:i",
        """SELECT code, trade_date, seq FROM ticks WHERE trade_date IN (SELECT trade_date FROM cal) AND hour(ts) * 60 + minute(ts) >= 555""")
 def _(t):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,14 +36,15 @@ def groups_from_members(members: DataFrame, groups: DataFrame, pool: DataFrame |
 
 
 def attribute(instruments: DataFrame, weights: DataFrame, group_returns: DataFrame,
-              digits: int | None = 4, days: Column | None = None) -> DataFrame:
+              digits: int | None = 4, days: Column | None = None, keys: Sequence[str] = ("code",)) -> DataFrame:
     """K1: one row per (snapshot, instrument) with its ordered contributions.
 
     ``instruments``: trade_date, code, total_return. ``weights``: code,
     group_id, weight. ``group_returns``: trade_date, group_id, group_return;
     missing ones count as 0. Shares divide the rounded contribution by the
     signed total of unrounded ones, 0 when the total vanishes. ``days`` may
-    give the array of dates in ``instruments`` when the caller knows it.
+    give the array of dates in ``instruments`` when the caller knows it. ``keys`` tell
+    whose weights they are: an instrument's, or those of an instrument in a snapshot.
 
     The contributions depend on an instrument's groups and weights only, not on
     the instrument: they are worked out once per date and distinct profile of
@@ -51,7 +54,7 @@ def attribute(instruments: DataFrame, weights: DataFrame, group_returns: DataFra
     if days is None:
         days = instruments.select(F.collect_set("trade_date")).scalar()
     profiles = stage(
-        weights.groupBy("code")
+        weights.groupBy(*keys)
         .agg(F.array_sort(F.collect_list(F.struct("group_id", "weight"))).alias("profile"))
         .withColumn("profile_id", F.md5(F.to_json("profile"))),
         "profiles")
@@ -84,7 +87,7 @@ def attribute(instruments: DataFrame, weights: DataFrame, group_returns: DataFra
     detail = stage(per_profile.select(
         "trade_date", "profile_id", F.transform("entries", finish).alias("attributions")), "profile_attributions")
     return (
-        instruments.join(profiles.select("code", "profile_id"), "code")
+        instruments.join(profiles.select(*keys, "profile_id"), list(keys))
         .join(detail, ["trade_date", "profile_id"])
         .select(
             "trade_date", "code", "total_return",
@@ -125,6 +128,43 @@ def daily_attribution(bars: DataFrame, members: DataFrame, groups: DataFrame, sc
     return attribute(instruments, weights, returns, digits, days)
 
 
+def mapped_attribution(bars: DataFrame, mapping: DataFrame, members: DataFrame, groups: DataFrame,
+                       scope: DataFrame | None = None, dated: bool = True, digits: int | None = 4) -> DataFrame:
+    """K2 without a pool: instruments and their groups come from the dated mapping.
+
+    ``mapping``: code, group_id, map_date. Every date of ``bars`` takes the latest
+    snapshot of the mapping that is not after it (``dated``; a date before the first has no
+    rows), so a backfill sees what was known then, or else the latest of all. The domestic
+    instruments of that snapshot are attributed over its dictionary groups; quotes and
+    group returns are those of ``daily_attribution``. Snapshots are given to
+    dates, which are few; instruments meet only the dates of their snapshot.
+    """
+    days = bars.select("trade_date").distinct()
+    known = mapping.select("map_date").distinct()
+    if dated:
+        marks = days.select(F.col("trade_date").alias("at"), "trade_date", F.lit(None).cast("date").alias("map_date")).unionByName(
+            known.select(F.col("map_date").alias("at"), F.lit(None).cast("date").alias("trade_date"), "map_date"))
+        up_to = Window.partitionBy(F.lit(0)).orderBy("at").rangeBetween(Window.unboundedPreceding, 0)  # a row for each date of the calendar
+        valid = marks.withColumn("map_date", F.max("map_date").over(up_to)).where(F.col("trade_date").isNotNull() & F.col("map_date").isNotNull())
+    else:
+        valid = days.withColumn("map_date", known.agg(F.max("map_date")).scalar())
+    valid = stage(valid.select("trade_date", "map_date"), "mapping-days")
+    pairs = mapping.join(F.broadcast(valid.select("map_date").distinct()), "map_date", "left_semi").select("map_date", "code", "group_id").distinct()
+    universe = pairs.filter(C.is_domestic()).select("map_date", "code").distinct().join(F.broadcast(valid), "map_date")
+    quotes = bars.select("trade_date", "code", "change_ratio", F.lit(True).alias("__quoted"))
+    instruments = (
+        universe.join(quotes, ["trade_date", "code"], "left")
+        .filter(F.col("change_ratio").isNotNull() | F.col("__quoted").isNull())
+        .select("map_date", "trade_date", "code", F.coalesce("change_ratio", F.lit(0.0)).alias("total_return"))
+    )
+    scoped = members if scope is None else keep_groups(members, scope)
+    returns = stage(group_return(
+        bars.filter(F.col("change_ratio").isNotNull()).select("trade_date", "code", "change_ratio"),
+        latest_by(scoped, ["group_id"])), "group_returns")
+    weights = equal_weights(keep_groups(pairs, groups.select("group_id").distinct()), keys=("map_date", "code"))
+    return attribute(instruments, weights, returns, digits, valid.select(F.collect_set("trade_date")).scalar(), keys=("map_date", "code"))
+
+
 def attribution_rows(attributed: DataFrame) -> DataFrame:
     """Long form of the detail: one row per contribution, numbered from 1."""
     return attributed.select("trade_date", "code", F.posexplode("attributions").alias("pos", "e")).select(

@@ -59,6 +59,24 @@ def standardise(df: DataFrame, columns: Sequence[str], by: Sequence[str]) -> Dat
     ])
 
 
+def ordered_positions(df: DataFrame, key: str, descending: bool = True, nulls: str = "last",
+                      tie: Sequence[str] = (), out: str = "pos") -> DataFrame:
+    """I5/I6 as rows: the place of each row, from 1, in the order of ``order_nulls``.
+
+    Rows are range-partitioned and sorted in that order and staged with their place in
+    their partition; partitions before it add one sum each. No task holds the list.
+    ``tie`` has to make the order total for places to be the same on every run.
+    """
+    value = F.coalesce(F.col(key), F.lit(0)) if nulls == "zero" else F.col(key)
+    order = [value.desc_nulls_last() if descending else value.asc_nulls_last(), *(F.col(c).asc() for c in tie)]
+    placed = stage(
+        df.repartitionByRange(*order).sortWithinPartitions(*order)
+        .withColumns({"__b": F.spark_partition_id(), "__i": F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)}), "ordered")
+    before = Window.partitionBy(F.lit(0)).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition
+    starts = placed.groupBy("__b").agg(F.count(F.lit(1)).alias("__n")).select("__b", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
+    return placed.join(F.broadcast(starts), "__b").withColumn(out, F.col("__start") + F.col("__i") + 1).select(*df.columns, out)
+
+
 def weighted(weights: dict[str, float], prefix: str = "z_") -> Column:
     """Weighted sum of standardised columns."""
     total = None

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -53,10 +53,11 @@ def score_groups(aggregated: DataFrame, by: Sequence[str], weights: dict[str, fl
 
 
 def aggregate_groups(joined: DataFrame, market: DataFrame, by: Sequence[str], min_members: int,
-                     precision: int | None) -> DataFrame:
+                     precision: int | None, watch: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Means, breadth and relative strength per group; small groups drop out.
 
     ``member_count`` counts quoted members, also those whose change is unknown.
+    ``watch`` sees the figures of all groups, before small ones drop out (G21).
     """
     body = F.avg("body") if "body" in joined.columns else F.lit(None).cast("double")
     figures = joined.groupBy(*by, "group_id").agg(
@@ -65,7 +66,7 @@ def aggregate_groups(joined: DataFrame, market: DataFrame, by: Sequence[str], mi
         F.count(F.lit(1)).alias("member_count"),
         body.alias("body_mean"),
     )
-    return finish_figures(figures, market, by, min_members, precision)
+    return finish_figures(watch(figures) if watch else figures, market, by, min_members, precision)
 
 
 def finish_figures(figures: DataFrame, market: DataFrame, by: Sequence[str], min_members: int,
@@ -92,7 +93,8 @@ def finish_figures(figures: DataFrame, market: DataFrame, by: Sequence[str], min
 def group_strength(quotes: DataFrame, members: DataFrame, by: Sequence[str] = BY_DATE,
                    weights: dict[str, float] | None = None, min_members: int = MIN_MEMBERS,
                    precision: int | None = 4, order: str | None = None,
-                   groups: DataFrame | None = None, unique: bool = False) -> DataFrame:
+                   groups: DataFrame | None = None, unique: bool = False,
+                   watch: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Strength of every group in every snapshot, ranked inside the snapshot.
 
     ``quotes`` carry ``by``, ``code``, ``change_ratio`` and optionally ``body``;
@@ -108,7 +110,7 @@ def group_strength(quotes: DataFrame, members: DataFrame, by: Sequence[str] = BY
         members = members.join(groups.select("group_id"), "group_id", "left_semi")
     joined = quotes_by_group(quotes, members, unique)
     return score_groups(
-        aggregate_groups(joined, market, by, min_members, precision), by, weights or SCORE_WEIGHTS
+        aggregate_groups(joined, market, by, min_members, precision, watch), by, weights or SCORE_WEIGHTS
     )
 
 
@@ -255,7 +257,7 @@ def market_stats(quotes: DataFrame, scope: DataFrame | None = None,
 
 
 def run_statistics(strength: DataFrame, name: str = "group_strength") -> tuple[DataFrame, object]:
-    """Attach an observation counting saved and size-skipped rows of a run."""
+    """Attach an observation counting saved and unscored rows of a run (``plans.runlog`` stores more)."""
     from pyspark.sql import Observation
 
     watch = Observation(name)
