@@ -7,7 +7,9 @@ from marketpulse.checks.q_groups import (
 from marketpulse.checks.q_ingest import bar_payloads, quote_payloads
 from marketpulse.checks.q_metrics import FACTOR_SPEC, auction_score_sql, factors_sql, member_score_sql
 from marketpulse.checks.registry import query
-from marketpulse.checks.sql import ZT, figures, scored, snapshots, tick_states
+from marketpulse.checks.sql import ZT, figures, limit_up, scored, snapshots, tick_states
+from marketpulse.functions import codes as C
+from marketpulse.operators import returns as T
 from marketpulse.operators.strength import multi_period_strength
 from marketpulse.plans import candidates as N
 from marketpulse.plans import dashboards as D
@@ -228,8 +230,9 @@ def _asof_group(n):
 
 
 @query("m6_candidates",
-       "group_id group_name level change_ratio:f body:f return_3d:f return_5d:f member_count:i watched:b",
-       """SELECT f.*, d.change_ratio, d.body, r3.return_3d, r5.return_5d, coalesce(d.quoted, f.size) AS member_count FROM frame f
+       "group_id group_name level change_ratio:f body:f return_3d:f return_5d:f member_count:i watched:b pos:i",
+       """SELECT f.*, d.change_ratio, d.body, r3.return_3d, r5.return_5d, coalesce(d.quoted, f.size) AS member_count,
+          row_number() OVER (ORDER BY d.change_ratio DESC NULLS LAST, group_id) AS pos FROM frame f
           LEFT JOIN day1 d USING (group_id) LEFT JOIN r3 USING (group_id) LEFT JOIN r5 USING (group_id)""",
        frame=_FRAME, r3=_asof_group(3), r5=_asof_group(5),
        fresh="""SELECT code FROM bars GROUP BY 1 HAVING min(trade_date) > (SELECT min(trade_date) FROM (SELECT trade_date FROM days ORDER BY 1 DESC LIMIT 5))""",
@@ -256,6 +259,28 @@ def _(t):
     return N.quoted_candidates(live, history, t.members, t.groups, t.watched, digits=None)
 
 
+_COUNTS = f"""SELECT group_id, count(*) FILTER (b.change_ratio > 0) AS rise_count, count(*) FILTER (b.change_ratio < 0) AS fall_count,
+    count(*) FILTER ({limit_up("b.code", "b.change_ratio")}) AS limit_up_count
+    FROM cur JOIN (SELECT code AS group_id, max(trade_date) AS trade_date FROM idx GROUP BY 1) USING (group_id) JOIN bars b USING (code, trade_date) GROUP BY 1"""
+
+
+@query("m7_live_counts", "group_id change_ratio:f rise_count:f0 fall_count:f0 limit_up_count:f0 pos:i",
+       """SELECT f.group_id, change_ratio, rise_count, fall_count, limit_up_count, row_number() OVER (ORDER BY change_ratio DESC NULLS LAST, f.group_id) AS pos
+          FROM frame f LEFT JOIN (SELECT code AS group_id, arg_max(change_ratio, trade_date) AS change_ratio FROM idx WHERE code NOT LIKE '886%' GROUP BY 1) USING (group_id)
+          LEFT JOIN (SELECT * FROM counts_ WHERE group_id NOT LIKE '886%') USING (group_id)""", frame=_FRAME, counts_=_COUNTS)
+def _(t):
+    # Groups of one kind are neither quoted nor in the history: they come last, without figures.
+    index = t.index.filter(~F.col("code").startswith("886"))
+    last = T.last_bar(index)
+    counts = (t.bars.join(t.current.select("group_id", "code"), "code").groupBy(F.col("group_id").alias("code"), "trade_date")
+              .agg(F.count_if(F.col("change_ratio") > 0).alias("rise"), F.count_if(F.col("change_ratio") < 0).alias("fall"), F.count_if(C.is_limit_up()).alias("limit")))
+    one = lambda c: F.array(F.col(c).cast("double"))
+    table = F.struct(one("change_ratio").alias("changeRatio"), one("open").alias("open"), one("close").alias("latest"),
+                     one("rise").alias("riseCount"), one("fall").alias("fallCount"), one("limit").alias("upLimitCount"))
+    payloads = last.join(counts, ["code", "trade_date"]).select(F.to_json(F.struct(F.col("code").alias("thscode"), table.alias("table"))).alias("payload"))
+    return N.quoted_candidates(ingest.unpack_quotes(payloads), index, t.members, t.groups, t.watched, digits=None)
+
+
 def m8(t):
     return N.rotation_table(t.bars, t.custom, bench_index(t))
 

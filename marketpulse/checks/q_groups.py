@@ -456,6 +456,16 @@ def _(t):
     return K.get_attribution(daily_attribution(t), t.holdings, "2024-01-15")
 
 
+@query("k4_stored_lookup", "trade_date:d code total_return:f top_group n:i",
+       "SELECT trade_date, code, max(total_return) AS total_return, max(group_id) FILTER (pos = 1) AS top_group, count(*) AS n FROM att "
+       "WHERE code IN (SELECT code FROM holdings WHERE code LIKE '%7.SZ') AND trade_date IN (DATE '2024-01-15', DATE '2024-01-20') GROUP BY 1, 2", **ATTR_CTES)
+def _(t):
+    path = shared_path(t.spark, "k4")
+    K.store_by_code(K.attribution_to_json(daily_attribution(t)), path, buckets=16)
+    found = K.lookup(t.spark, path, t.holdings.where("code LIKE '%7.SZ'"), ["2024-01-15", "2024-01-20"], buckets=16)
+    return K.attribution_from_json(found).withColumn("n", F.size("attributions"))
+
+
 @query("b6_attribution_json", "trade_date:d code n:i top_group contribution:f",
        "SELECT trade_date, code, count(*) AS n, min(group_id) FILTER (pos = 1) AS top_group, sum(contribution) AS contribution "
        "FROM att GROUP BY 1, 2", **ATTR_CTES)

@@ -1,5 +1,8 @@
 """Sources and sinks (A, B)."""
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marketpulse.checks.registry import query
@@ -308,6 +311,32 @@ def _(t):
     return U.purge_foreign(tables)[1]
 
 
+_FOREIGN_GROUP = "substr(group_id, 1, 3) NOT IN ('700','881','883','884','885','886')"
+_STORED = {"group_dict": ("grp", _FOREIGN_GROUP), "group_members": ("members", _FOREIGN_GROUP), "instrument_group_map": ("members", f"NOT {DOMESTIC}"),
+           "daily_bars": ("bars", f"NOT {DOMESTIC}"), "group_strength": ("gs", _FOREIGN_GROUP), "instrument_attribution": ("bars", f"NOT {DOMESTIC}")}
+
+
+@query("b4_purge_stored", "table_name deleted:i kept:i again:i",
+       " UNION ALL ".join(f"SELECT '{name}' AS table_name, count(*) FILTER ({gone}) AS deleted, count(*) FILTER (NOT ({gone})) AS kept, 0 AS again FROM {source}"
+                          for name, (source, gone) in _STORED.items()),
+       gs="SELECT trade_date, group_id FROM bars JOIN cur USING (code) GROUP BY 1, 2")
+def _(t):
+    strength = t.bars.join(t.current, "code").groupBy("trade_date", "group_id").agg(F.avg("change_ratio").alias("s1_return"))
+    frames = {"group_dict": (t.groups, ()), "group_members": (t.members, ("as_of",)), "daily_bars": (t.bars, ("trade_date",)),
+              "instrument_group_map": (t.members.select("code", "group_id", F.col("as_of").alias("map_date")), ("map_date",)),
+              "group_strength": (strength, ("trade_date",)),
+              "instrument_attribution": (t.bars.select("code", "trade_date", F.col("change_ratio").alias("total_return")), ("trade_date",))}
+    rows = []
+    for name, (df, parts) in frames.items():
+        path = shared_path(t.spark, f"b4-{name}")
+        df.repartition(3).write.partitionBy(*parts).parquet(path)
+        scope = U.foreign_scope(name, df.columns)
+        deleted, again = U.purge_stored(t.spark, path, scope), U.purge_stored(t.spark, path, scope)
+        counted = t.spark.read.parquet(path).agg(F.count(F.lit(1)).alias("kept"))
+        rows.append(counted.select(F.lit(name).alias("table_name"), F.lit(deleted).alias("deleted"), "kept", F.lit(again).alias("again")))
+    return reduce(DataFrame.unionByName, rows)
+
+
 @query("b4_purged_bars", BAR_SPEC, f"SELECT * FROM bars WHERE {DOMESTIC}")
 def _(t):
     return U.purge_foreign({"daily_bars": t.bars})[0]["daily_bars"]

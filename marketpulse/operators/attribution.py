@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marketpulse.functions import codes as C
@@ -190,6 +190,33 @@ def get_attribution(attributed: DataFrame, codes: DataFrame, date=None) -> DataF
     return attributed.join(codes.select("code").distinct(), "code", "left_semi")
 
 
+CODE_BUCKETS = 64
+
+
+def _bucket(buckets: int) -> Column:
+    return F.pmod(F.xxhash64("code"), F.lit(buckets)).cast("int")
+
+
+def store_by_code(attributed: DataFrame, path: str, buckets: int = CODE_BUCKETS) -> None:
+    """K4: store attribution (B6 form) in folders by date and bucket of codes, sorted by code; whole dates are replaced."""
+    rows = attributed.withColumn("code_bucket", _bucket(buckets))
+    (rows.repartition("trade_date", "code_bucket").sortWithinPartitions("trade_date", "code_bucket", "code").write.mode("overwrite")
+     .option("partitionOverwriteMode", "dynamic").partitionBy("trade_date", "code_bucket").parquet(path))
+
+
+def lookup(spark: SparkSession, path: str, codes: DataFrame, dates: Sequence, buckets: int = CODE_BUCKETS) -> DataFrame:
+    """K4: stored attribution of the wanted codes on some dates; absent ones are omitted.
+
+    Dates and the codes' buckets (at most ``buckets`` numbers) become literals, so
+    only the folders that can hold an answer are read.
+    """
+    wanted = codes.select("code").distinct()
+    found = [r[0] for r in wanted.select(_bucket(buckets)).distinct().collect()]
+    days = [F.lit(str(d)).cast("date") for d in dates]
+    stored = spark.read.parquet(path).where(F.col("trade_date").isin(days) & F.col("code_bucket").isin(found))
+    return stored.join(wanted, "code", "left_semi").drop("code_bucket")
+
+
 def with_names(df: DataFrame, groups: DataFrame) -> DataFrame:
     """Attach group names; groups missing from the dictionary vanish."""
     return df.join(groups.select("group_id", "group_name"), "group_id")

@@ -94,6 +94,23 @@ def period_return_asof(bars: DataFrame, end, n: int) -> DataFrame:
     )
 
 
+def horizon_stats(bars: DataFrame, date, horizons: Sequence[int]) -> DataFrame:
+    """F9, F11, F12 and the first bar per code in one grouped pass over ``bars``.
+
+    Columns: first_date (over all bars), the last bar's change_ratio and body as of
+    ``date``, and ``return_<n>d`` for each horizon with the rules of ``period_return_asof``.
+    """
+    day, at = F.lit(date).cast("date"), F.col("trade_date")
+    known = F.when(at <= day, at)
+    aggs = [F.min(at).alias("first_date"), F.max_by(F.struct("change_ratio", "open", "close"), known).alias("last")]
+    for n in horizons:
+        inside = F.when((at <= day) & (at >= F.date_sub(day, 2 * n)), at)
+        aggs += [F.min_by(F.struct("pre_close"), inside).alias(f"a{n}"), F.max_by(F.struct("close"), inside).alias(f"z{n}")]
+    return bars.groupBy("code").agg(*aggs).select(
+        "code", "first_date", F.col("last").isNotNull().alias("has_bar"), "last.change_ratio", M.pct_change("last.close", "last.open").alias("body"),
+        *[M.pct_change(f"z{n}.close", f"a{n}.pre_close").alias(f"return_{n}d") for n in horizons])
+
+
 def bar_return(bars: DataFrame, n: int, digits: int | None = 4, key: str = "code") -> DataFrame:
     """close of the last bar over the close n bars back, NULL when not enough."""
     tail = top_per_group(bars.select(key, "trade_date", "close"), [key], [F.col("trade_date").desc()], n + 1)

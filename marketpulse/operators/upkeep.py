@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marketpulse.functions import codes as C
-from marketpulse.staging import exists
+from marketpulse.staging import exists, file_system, remove, stage
 
 
 def upsert(existing: DataFrame, new: DataFrame, keys: Sequence[str], order: str | None = None) -> DataFrame:
@@ -74,14 +75,61 @@ def purge_foreign(tables: dict[str, DataFrame]) -> tuple[dict[str, DataFrame], D
     """
     kept, counts = {}, None
     for name, df in tables.items():
-        scope = C.is_domestic_group() if "group_id" in df.columns and name != "instrument_group_map" \
-            else C.is_domestic()
-        kept[name], deleted = purge(df, scope)
+        kept[name], deleted = purge(df, foreign_scope(name, df.columns))
         row = deleted.select(F.lit(name).alias("table_name"), "deleted")
         counts = row if counts is None else counts.unionByName(row)
     return kept, counts
 
 
+def foreign_scope(table: str, columns: Sequence[str]) -> Column:
+    """What stays in a table: domestic groups where a table is about groups, else domestic instruments."""
+    about_groups = "group_id" in columns and table != "instrument_group_map"
+    return C.is_domestic_group() if about_groups else C.is_domestic()
+
+
+def purge_stored(spark: SparkSession, path: str, in_scope: Column) -> int:
+    """B4 on a stored parquet table: rewrites only the files that hold rows out of scope; returns how many went.
+
+    Every such file is written anew beside the table and then put in its place by one
+    renaming that replaces it, so a file is either as it was or purged whatever
+    dies, and a second run finishes the first. Rows are dealt by file, which bounds a
+    task by a file. The driver handles names of files, not rows.
+    """
+    keep = F.coalesce(in_scope, F.lit(False))
+    rows = spark.read.option("mergeSchema", "false").parquet(path)
+    name = F.col("_metadata.file_path")
+    touched = stage(rows.where(~keep).groupBy(name.alias("file")).agg(F.count(F.lit(1)).alias("deleted"))
+                    .withColumn("key", F.md5("file")), "foreign-files")
+    files = touched.collect()
+    if not files:
+        return 0
+    stored = [c for c in rows.columns if c not in _partition_columns(rows, path)]
+    clean = f"{path.rstrip('/')}/_purged-{uuid.uuid4().hex}"  # a name that readers of the table pass over
+    kept = spark.read.option("basePath", path).parquet(*[f.file for f in files]).where(keep).withColumn("key", F.md5("_metadata.file_path"))
+    kept.select(*stored, "key").repartition(len(files), "key").write.partitionBy("key").parquet(clean)
+    jvm, context = spark._jvm, None
+    replace = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    replace[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    for f in files:
+        old, fs = file_system(spark, f.file)
+        folder = jvm.org.apache.hadoop.fs.Path(f"{clean}/key={f.key}")
+        parts = [x.getPath() for x in fs.listStatus(folder) if x.getPath().getName().startswith("part-")] if fs.exists(folder) else []
+        if not parts:
+            fs.delete(old, False)
+            continue
+        context = context or jvm.org.apache.hadoop.fs.FileContext.getFileContext(old.toUri(), spark._jsc.hadoopConfiguration())
+        context.rename(context.makeQualified(parts[0]), context.makeQualified(old), replace)
+    remove(spark, clean)
+    spark.catalog.refreshByPath(path)
+    return sum(f.deleted for f in files)
+
+
+def _partition_columns(rows: DataFrame, path: str) -> set[str]:
+    """Columns that the table's folders name."""
+    first = rows.select("_metadata.file_path").first()[0]
+    return {part.split("=", 1)[0] for part in first.split("/") if "=" in part} & set(rows.columns)
+
+
 def retain_since(df: DataFrame, cutoff=None, keep_days: int | None = None, column: str = "trade_date") -> DataFrame:
     """Drop rows before a cutoff date, or all but the last ``keep_days`` loaded days."""
     if cutoff is not None:

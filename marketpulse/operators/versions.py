@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from marketpulse.operators.upkeep import upsert, write_partitions
-from marketpulse.staging import _file_system, exists, remove, stage
+from marketpulse.staging import file_system, exists, remove, stage
 
 
 class VersionedTable:
@@ -36,7 +36,7 @@ class VersionedTable:
     def _listed(self, folder: str) -> list[str]:
         if not exists(self.spark, f"{self.path}/{folder}"):
             return []
-        target, fs = _file_system(self.spark, f"{self.path}/{folder}")
+        target, fs = file_system(self.spark, f"{self.path}/{folder}")
         return [x.getPath().getName() for x in fs.listStatus(target)]
 
     def version(self) -> int:
@@ -55,7 +55,7 @@ class VersionedTable:
 
     def _publish(self, version: int, schema: StructType, current: dict[str, int]) -> None:
         jvm = self.spark._jvm
-        draft, fs = _file_system(self.spark, f"{self.path}/pointers/_{version}-{self.spark.sparkContext.applicationId}")
+        draft, fs = file_system(self.spark, f"{self.path}/pointers/_{version}-{self.spark.sparkContext.applicationId}")
         out = fs.create(draft, True)
         out.write(bytearray(json.dumps({"schema": schema.jsonValue(), "current": current}).encode()))
         out.close()

@@ -13,7 +13,7 @@ from marketpulse.operators import returns as T
 from marketpulse.operators import rotation as O
 from marketpulse.operators import scopes as Z
 from marketpulse.operators.latest import as_of_date
-from marketpulse.operators.strength import group_mean_return
+from marketpulse.operators.ranking import ordered_positions
 from marketpulse.staging import stage
 
 
@@ -30,37 +30,33 @@ def _frame(groups: DataFrame, members: DataFrame, watched: DataFrame) -> DataFra
 
 def candidates(bars: DataFrame, members: DataFrame, groups: DataFrame, watched: DataFrame,
                date=None, digits: int | None = 4) -> DataFrame:
-    """M6: candidate groups with 1d/3d/5d returns and body from the bars.
+    """M6: candidate groups with 1d/3d/5d returns and body from the bars, in order (``pos``).
 
-    Recent listings do not count in the 3d and 5d returns.
+    The bars are read once, by a grouped pass over all horizons; the few latest trading
+    dates come from the date column alone. Recent listings (C8) do not count in the 3d and
+    5d returns. Groups are ordered by change, unknown ones last.
     """
     if date is None:
         date = as_of_date(bars).first()[0]
+    recent = [r[0] for r in bars.filter(F.col("trade_date") <= F.lit(date).cast("date")).select("trade_date").distinct()
+              .orderBy(F.col("trade_date").desc()).limit(Z.LISTING_DAYS).collect()]
+    old = F.col("first_date") <= F.lit(min(recent)) if len(recent) >= Z.LISTING_DAYS else F.lit(True)
     frame = stage(_frame(groups, members, watched), "candidates")
-    scope = stage(Z.keep_groups(Z.current_members(members), frame).select("group_id", "code"), "scope")
-    fresh = stage(Z.new_listings(bars, date), "new_listings")
-    last = T.last_bar(bars, date).select(
-        "code", "change_ratio", M.pct_change("close", "open").alias("body"))
-    day = (
-        last.join(scope.select("group_id", "code"), "code").groupBy("group_id")
-        .agg(F.avg("change_ratio").alias("change_ratio"), F.count("change_ratio").alias("quoted"),
-             F.avg("body").alias("body"))
-        .filter(F.col("quoted") > 0)
+    scope = Z.keep_groups(Z.current_members(members), frame).select("group_id", "code")
+    stats = T.horizon_stats(bars, date, (3, 5)).filter("has_bar")
+    figures = (
+        stats.join(scope, "code").groupBy("group_id")
+        .agg(F.avg("change_ratio").alias("change_ratio"), F.count("change_ratio").alias("quoted"), F.avg("body").alias("body"),
+             *[F.avg(F.when(old, F.col(f"return_{n}d"))).alias(f"return_{n}d") for n in (3, 5)])
     )
-
-    def horizon(n):
-        returns = Z.drop_members(T.period_return_asof(bars, date, n), fresh)
-        return group_mean_return(returns, scope).select("group_id", F.col("group_return").alias(f"return_{n}d"))
-
-    joined = frame.join(day, "group_id", "left")
-    for n in (3, 5):
-        joined = joined.join(horizon(n), "group_id", "left")
-    return joined.select(
+    quoted = F.col("quoted") > 0
+    joined = frame.join(figures, "group_id", "left").select(
         "group_id", "group_name", "level", M.rounded("change_ratio", digits).alias("change_ratio"),
-        M.rounded("body", digits).alias("body"), M.rounded("return_3d", digits).alias("return_3d"),
+        M.rounded(F.when(quoted, F.col("body")), digits).alias("body"), M.rounded("return_3d", digits).alias("return_3d"),
         M.rounded("return_5d", digits).alias("return_5d"),
-        F.coalesce("quoted", "size").alias("member_count"), "watched",
+        F.coalesce(F.when(quoted, F.col("quoted")), "size").alias("member_count"), "watched",
     )
+    return ordered_positions(joined, "change_ratio", tie=["group_id"])
 
 
 def quoted_candidates(quotes: DataFrame, index_bars: DataFrame, members: DataFrame, groups: DataFrame,
@@ -69,7 +65,7 @@ def quoted_candidates(quotes: DataFrame, index_bars: DataFrame, members: DataFra
     (A12, code = group id) for 3d/5d returns and for missing live values.
 
     A group without a live change takes change, and if needed body, from its
-    last history bar.
+    last history bar. Groups are ordered by change (``pos``), unknown ones last.
     """
     frame = _frame(groups, members, watched)
     index_bars = stage(index_bars.select("code", "trade_date", "open", "close", "change_ratio"), "index_bars")
@@ -91,12 +87,13 @@ def quoted_candidates(quotes: DataFrame, index_bars: DataFrame, members: DataFra
             T.bar_return(index_bars, n, digits).withColumnRenamed("code", "group_id"), "group_id", "left")
     from_history = F.col("live_change").isNull()
     body = F.coalesce("live_body", F.when(from_history & F.col("hist_change").isNotNull(), F.col("hist_body")))
-    return joined.select(
+    shown = joined.select(
         "group_id", "group_name", "level",
         M.rounded(F.coalesce("live_change", "hist_change"), digits).alias("change_ratio"),
         M.rounded(body, digits).alias("body"), "rise_count", "fall_count", "limit_up_count",
         "return_3d", "return_5d", F.col("size").alias("member_count"), "watched",
     )
+    return ordered_positions(shown, "change_ratio", tie=["group_id"])
 
 
 @dataclass

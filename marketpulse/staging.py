@@ -44,18 +44,18 @@ def shared_path(spark: SparkSession, label: str) -> str:
     return f"{app_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def _file_system(spark: SparkSession, path: str):
+def file_system(spark: SparkSession, path: str):
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     return target, target.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
 def exists(spark: SparkSession, path: str) -> bool:
-    target, fs = _file_system(spark, path)
+    target, fs = file_system(spark, path)
     return fs.exists(target)
 
 
 def remove(spark: SparkSession, path: str) -> None:
-    target, fs = _file_system(spark, path)
+    target, fs = file_system(spark, path)
     fs.delete(target, True)
 
 

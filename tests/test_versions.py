@@ -76,3 +76,34 @@ def test_empty_writes_and_unwritten_tables(spark, rows, tmp_path, table):
     U.save_whole(rows([("a", A, 1)], SCHEMA), path)
     U.save_whole(rows([("b", B, 2)], SCHEMA), path)
     assert found(U.saved(spark, path)) == [("b", B, 2)]
+
+
+def test_purge_rewrites_only_files_with_foreign_rows(spark, rows, tmp_path):
+    from pyspark.sql import functions as F
+
+    path = str(tmp_path / "bars")
+    for code, day in (("1.SH", A), ("1.HK", A), ("2.SZ", B), ("9.HK", C)):
+        rows([(code, day, 1), (code if day != A else "3.SH", day, 2)], SCHEMA).coalesce(1).write.mode("append").partitionBy("trade_date").parquet(path)
+
+    def files():
+        return {f: spark.read.parquet(path).where(F.col("_metadata.file_path") == f).count() for f in spark.read.parquet(path).inputFiles()}
+
+    before = files()
+    scope = U.foreign_scope("daily_bars", ["code"])
+    assert U.purge_stored(spark, path, scope) == 3
+    left = spark.read.parquet(path)
+    assert sorted((r.code, r.trade_date) for r in left.collect()) == [("1.SH", A), ("2.SZ", B), ("2.SZ", B), ("3.SH", A), ("3.SH", A)]
+    after = files()
+    assert set(after) < set(before) and len(before) - len(after) == 1  # one file held foreign rows alone
+    assert U.purge_stored(spark, path, scope) == 0 and files() == after
+
+
+def test_lookup_reads_only_the_folders_of_its_codes(spark, rows, tmp_path):
+    from marketpulse.operators import attribution as K
+
+    path = str(tmp_path / "att")
+    K.store_by_code(rows([(f"c{i}", d, i) for i in range(40) for d in (A, B)], SCHEMA), path, buckets=8)
+    found = K.lookup(spark, path, rows([("c3",), ("c3",), ("gone",)], "code string"), [B], buckets=8)
+    assert [(r.code, r.trade_date, r.v) for r in found.collect()] == [("c3", B, 3)]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [" in plan and "code_bucket" in plan.split("PartitionFilters: [")[1].split("]")[0]
