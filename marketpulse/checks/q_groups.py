@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from marketpulse.checks.q_metrics import SUMMARY, auction_score_sql, factors_sql, member_score_sql
 from marketpulse.checks.registry import query
 from marketpulse.checks.sql import DOMESTIC, ZT, figures, limit_up, scored, tick_states, z
+from marketpulse.functions.measures import missing_to_null
 from marketpulse.operators import attribution as K
 from marketpulse.operators import auction as A
 from marketpulse.operators import coherency as G
@@ -487,3 +488,40 @@ def _(t):
 def _(t):
     nothing = t.groups.filter("kind = 'none'").select("group_id")
     return K.groups_from_members(t.members, t.groups, nothing)
+
+
+# ---- missing values through the whole chain (C15) ----
+
+_HOLED = "SELECT * REPLACE (CASE WHEN code[-4:-4] = '5' THEN NULL ELSE change_ratio END AS change_ratio) FROM bars"
+
+
+def holed_bars(t):
+    """Bars whose change is NaN for one instrument in ten, as a loader leaves them."""
+    nan = F.when(F.substring("code", -4, 1) == "5", F.lit(float("nan"))).otherwise(F.col("change_ratio"))
+    return missing_to_null(t.bars.withColumn("change_ratio", nan))
+
+
+@query("c15_nan_group_strength", G2_SPEC, "SELECT * FROM sc", holed=_HOLED, fig=figures("holed", "cur"), sc=scored("fig", "trade_date"))
+def _(t):
+    return S.group_strength(holed_bars(t), t.current, precision=None)
+
+
+@query("c15_nan_group_return", "trade_date:d group_id group_return:f",
+       "SELECT trade_date, group_id, avg(change_ratio) AS group_return FROM holed JOIN cur USING (code) WHERE change_ratio IS NOT NULL GROUP BY 1, 2", holed=_HOLED)
+def _(t):
+    return S.group_return(holed_bars(t), t.current)
+
+
+@query("c15_nan_attribution", "trade_date:d code total_return:f top_group top_contrib_pct:f4",
+       "SELECT trade_date, code, total_return, group_id AS top_group, contrib_pct AS top_contrib_pct FROM att WHERE pos = 1",
+       **{k: v.replace("FROM bars", "FROM holed").replace("JOIN bars", "JOIN holed") for k, v in ATTR_CTES.items()}, holed=_HOLED)
+def _(t):
+    return K.daily_attribution(holed_bars(t), t.members, t.groups, scope=t.scope.select("group_id").distinct(), digits=None)
+
+
+@query("c15_nan_spread_rank", "code trade_date:d change_ratio:f rank:f0",
+       "SELECT code, trade_date, change_ratio, CASE WHEN change_ratio IS NOT NULL THEN rank() OVER (PARTITION BY trade_date ORDER BY change_ratio DESC NULLS LAST) END AS rank "
+       "FROM holed WHERE code[-4:-4] <> '5'", holed=_HOLED)
+def _(t):
+    ranked = R.spread_rank(holed_bars(t).select("code", "trade_date", "change_ratio"), "change_ratio", ["trade_date"])
+    return ranked.where(F.substring("code", -4, 1) != "5")

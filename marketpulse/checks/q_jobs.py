@@ -519,3 +519,10 @@ _SLIDE = """SELECT code, strftime(w, '%Y-%m-%d %H:%M') AS window_start, CASE WHE
 @query("s6_sliding_speed", "code window_start speed:f", _SLIDE)
 def _(t):
     return V.sliding_speed(t.ticks, lateness=None).withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd HH:mm"))
+
+
+@query("s6_sliding_speed_stream", "code window_start speed:f",
+       f"SELECT * FROM ({_SLIDE}) WHERE strptime(window_start, '%Y-%m-%d %H:%M') + INTERVAL 3 MINUTE <= (SELECT max(ts) - INTERVAL 2 MINUTE FROM ticks)")
+def _(t):
+    stream = V.sliding_speed(tick_batches(t, "s6", parts=3))
+    return _drain(t, stream, "s6").withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd HH:mm"))
