@@ -40,14 +40,16 @@ def components(edges: DataFrame) -> DataFrame:
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).union(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
-def link_lists(postings: DataFrame, linked: Callable[[DataFrame], DataFrame], num: int, den: int, marks: DataFrame,
-               alike: Callable[[str, str], Column], rounds: int = 3) -> DataFrame:
+def link_lists(postings: DataFrame, linked: Callable[[DataFrame], DataFrame], num: int, den: int, marks: DataFrame | None = None,
+               alike: Callable[[str, str], Column] | None = None, rounds: int = 3,
+               finer: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Components (node, root) of the links between nodes that share a list.
 
     ``postings``: rows (value, node, n); a pair can only be linked if the smaller n
     is at least ``num / den`` of the larger. ``linked`` keeps the linked ones of
-    pairs (a, b), and ``alike`` is a cheap necessary condition for a link on two
-    columns ``mark`` of ``marks`` (node, mark).
+    pairs (a, b), and ``alike``, if given, is a cheap necessary condition for a link on two
+    columns ``mark`` of ``marks`` (node, mark). ``finer`` may list the nodes (node, n) that lie in
+    open lists anew, for the last round, by rows of which linked nodes share one too.
 
     A list is not expanded into pairs. Its members are compared with one member;
     where the links leave it in several components, with other members, chosen by
@@ -59,6 +61,8 @@ def link_lists(postings: DataFrame, linked: Callable[[DataFrame], DataFrame], nu
     labels = components(found)
     for salt in range(1, rounds + 1):
         lists = _open_lists(postings, labels)
+        if finer and salt == rounds:
+            lists = _open_lists(stage(finer(lists.select("node", "n").distinct()), "postings"), labels)
         pairs = _centre_pairs(lists, salt, num, den) if salt < rounds else _last_pairs(lists, num, den, marks, alike)
         found = stage(linked(pairs), "links")
         if not found.isEmpty():
@@ -87,14 +91,15 @@ def _open_lists(postings: DataFrame, labels: DataFrame) -> DataFrame:
     return stage(rooted.join(split, "value"), "open-lists")
 
 
-def _last_pairs(lists: DataFrame, num: int, den: int, marks: DataFrame, alike: Callable[[str, str], Column]) -> DataFrame:
-    """All pairs of a list in different components that fit in size and are alike.
+def _last_pairs(lists: DataFrame, num: int, den: int, marks: DataFrame | None, alike: Callable[[str, str], Column] | None) -> DataFrame:
+    """All pairs of a list in different components that fit in size and, if there is a condition, are alike.
 
     One side leaves out the list's largest component, whose members meet the others from the other side.
     """
     parts = lists.groupBy("value", "root").agg(F.count("*").alias("m"))
     main = stage(parts.groupBy("value").agg(F.max(F.struct("m", "root"))["root"].alias("main")), "main-parts")
-    left = lists.join(main, "value").join(marks, "node").where("root <> main").select("value", F.col("node").alias("x"), F.col("n").alias("n_a"), F.col("root").alias("rx"), F.col("mark").alias("mark_x"))
-    right = lists.join(marks, "node").select("value", F.col("node").alias("y"), F.col("n").alias("n_b"), F.col("root").alias("ry"), F.col("mark").alias("mark_y"))
-    pairs = left.join(right, "value").where((F.col("rx") != F.col("ry")) & _fits(num, den) & alike("mark_x", "mark_y"))
+    marked = lists.withColumn("mark", F.lit(None)) if marks is None else lists.join(marks, "node")
+    left = marked.join(main, "value").where("root <> main").select("value", F.col("node").alias("x"), F.col("n").alias("n_a"), F.col("root").alias("rx"), F.col("mark").alias("mark_x"))
+    right = marked.select("value", F.col("node").alias("y"), F.col("n").alias("n_b"), F.col("root").alias("ry"), F.col("mark").alias("mark_y"))
+    pairs = left.join(right, "value").where((F.col("rx") != F.col("ry")) & _fits(num, den) & (alike("mark_x", "mark_y") if alike else F.lit(True)))
     return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()

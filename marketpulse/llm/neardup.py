@@ -11,9 +11,14 @@ and 45 are asked for). So it is enough to list a node under its rarest retained
 all but the last ``overlap - 1`` of those that other nodes retain too, and a
 passage that many documents share lists only documents that are little else.
 
-Lists are compared by ``components.link_lists``, which loses no link. What is compared is first estimated from the smallest K of
-the union of two sketches, and in the last round from the smallest WIDE values of both, as 32 bits each. Hashes are stored with
-their top bit flipped, so that signed longs have the order of the unsigned hashes.
+Lists are compared by ``components.link_lists``, which loses no link. Before its last
+round, in which the pairs of a list are compared, nodes that are still in lists with
+several components are listed anew, by the rarest hashes of their full sets: linked
+sets share three quarters of the larger one, so all but the last of these are left
+out, and sets that share half or two thirds of their text no longer meet. What is
+compared is first estimated from the smallest K of the union of two sketches. Hashes
+are stored with their top bit flipped, so that signed longs have the order of the
+unsigned hashes.
 
 Node numbers are 64 bits of a digest of the set: among 10 ** 9 different sets 0.03
 false unions are expected.
@@ -43,7 +48,6 @@ from marketpulse.staging import stage
 
 SIZE, NUM, DEN = 5, 75, 100
 K, SHARED = 96, 45
-WIDE = 200  # retained values that the last round looks at
 
 
 def _node(values: np.ndarray) -> int:
@@ -56,13 +60,8 @@ def _arrays(rows: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
 
 
-def _ints(rows: list[np.ndarray]) -> pa.Array:
-    wide = _arrays(rows)
-    return pa.ListArray.from_arrays(wide.offsets, pa.array((wide.values.to_numpy() & 0xFFFFFFFF).astype(np.uint32).view(np.int32)))
-
-
 def document_sketches(docs: DataFrame, id_col: str, text_col: str, size: int = SIZE) -> DataFrame:
-    """Per row: id, print (a hash of the text), node, n (size of its set), its K smallest hashes, and of WIDE 32 bits each."""
+    """Per row: id, print (a hash of the text), node, n (size of its set) and its K smallest hashes."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -71,11 +70,10 @@ def document_sketches(docs: DataFrame, id_col: str, text_col: str, size: int = S
                 sets = list(shingle_sets([(t or "").encode() for t in batch.column("text").to_pylist()], size))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("id"), batch.column("print"), pa.array([_node(s) for s in sets], pa.int64()),
-                     pa.array([len(s) for s in sets], pa.int64()), _arrays([s[:K] for s in sets]),
-                     _ints([s[:WIDE] for s in sets])], ["id", "print", "node", "n", "sketch", "wide"])
+                     pa.array([len(s) for s in sets], pa.int64()), _arrays([s[:K] for s in sets])], ["id", "print", "node", "n", "sketch"])
 
     return docs.select(F.col(id_col).alias("id"), F.xxhash64(text_or_empty(text_col)).alias("print"), F.col(text_col).alias("text")).mapInArrow(
-        run, f"id {kind}, print long, node long, n long, sketch array<long>, wide array<int>")
+        run, f"id {kind}, print long, node long, n long, sketch array<long>")
 
 
 def _shared(union: Column, k: int = K) -> Column:
@@ -103,19 +101,28 @@ def _postings(nodes: DataFrame) -> DataFrame:
     return rare.select("node", "n", F.explode(F.slice("values", 1, F.col("listed"))["value"]).alias("value"))
 
 
+def _full_postings(nodes: DataFrame, sets: DataFrame) -> DataFrame:
+    """Rows (value, node, n) of the nodes (node, n): each under the rarest values of its full set, all but those that a linked set must share beyond one."""
+    each = nodes.join(sets, "node").select("node", "n", F.explode("values").alias("value"))
+    shared = each.groupBy("value").agg(F.count("*").alias("held")).where("held > 1")
+    rare = (each.join(shared, "value").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("held", "value"))).alias("values"))
+            .withColumn("listed", F.size("values") - F.ceil(F.col("n") * NUM / DEN).cast("int") + 1).where("listed > 0"))
+    return rare.select("node", "n", F.explode(F.slice("values", 1, F.col("listed"))["value"]).alias("value"))
+
+
 def _alike(a: str, b: str) -> Column:
-    """Sets share as many of their WIDE smallest values as linked sets of these sizes."""
+    """Sets share as many of their K smallest values as linked sets of these sizes."""
     union = (F.col("n_a") + F.col("n_b")) / (1 + NUM / DEN)  # the largest of linked sets of these sizes
-    return F.size(F.array_intersect(a, b)) >= _shared(union, WIDE) - 1.01
+    return F.size(F.array_intersect(a, b)) >= _shared(union, K) - 1.01
 
 
 def _linked(pairs: DataFrame, nodes: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough."""
-    one, two = ([F.col("node").alias(x), F.col("sketch").alias(f"sketch_{x}")] for x in "ab")
+    one, two = ([F.col("node").alias(x), F.col("sketch").alias(f"sketch_{x}"), F.col("n").alias(f"n_{x}")] for x in "ab")
     near = pairs.join(nodes.select(*two), "b").join(nodes.select(*one), "a")
     smallest = F.slice(F.array_sort(F.array_union("sketch_a", "sketch_b")), 1, K)
     both = F.array_intersect(smallest, F.array_intersect("sketch_a", "sketch_b"))
-    near = stage(near.where(F.size(both) >= F.least(F.lit(SHARED), F.floor(F.size(smallest) * NUM / DEN))).select("a", "b"), "near-pairs")
+    near = stage(near.where(_alike("sketch_a", "sketch_b") & (F.size(both) >= F.least(F.lit(SHARED), F.floor(F.size(smallest) * NUM / DEN)))).select("a", "b"), "near-pairs")
     one, two = ([F.col("node").alias(x), F.col("values").alias(f"values_{x}")] for x in "ab")
     inter = F.size(F.array_intersect("values_a", "values_b"))
     full = near.join(sets.select(*two), "b").join(sets.select(*one), "a")
@@ -127,12 +134,12 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = stage(document_sketches(docs, id_col, text_col, size), "sketches")
     best = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "print"))
     some = stage(rows.where("n > 0").groupBy("node").agg(best.alias("best"), F.min("n").alias("n")), "nodes")
-    nodes = stage(some.join(rows.where("n > 0").select("node", "id", "print", "sketch", "wide"), "node")
+    nodes = stage(some.join(rows.where("n > 0").select("node", "id", "print", "sketch"), "node")
                   .where(F.col("best")["id"].eqNullSafe(F.col("id")) & (F.col("best")["print"] == F.col("print")))
-                  .dropDuplicates(["node"]).select("node", "n", "sketch", "wide", "id", "print"), "nodes")
+                  .dropDuplicates(["node"]).select("node", "n", "sketch", "id", "print"), "nodes")
     postings = stage(_postings(nodes), "postings")
     sets = stage(_full_sets(docs, nodes.join(postings.select("node").distinct(), "node"), id_col, text_col, size), "sets")
-    labels = link_lists(postings, lambda pairs: _linked(pairs, nodes, sets), NUM, DEN, nodes.select("node", F.col("wide").alias("mark")), _alike)
+    labels = link_lists(postings, lambda pairs: _linked(pairs, nodes, sets), NUM, DEN, finer=lambda open_: _full_postings(open_, sets))
     labels = stage(some.select("node", F.col("best")["id"].alias("first"), F.col("best")["no_id"].alias("no_id")).join(labels, "node", "left")
                    .select("node", "first", "no_id", F.coalesce("root", "node").alias("root")), "labels")
     firsts = stage(labels.groupBy("root").agg(F.min(F.struct("no_id", "first"))["first"].alias("component_id")), "firsts")

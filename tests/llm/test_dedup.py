@@ -139,6 +139,29 @@ def test_near_pairs_at_the_threshold_are_linked(spark):
     assert [i for i, w in enumerate(want) if got[i] != w] == []
 
 
+def test_full_postings_list_every_linked_pair_together(spark):
+    """Drawn sets that share 0.75 and more of their union meet in a list; sets that share two thirds of a common core do not."""
+    rng = np.random.default_rng(8)
+    core = rng.integers(0, 1 << 62, 400)
+    sets = [np.unique(np.concatenate([core[:200], rng.integers(0, 1 << 62, 100)])) for _ in range(60)]
+    for k in range(80):
+        base = rng.integers(0, 1 << 62, int(rng.integers(5, 120)))
+        sets += [base, np.concatenate([base, rng.integers(0, 1 << 62, len(base) // 3)])]  # contained, at 0.75
+        turned = base.copy()
+        turned[:len(base) // 7] = rng.integers(0, 1 << 62, len(base) // 7)
+        sets.append(turned)
+    frame = spark.createDataFrame([(i, sorted(map(int, s))) for i, s in enumerate(sets)], "node long, values array<long>")
+    posted = neardup._full_postings(frame.select("node", F.size("values").cast("long").alias("n")), frame).collect()
+    lists = {}
+    for r in posted:
+        lists.setdefault(r.value, set()).add(r.node)
+    met = {(a, b) for m in lists.values() for a in m for b in m if a < b}
+    plain = [set(map(int, s)) for s in sets]
+    linked = {(a, b) for a in range(len(plain)) for b in range(a + 1, len(plain)) if 4 * len(plain[a] & plain[b]) >= 3 * len(plain[a] | plain[b])}
+    assert len(linked) > 100 and linked <= met
+    assert not any(a < 60 and b < 60 for a, b in met)
+
+
 def test_alike_keeps_all_linked_pairs(spark):
     rng = np.random.default_rng(4)
     rows = []
