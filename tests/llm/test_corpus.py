@@ -212,6 +212,32 @@ def test_warc_round_trip(spark, tmp_path):
     assert {f: open(f"{path}/{f}", "rb").read() for f in files} == {f: open(f"{again}/{f}", "rb").read() for f in files}
 
 
+def archive_files(path):
+    return {f: open(f"{path}/{f}", "rb").read() for f in os.listdir(path) if f.endswith(".warc.gz")}
+
+
+def test_warc_files_do_not_depend_on_partitions_or_settings(spark, tmp_path, monkeypatch):
+    """A third of the rows lacks an id; these are cut between their digests."""
+    monkeypatch.setattr(warc, "SHARD_BYTES", 20_000)
+    rows = [(None if i % 3 == 0 else i, f"u{i}" if i % 7 else None, f"<p>{i % 900}</p>" * (1 + i % 11)) for i in range(1800)]
+    made = []
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    for run, (parts, shuffled) in enumerate([(1, before), (1, before), (7, before), (4, "3")]):
+        spark.conf.set("spark.sql.shuffle.partitions", shuffled)
+        try:
+            path = str(tmp_path / f"run{run}")
+            warc.write_warc(spark.createDataFrame(rows[::-1] if run == 3 else rows, "page_id long, url string, html string").repartition(parts), path, roll_bytes=9_000)
+            made.append(archive_files(path))
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert made[0] == made[1] == made[2] == made[3]
+    manifest = spark.read.parquet(f"{path}/manifest").toPandas()
+    assert manifest.records.sum() == len(rows)
+    weight = sum(len(h) + warc.RECORD_BYTES for _, _, h in rows)
+    per_shard = manifest.groupby(manifest.name.str[:10]).records.sum()
+    assert len(per_shard) == -(-weight // 20_000) and per_shard.max() < 2 * len(rows) / len(per_shard)
+
+
 @pytest.mark.parametrize("least", [0, 2])
 def test_warc_keeps_each_payload_of_shared_ids(spark, tmp_path, least):
     rows = [(1, "AA"), (None, "AA"), (None, "BB"), (5, "AA"), (5, "DD"), (5, "CC"), (5, "CC"), (7, "CC"), (7, "EE"), (7, "AA"),
