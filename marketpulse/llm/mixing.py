@@ -8,11 +8,16 @@ is on the first arc of a path and no residual path leads back through it, so the
 cheapest flow is found by opening the repetitions in the order of their cost and
 augmenting until the quotas are full or nothing is left.
 
+Where no document has a second source, nothing competes for the source's quota and the
+cheapest flow is known: the whole of it, in passes over the one pattern. So sources, their
+weights, targets and plans are tables however many there are, and only patterns of two or
+more sources, with those of their sources alone, go through the network in the driver.
+``MOST_PATTERNS`` bounds the patterns of two or more sources; beyond it an error is raised.
+
 The flow gives each pattern a number of whole passes and a rest; the rest is
 filled with documents in a seeded order. The cut in that order is found from
 sums per bucket of the order key, twice refined, so no pattern is ever sorted in
-one task. The plan is one row per pattern and is broadcast: ``MOST_PATTERNS``
-bounds it, and more patterns raise an error.
+one task. The plan is one row per pattern; whether it is broadcast is left to Spark.
 
 Defined cases: a null text has size 0, a null source is a source of its own that
 comes last; documents of size 0 are taken 0 words; an empty table gives an empty
@@ -23,12 +28,12 @@ from __future__ import annotations
 
 import json
 from collections import deque
-from fractions import Fraction
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketpulse.llm.common import free_name, text_or_empty, words_of
+from marketpulse.operators.ranking import ordered_positions
 from marketpulse.staging import stage
 
 WEIGHTS = (5, 2, 1)
@@ -42,20 +47,27 @@ def n_words(column: str = "text") -> Column:
     return F.size(words_of(text_or_empty(column))).cast("long")
 
 
-def targets(sizes: dict, weights: dict, total: int, most: int = MOST_PASSES) -> dict:
-    """Target of each source as (numerator, denominator).
+def targets(sizes: DataFrame, total: int, weights=WEIGHTS, most: int = MOST_PASSES) -> DataFrame:
+    """Target of each source as goal / of. sizes: (source, size), a row per source; weights repeat in code point order, null last.
 
     ``total`` is shared by weight; a source above ``most`` times its size stops
-    there and the excess is shared again by weight. Those that stop are the first
-    in the order of limit over weight.
+    there and the excess is shared again by weight, until none is above. What is left
+    per weight only grows, so a source that stopped once stays stopped.
     """
-    left, weight, out = total, sum(weights.values()), {}
-    for s in sorted(sizes, key=lambda s: Fraction(most * sizes[s], weights[s])):
-        if most * sizes[s] * weight >= left * weights[s]:
+    share = F.element_at(F.array(*(F.lit(w) for w in weights)), ((F.col("pos") - 1) % len(weights) + 1).cast("int"))
+    placed = ordered_positions(sizes, "source", descending=False)
+    wide = stage(placed.select("source", "size", share.cast("long").alias("w"), (F.col("size") * most).cast("decimal(38,0)").alias("limit")), "mix-sources")
+    all_weight = wide.agg(F.sum("w")).first()[0] or 0
+    left, weight = total, all_weight
+    while True:
+        stops = F.col("limit") * weight < F.lit(left).cast("decimal(38,0)") * F.col("w")
+        gone, gone_weight = wide.where(stops).agg(F.coalesce(F.sum("limit"), F.lit(0)), F.coalesce(F.sum("w"), F.lit(0))).first()
+        if (total - int(gone), all_weight - gone_weight) == (left, weight):
             break
-        out[s] = (most * sizes[s], 1)
-        left, weight = left - most * sizes[s], weight - weights[s]
-    return {s: out.get(s, (left * weights[s], weight)) for s in sizes}
+        left, weight = total - int(gone), all_weight - gone_weight
+    shared = F.lit(left).cast("decimal(38,0)") * F.col("w")
+    return wide.select("source", "size", F.when(stops, F.col("limit")).otherwise(shared).cast("decimal(38,0)").alias("goal"),
+                       F.when(stops, 1).otherwise(weight).cast("long").alias("of"))
 
 
 def cheapest_flow(patterns: list[tuple[tuple, int]], quotas: dict, most: int = MOST_PASSES) -> list[dict]:
@@ -104,43 +116,65 @@ def _cut(sums: DataFrame, rest: DataFrame, bucket: str) -> DataFrame:
     """Per pattern the bucket in which the rest ends, and what is left for it."""
     order = Window.partitionBy("pattern").orderBy(bucket)
     before = (F.sum("size").over(order) - F.col("size")).alias("before")
-    return (sums.join(F.broadcast(rest), "pattern").select("pattern", bucket, "rest", "size", before)
+    return (sums.join(rest, "pattern").select("pattern", bucket, "rest", "size", before)
             .where("before <= rest AND rest < before + size").select("pattern", bucket, (F.col("rest") - F.col("before")).alias("rest")))
 
 
+def _plan(slim: DataFrame, weights, most: int) -> DataFrame:
+    """Per pattern: source_size, target, passes and rest. slim: (pattern, size)."""
+    found = slim.groupBy("pattern").agg(F.sum("size").alias("size")).withColumn("sources", F.from_json("pattern", "array<string>"))
+    found = stage(found, "mix-patterns")
+    total = found.agg(F.sum("size")).first()[0] or 0
+    sizes = found.select("size", F.explode("sources").alias("source")).groupBy("source").agg(F.sum("size").alias("size"))
+    alone = F.to_json(F.array("source"))  # never null, unlike a source
+    goals = targets(sizes, total, weights, most).select(
+        alone.alias("lead"), F.col("size").alias("source_size"), F.coalesce(F.col("goal").cast("double") / F.col("of"), F.lit(0.0)).alias("target"),
+        F.when(F.col("of") > 0, F.expr("goal div of")).otherwise(0).cast("long").alias("quota"))
+    goals = stage(goals, "mix-goals")
+    shared = found.where(F.size("sources") > 1).limit(MOST_PATTERNS + 1).collect()
+    if len(shared) > MOST_PATTERNS:
+        raise ValueError(f"more than {MOST_PATTERNS} membership patterns of several sources")
+    led = found.withColumn("lead", F.when(F.size("sources") > 0, F.to_json(F.slice("sources", 1, 1)))).join(goals, "lead", "left").select(
+        "pattern", "size", F.coalesce("source_size", F.lit(0)).alias("source_size"), F.coalesce("target", F.lit(0.0)).alias("target"), F.coalesce("quota", F.lit(0)).alias("quota"))
+    takes, some = f"least(quota, size * {most})", F.col("size") > 0
+    plan = led.select("pattern", "source_size", "target", F.when(some, F.expr(f"{takes} div size")).otherwise(0).cast("long").alias("passes"),
+                      F.when(some, F.expr(f"{takes} % size")).otherwise(0).cast("long").alias("rest"))
+    return stage(_with_flow(plan, found, goals, shared, most) if shared else plan, "mix-plan")
+
+
+def _with_flow(plan: DataFrame, found: DataFrame, goals: DataFrame, shared: list, most: int) -> DataFrame:
+    """``plan`` with the flow's passes and rests for patterns of several sources and of their sources alone."""
+    spark = plan.sparkSession
+    sources = {s for r in shared for s in r["sources"]}
+    leads = spark.createDataFrame([(json.dumps([s], ensure_ascii=False, separators=(",", ":")),) for s in sources], "lead string")
+    alone = found.join(leads.select(F.to_json(F.from_json("lead", "array<string>")).alias("pattern")), "pattern").select(*found.columns).collect()
+    quotas = {r["source"]: r["quota"] for r in goals.withColumn("source", F.from_json("lead", "array<string>")[0])
+              .join(leads.select(F.to_json(F.from_json("lead", "array<string>")).alias("lead")), "lead").collect()}
+    rows = sorted([*shared, *alone], key=lambda r: r["pattern"])
+    flow = cheapest_flow([(tuple(r["sources"]), r["size"]) for r in rows], quotas, most)
+    taken = [sum(sent.values()) for sent in flow]
+    flowed = spark.createDataFrame([(r["pattern"], t // max(1, r["size"]), t % max(1, r["size"])) for r, t in zip(rows, taken)],
+                                   "pattern string, flow_passes long, flow_rest long")
+    return plan.join(flowed, "pattern", "left").select("pattern", "source_size", "target", F.coalesce("flow_passes", "passes").alias("passes"),
+                                                       F.coalesce("flow_rest", "rest").alias("rest"))
+
+
 def mixing_plan(docs: DataFrame, sources: Column, weights=WEIGHTS, most: int = MOST_PASSES, seed: str = SEED,
                 id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per pattern: passes, the last order key of the rest, and its first source's size and target.
 
     ``sources``: array of the sources that a document belongs to.
     """
-    spark = docs.sparkSession
     slim = stage(docs.select(pattern_of(sources).alias("pattern"), n_words(text_col).alias("size"),
                              order_key(seed, id_col, text_col).alias("key")), "mix-sizes")
-    found = slim.groupBy("pattern").agg(F.sum("size").alias("size")).limit(MOST_PATTERNS + 1).collect()
-    if len(found) > MOST_PATTERNS:
-        raise ValueError(f"more than {MOST_PATTERNS} membership patterns")
-    found.sort(key=lambda r: r["pattern"])
-    patterns = [(tuple(json.loads(r["pattern"])), r["size"]) for r in found]
-    names = sorted({s for p, _ in patterns for s in p}, key=lambda s: (s is None, s or ""))
-    sizes = {s: sum(n for p, n in patterns if s in p) for s in names}
-    share = {s: weights[i % len(weights)] for i, s in enumerate(names)}
-    goal = targets(sizes, share, sum(n for _, n in patterns), most)
-    flow = cheapest_flow(patterns, {s: a // b if b else 0 for s, (a, b) in goal.items()}, most)
-    rows = []
-    for r, (p, words), sent in zip(found, patterns, flow):
-        takes = sum(sent.values())
-        a, b = goal[p[0]] if p else (0, 1)
-        rows.append((r["pattern"], sizes[p[0]] if p else 0, float(a) / b if b else 0.0,
-                     takes // words if words else 0, takes % words if words else 0))
-    plan = spark.createDataFrame(rows, "pattern string, source_size long, target double, passes long, rest long")
+    plan = _plan(slim, weights, most)
     first = _cut(slim.groupBy("pattern", F.substring("key", 1, DIGITS).alias("b1")).agg(F.sum("size").alias("size")),
                  plan.where("rest > 0").select("pattern", "rest"), "b1")
     first = stage(first, "mix-cut")
-    inside = slim.withColumn("b1", F.substring("key", 1, DIGITS)).join(F.broadcast(first.drop("rest")), ["pattern", "b1"])
+    inside = slim.withColumn("b1", F.substring("key", 1, DIGITS)).join(first.drop("rest"), ["pattern", "b1"])
     second = stage(_cut(inside.groupBy("pattern", F.substring("key", DIGITS + 1, DIGITS).alias("b2")).agg(F.sum("size").alias("size")),
                         first.select("pattern", "rest"), "b2"), "mix-cut")
-    last = inside.withColumn("b2", F.substring("key", DIGITS + 1, DIGITS)).join(F.broadcast(second), ["pattern", "b2"])
+    last = inside.withColumn("b2", F.substring("key", DIGITS + 1, DIGITS)).join(second, ["pattern", "b2"])
     before = F.sum("size").over(Window.partitionBy("pattern").orderBy("key").rangeBetween(Window.unboundedPreceding, 0)) - F.col("size")
     ends = (last.withColumn("before", before).where("2 * before + size <= 2 * rest")
             .groupBy("pattern").agg(F.max("key").alias("end")))
@@ -168,7 +202,7 @@ def mixed(docs: DataFrame, sources: Column, weights=WEIGHTS, most: int = MOST_PA
     keyed = docs.withColumns({names["pattern"]: pattern_of(sources), names["size"]: n_words(text_col), names["key"]: order_key(seed, id_col, text_col)})
     part = (F.col(names["key"]) <= F.col(names["end"])).cast("long")
     copies = F.when(F.col(names["size"]) == 0, F.lit(0).cast("long")).otherwise(F.least(F.lit(most).cast("long"), F.col(names["passes"]) + part))
-    return keyed.join(F.broadcast(plan), names["pattern"]).select(
+    return keyed.join(plan, names["pattern"]).select(
         *docs.columns, names["size"], copies.alias(names["copies"]), *(names[c] for c in extra))
 
 

@@ -6,6 +6,7 @@ import hashlib
 import os
 import zlib
 from collections import Counter
+from fractions import Fraction
 from itertools import product
 
 import duckdb
@@ -38,12 +39,47 @@ def test_queries_match_duckdb(spark, name):
 
 # ---- mixing ----
 
-def test_targets_share_the_excess():
-    sizes, weights = {"a": 10, "b": 1000, "c": 400}, {"a": 5, "b": 2, "c": 1}
-    got = {s: a / b for s, (a, b) in mixing.targets(sizes, weights, 1410).items()}
+def test_targets_share_the_excess(spark):
+    def goals(rows, total, weights):
+        return {r.source: int(r.goal) / max(1, r.of) for r in mixing.targets(spark.createDataFrame(rows, "source string, size long"), total, weights).collect()}
+
+    got = goals([("a", 10), ("b", 1000), ("c", 400)], 1410, (5, 2, 1))
     assert got["a"] == 30 and got["b"] == pytest.approx(920) and got["c"] == pytest.approx(460)
     assert sum(got.values()) == pytest.approx(1410)
-    assert mixing.targets({"a": 0}, {"a": 5}, 0)["a"][0] == 0
+    assert goals([("a", 0)], 0, (5,))["a"] == 0
+    # each source that stops lets the next ones stop: shared again until none is above, by exact fractions
+    rows = [(None if i == 0 else f"s{i:03d}", 3 ** (i % 9) + i) for i in range(40)]
+    order = sorted(rows, key=lambda r: (r[0] is None, r[0] or ""))
+    weight = {s: (5, 2, 1)[i % 3] for i, (s, _) in enumerate(order)}
+    total = sum(n for _, n in rows)
+    want, left, open_ = {}, Fraction(total), dict(rows)
+    while open_:
+        per = left / sum(weight[s] for s in open_)
+        over = [s for s, n in open_.items() if 3 * n < per * weight[s]]
+        if not over:
+            want.update({s: per * weight[s] for s in open_})
+            break
+        for s in over:
+            want[s] = Fraction(3 * open_.pop(s))
+            left -= want[s]
+    got = goals(rows, total, (5, 2, 1))
+    assert got == {s: pytest.approx(float(x)) for s, x in want.items()} and sum(want.values()) == total
+
+
+def test_mix_of_more_sources_than_the_driver_takes_patterns(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "MOST_PATTERNS", 3)
+    words = F.array_join(F.array_repeat(F.lit("w"), (F.col("id") % 13).cast("int")), " ")
+    docs = spark.range(2000).select(F.col("id").alias("doc_id"), words.alias("text"), F.concat(F.lit("host"), F.col("id") % 500).alias("source"))
+    both = F.when(F.col("doc_id") % 500 < 2, F.array(F.lit("host0"), F.lit("host1"))).otherwise(F.array("source"))
+    for sources in (F.array("source"), both):
+        got = mixing.mixed(docs, sources).toPandas()
+        taken = (got["size"] * got.copies).groupby(got.source).sum()
+        size, goal = got.groupby("source").source_size.first(), got.groupby("source").target.first()
+        plain = [s for s in size.index if s not in ("host0", "host1")]
+        assert ((taken - goal).abs()[plain] <= 13).all() and (goal <= 3 * size)[plain].all() and got.copies.max() <= 3
+        assert len(got) == 2000
+    with pytest.raises(ValueError, match="several sources"):
+        mixing.mixed(docs, F.array("source", F.lit("all")))
 
 
 def test_cheapest_flow_is_optimal():
