@@ -17,7 +17,9 @@ more sources, with those of their sources alone, go through the network in the d
 The flow gives each pattern a number of whole passes and a rest; the rest is
 filled with documents in a seeded order. The cut in that order is found from
 sums per bucket of the order key, twice refined, so no pattern is ever sorted in
-one task. The plan is one row per pattern; whether it is broadcast is left to Spark.
+one task. The plan is one row per pattern: it is broadcast if its counted bytes are at most
+``BROADCAST_BYTES``, and otherwise joined with documents salted ``SALTS`` ways, so a
+source with a third of all documents is many tasks' work either way.
 
 Defined cases: a null text has size 0, a null source is a source of its own that
 comes last; documents of size 0 are taken 0 words; an empty table gives an empty
@@ -40,6 +42,7 @@ WEIGHTS = (5, 2, 1)
 MOST_PASSES = 3
 SEED = "mix"
 MOST_PATTERNS = 10_000
+BROADCAST_BYTES, SALTS = 8 << 20, 64
 DIGITS = 3  # hexadecimal digits of the order key in a bucket, at either level
 
 
@@ -195,14 +198,21 @@ def order_key(seed: str, id_col: str, text_col: str) -> Column:
 def mixed(docs: DataFrame, sources: Column, weights=WEIGHTS, most: int = MOST_PASSES, seed: str = SEED,
           id_col: str = "doc_id", text_col: str = "text", extra: tuple = ("source_size", "target")) -> DataFrame:
     """``docs`` with size, copies (how often it is taken) and the columns ``extra`` of its plan row."""
-    plan = mixing_plan(docs, sources, weights, most, seed, id_col, text_col)
-    names = {c: free_name(docs, c) for c in ("pattern", "size", "key", "copies", "passes", "end", *extra)}
+    plan = stage(mixing_plan(docs, sources, weights, most, seed, id_col, text_col), "mix-ends")
+    names = {c: free_name(docs, c) for c in ("pattern", "size", "key", "copies", "passes", "end", "salt", *extra)}
     plan = plan.select(F.col("pattern").alias(names["pattern"]), F.col("passes").alias(names["passes"]), F.col("end").alias(names["end"]),
                        *(F.col(c).alias(names[c]) for c in extra))
     keyed = docs.withColumns({names["pattern"]: pattern_of(sources), names["size"]: n_words(text_col), names["key"]: order_key(seed, id_col, text_col)})
     part = (F.col(names["key"]) <= F.col(names["end"])).cast("long")
     copies = F.when(F.col(names["size"]) == 0, F.lit(0).cast("long")).otherwise(F.least(F.lit(most).cast("long"), F.col(names["passes"]) + part))
-    return keyed.join(plan, names["pattern"]).select(
+    by = [names["pattern"]]
+    if (plan.agg(F.sum(F.octet_length(by[0]) + 100)).first()[0] or 0) <= BROADCAST_BYTES:
+        plan = F.broadcast(plan)
+    else:
+        by.append(names["salt"])
+        keyed = keyed.withColumn(names["salt"], F.pmod(F.xxhash64(names["key"]), F.lit(SALTS)).cast("int"))
+        plan = plan.withColumn(names["salt"], F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return keyed.join(plan, by).select(
         *docs.columns, names["size"], copies.alias(names["copies"]), *(names[c] for c in extra))
 
 

@@ -103,7 +103,7 @@ def test_cheapest_flow_is_optimal():
         assert (sum(sum(f.values()) for f in sent), -cost(sent)) == best
 
 
-def test_mix_reaches_targets_and_repeats_rows(spark, odd, nothing):  # noqa: F811
+def test_mix_reaches_targets_and_repeats_rows(spark, odd, nothing, monkeypatch):  # noqa: F811
     docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "x").when(F.col("id") % 10 == 1, "y").otherwise("z").alias("source"),
                                     F.array_join(F.array_repeat(F.lit("w"), (F.col("id") % 17).cast("int")), " ").alias("text"))
     got = mixing.mixed(docs, F.array("source")).toPandas()
@@ -111,6 +111,9 @@ def test_mix_reaches_targets_and_repeats_rows(spark, odd, nothing):  # noqa: F81
         assert abs((g["size"] * g.copies).sum() - g.target.iloc[0]) <= 17 and g.copies.max() <= 3
     again = mixing.mixed(docs.repartition(7), F.array("source")).toPandas()
     assert got.sort_values("doc_id").copies.tolist() == again.sort_values("doc_id").copies.tolist()
+    monkeypatch.setattr(mixing, "BROADCAST_BYTES", 0)
+    salted = mixing.mixed(docs, F.array("source")).toPandas()
+    assert got.sort_values("doc_id").reset_index(drop=True).equals(salted.sort_values("doc_id").reset_index(drop=True))
     rows = Counter(r.doc_id for r in mixing.mix(docs, F.array("source")).collect())
     assert all(rows[r.doc_id] == (r.copies if r["size"] else 0) for _, r in got.iterrows())
     mixed = mixing.mix(odd, F.array("source"))
