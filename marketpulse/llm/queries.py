@@ -96,12 +96,37 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "quality_score", (F.col("quality_score") >= quality.THRESHOLD).alias("kept"))
 
 
-@query
+@query(sql=r"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+g AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] ELSE list_sort(list_distinct(list_transform(range(1, greatest(2, len(w) - 3)),
+    lambda i: array_to_string(w[i:i + 4], ' ')))) END AS g FROM w),
+c AS (SELECT doc_id, g, len(g) AS n, CASE WHEN len(g) = 0 THEN doc_id ELSE min(doc_id) OVER (PARTITION BY g) END AS id FROM g),
+s AS (SELECT id, n, unnest(g) AS s FROM c WHERE doc_id = id),
+p AS (SELECT a.id AS a, b.id AS b, a.n AS na, b.n AS nb, count(*) AS c FROM s a JOIN s b ON a.s = b.s AND a.id <> b.id GROUP BY ALL),
+e AS (SELECT a, b FROM p WHERE 100 * c >= 75 * (na + nb - c)),
+r AS (SELECT DISTINCT id, id AS root FROM c UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.id),
+m AS (SELECT id, min(root) AS root FROM r GROUP BY id)
+SELECT doc_id, n AS n_shingles, root AS component_id, doc_id = root AS kept FROM c JOIN m USING (id)""")
 def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_groups(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
 
 
-@query
+@query(sql=r"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+o AS (SELECT doc_id, h, n, unnest(range(0, n - 99, 256)) AS o FROM d WHERE n >= 100),
+s AS (SELECT doc_id, o, substr(h, 2 * o + 1, 710) AS s, unnest(range(least(256, n - 99 - o))) AS j FROM o),
+g AS (SELECT doc_id, o + j AS i, md5(substr(s, 2 * j + 1, 200)) AS g FROM s),
+m AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY g ORDER BY doc_id, i) AS k FROM g) WHERE k > 1),
+b AS (SELECT doc_id, i, i > coalesce(lag(i) OVER w + 100, -1) AS fresh FROM m WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+x AS (SELECT doc_id, i, sum(fresh::INT) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM b),
+r AS (SELECT doc_id, min(i) AS a, max(i) + 100 AS z FROM x GROUP BY doc_id, run),
+t AS (SELECT r.*, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 0) AS since FROM r),
+k AS (SELECT t.doc_id, count(*) AS spans, sum(z - a) AS gone, max(z) AS last, string_agg(substr(h, 2 * since + 1, 2 * (a - since)), '' ORDER BY a) AS kept
+  FROM t JOIN d USING (doc_id) GROUP BY t.doc_id)
+SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, CAST(coalesce(spans, 0) AS BIGINT) AS n_spans,
+  sha256(unhex(coalesce(kept, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+FROM d LEFT JOIN k USING (doc_id)""")
 def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.remove_repeats(table(spark, sf_dir, "documents")).drop("kept_bytes")
 
