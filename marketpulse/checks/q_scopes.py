@@ -49,7 +49,7 @@ def _(t):
     return Z.monitorable(t.members)
 
 
-@query("c6_effective_scope", "group_id", "SELECT DISTINCT group_id FROM wm")
+@query("c6_effective_scope", "group_id", "SELECT group_id FROM eff")
 def _(t):
     return Z.effective_scope(t.watched, t.groups, t.members)
 
