@@ -66,7 +66,7 @@ def _(t):
     return Z.universe("latest", t.members)
 
 
-@query("c7_universe_groups", "code", "SELECT DISTINCT code FROM wm")
+@query("c7_universe_groups", "code", "SELECT DISTINCT code FROM em")
 def _(t):
     return Z.universe("groups", t.members, Z.effective_scope(t.watched, t.groups, t.members))
 
