@@ -65,8 +65,9 @@ def _(t):
 
 
 @query("g4_group_mean_return", "group_id group_return:f member_count:i",
-       """SELECT group_id, avg(r) AS group_return, count(r) AS member_count FROM (SELECT code, arg_max(change_ratio, trade_date) AS r
-          FROM bars GROUP BY 1) JOIN cur USING (code) GROUP BY 1 HAVING count(r) >= 1""")
+       """SELECT group_id, avg(r) AS group_return, count(r) AS member_count FROM (SELECT code, change_ratio AS r
+          FROM (SELECT *, row_number() OVER (PARTITION BY code ORDER BY trade_date DESC) AS rn FROM bars) WHERE rn = 1)
+          JOIN cur USING (code) GROUP BY 1 HAVING count(r) >= 1""")
 def _(t):
     return S.group_mean_return(L.last_bar(t.bars), t.current)
 
