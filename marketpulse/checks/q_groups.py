@@ -399,8 +399,8 @@ ATTR_CTES = {
 }
 
 
-def daily_attribution(t):
-    return K.daily_attribution(t.bars, t.members, t.groups, scope=t.scope.select("group_id").distinct(), digits=None)
+def daily_attribution(t, as_json=False):
+    return K.daily_attribution(t.bars, t.members, t.groups, scope=t.scope.select("group_id").distinct(), digits=None, as_json=as_json)
 
 
 @query("k1_attribution_rows",
@@ -463,7 +463,7 @@ def _(t):
        "WHERE code IN (SELECT code FROM holdings WHERE code LIKE '%7.SZ') AND trade_date IN (DATE '2024-01-15', DATE '2024-01-20') GROUP BY 1, 2", **ATTR_CTES)
 def _(t):
     path = shared_path(t.spark, "k4")
-    K.store_by_code(K.attribution_to_json(daily_attribution(t)), path, buckets=16)
+    K.store_by_code(daily_attribution(t, as_json=True), path, buckets=16)
     found = K.lookup(t.spark, path, t.holdings.where("code LIKE '%7.SZ'"), ["2024-01-15", "2024-01-20"], buckets=16)
     return K.attribution_from_json(found).withColumn("n", F.size("attributions"))
 
@@ -472,7 +472,7 @@ def _(t):
        "SELECT trade_date, code, count(*) AS n, min(group_id) FILTER (pos = 1) AS top_group, sum(contribution) AS contribution "
        "FROM att GROUP BY 1, 2", **ATTR_CTES)
 def _(t):
-    back = K.attribution_from_json(K.attribution_to_json(daily_attribution(t)))
+    back = K.attribution_from_json(daily_attribution(t, as_json=True))
     return back.select("trade_date", "code", F.size("attributions").alias("n"), "top_group",
                        F.aggregate("attributions", F.lit(0.0), lambda a, e: a + e["contribution"]).alias("contribution"))
 

@@ -53,11 +53,22 @@ def attribute(instruments: DataFrame, weights: DataFrame, group_returns: DataFra
     """
     if days is None:
         days = instruments.select(F.collect_set("trade_date")).scalar()
-    profiles = stage(
+    profiles = _profiles(weights, keys)
+    held = instruments.join(profiles.select(*keys, "profile_id"), list(keys))
+    return _with_detail(held, _detail(profiles, group_returns, digits, days))
+
+
+def _profiles(weights: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Per instrument (``keys``) its groups with their weights, and the id of that profile."""
+    return stage(
         weights.groupBy(*keys)
         .agg(F.array_sort(F.collect_list(F.struct("group_id", "weight"))).alias("profile"))
         .withColumn("profile_id", F.md5(F.to_json("profile"))),
         "profiles")
+
+
+def _detail(profiles: DataFrame, group_returns: DataFrame, digits: int | None, days: Column) -> DataFrame:
+    """Per date and distinct profile its ordered contributions, and their JSON text; few rows."""
     distinct = profiles.dropDuplicates(["profile_id"]).select("profile_id", "profile").withColumn("__days", days)
     rows = (
         distinct.select("profile_id", "profile", F.explode("__days").alias("trade_date"))
@@ -84,29 +95,34 @@ def attribute(instruments: DataFrame, weights: DataFrame, group_returns: DataFra
             F.coalesce(pct, F.lit(0.0)).alias("contrib_pct"),
         )
 
-    detail = stage(per_profile.select(
-        "trade_date", "profile_id", F.transform("entries", finish).alias("attributions")), "profile_attributions")
-    return (
-        instruments.join(profiles.select(*keys, "profile_id"), list(keys))
-        .join(detail, ["trade_date", "profile_id"])
-        .select(
-            "trade_date", "code", "total_return",
-            F.col("attributions")[0]["group_id"].alias("top_group"),
-            F.col("attributions")[0]["contrib_pct"].alias("top_contrib_pct"),
-            "attributions",
-        )
-    )
+    finished = per_profile.select("trade_date", "profile_id", F.transform("entries", finish).alias("attributions"))
+    return stage(finished.withColumn("attribution_json", F.to_json("attributions")), "profile_attributions")
+
+
+def _with_detail(instruments: DataFrame, detail: DataFrame, as_json: bool = False) -> DataFrame:
+    """Instruments (trade_date, code, total_return, profile_id) with their profile's contributions, as an array or as its JSON text."""
+    top = F.col("attributions")[0]
+    ready = detail.select("trade_date", "profile_id", top["group_id"].alias("top_group"), top["contrib_pct"].alias("top_contrib_pct"),
+                          "attribution_json" if as_json else "attributions")
+    return instruments.join(ready, ["trade_date", "profile_id"]).select(
+        "trade_date", "code", "total_return", "top_group", "top_contrib_pct", ready.columns[-1])
 
 
 def daily_attribution(bars: DataFrame, members: DataFrame, groups: DataFrame, scope: DataFrame | None = None,
                       pool: DataFrame | None = None, dates: DataFrame | None = None,
-                      digits: int | None = 4) -> DataFrame:
+                      digits: int | None = 4, as_json: bool = False) -> DataFrame:
     """K2: attribution of the whole market, for every date of ``bars`` (or ``dates``).
 
     Group returns use each group's latest members within ``scope``. Each
     instrument spreads weight 1/n over its pool groups. Domestic instruments of
     the globally latest snapshot are attributed; without a quote they count as
     return 0, with an unknown change they are skipped.
+
+    An instrument meets its profile and its quotes as one row, with the quotes of
+    all dates in an array (bounded by the calendar); its dates are unfolded after that, so
+    no product of instruments and dates is shuffled; they are dealt anew before, as broadcasts would
+    leave them in the few tasks of a small file. ``as_json`` gives the store form
+    (B6), whose text is made once per date and profile.
     """
     if dates is not None:
         bars = bars.join(F.broadcast(dates.select("trade_date")), "trade_date", "left_semi")
@@ -117,15 +133,16 @@ def daily_attribution(bars: DataFrame, members: DataFrame, groups: DataFrame, sc
         latest_by(scoped, ["group_id"])), "group_returns")
     weights = equal_weights(groups_from_members(members, groups, pool).drop("weight"), keys=("code",))
     universe = latest_by(members, []).filter(C.is_domestic()).select("code").distinct()
-    quotes = bars.select("trade_date", "code", "change_ratio", F.lit(True).alias("__quoted"))
+    quotes = bars.groupBy("code").agg(F.collect_list(F.struct("trade_date", F.col("change_ratio").alias("total_return"))).alias("quotes"))
+    profiles = _profiles(weights, ("code",))
+    known = F.filter(F.coalesce("quotes", F.array().cast("array<struct<trade_date:date,total_return:double>>")), lambda q: q["total_return"].isNotNull())
+    silent = F.array_except(F.col("__days"), F.coalesce(F.col("quotes")["trade_date"], F.array().cast("array<date>")))
+    each = F.concat(known, F.transform(silent, lambda d: F.struct(d.alias("trade_date"), F.lit(0.0).alias("total_return"))))
     instruments = (
-        universe.withColumn("__days", days)
-        .select("code", F.explode("__days").alias("trade_date"))
-        .join(quotes, ["trade_date", "code"], "left")
-        .filter(F.col("change_ratio").isNotNull() | F.col("__quoted").isNull())
-        .select("trade_date", "code", F.coalesce("change_ratio", F.lit(0.0)).alias("total_return"))
+        universe.join(profiles.select("code", "profile_id"), "code").join(quotes, "code", "left")
+        .repartition("code").withColumn("__days", days).select("code", "profile_id", F.inline(each))
     )
-    return attribute(instruments, weights, returns, digits, days)
+    return _with_detail(instruments, _detail(profiles, returns, digits, days), as_json)
 
 
 def mapped_attribution(bars: DataFrame, mapping: DataFrame, members: DataFrame, groups: DataFrame,

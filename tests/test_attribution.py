@@ -1,6 +1,7 @@
 from datetime import date
 
 import pytest
+from pyspark.sql import functions as F
 
 from marketpulse.operators import attribution as K
 from marketpulse.operators import portfolio as Q
@@ -114,3 +115,20 @@ def test_unknown_scope_and_slot(classified, rows):
         H.classify_hits(classified.hits, classified.groups, classified.groups, "other")
     with pytest.raises(KeyError):
         J.alert_run(classified.hits, classified.groups, classified.groups, classified.groups, "0000")
+
+
+def test_daily_attribution_shuffles_no_product_of_dates(rows):
+    """Quoted, unquoted and unknown changes over dates; instruments are unfolded over dates after the shuffles, and the JSON form is the same."""
+    bars = rows([("000001.SZ", "2024-01-02", 1.0), ("000001.SZ", "2024-01-03", None), ("000002.SZ", "2024-01-03", 3.0)],
+                "code string, trade_date string, change_ratio double").withColumn("trade_date", F.col("trade_date").cast("date"))
+    members = rows([("885001.TI", c, c, "2024-01-01") for c in ("000001.SZ", "000002.SZ", "000003.SZ")],
+                   "group_id string, code string, name string, as_of string").withColumn("as_of", F.col("as_of").cast("date"))
+    groups = rows([("885001.TI", "one")], "group_id string, group_name string")
+    out = K.daily_attribution(bars, members, groups)
+    got = sorted((str(r.trade_date), r.code, r.total_return, r.attributions[0].contribution) for r in out.collect())
+    assert got == [("2024-01-02", "000001.SZ", 1.0, 1.0), ("2024-01-02", "000002.SZ", 0.0, 1.0), ("2024-01-02", "000003.SZ", 0.0, 1.0),
+                   ("2024-01-03", "000002.SZ", 3.0, 3.0), ("2024-01-03", "000003.SZ", 0.0, 3.0)]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate inline") < plan.index("RepartitionByExpression")
+    text = K.attribution_from_json(K.daily_attribution(bars, members, groups, as_json=True))
+    assert sorted(map(str, text.select(*out.columns).collect())) == sorted(map(str, out.collect()))
