@@ -329,7 +329,7 @@ def _(t):
     rows = []
     for name, (df, parts) in frames.items():
         path = shared_path(t.spark, f"b4-{name}")
-        df.repartition(3).write.partitionBy(*parts).parquet(path)
+        df.hint("rebalance", *parts).write.partitionBy(*parts).parquet(path)
         scope = U.foreign_scope(name, df.columns)
         deleted, again = U.purge_stored(t.spark, path, scope), U.purge_stored(t.spark, path, scope)
         counted = t.spark.read.parquet(path).agg(F.count(F.lit(1)).alias("kept"))
