@@ -42,3 +42,15 @@ def test_matches_pairwise_pandas(spark, gaps, block):
     pairs = spark.createDataFrame([(g, c) for g, cs in members.items() for c in cs], "group_id string, code string")
     got = {r.group_id: r.coherency for r in G.coherency(spark.createDataFrame(frame), pairs, digits=None, block=block).collect()}
     assert got == pytest.approx(expected(frame, members), abs=1e-9)
+
+
+def test_series_of_a_large_group_are_not_copied_by_its_size(spark):
+    """3,000 gapped members fit one block, so each series goes to one task (before: blocks of 256, 12 copies of each); pairs are whole."""
+    days = spark.range(4).selectExpr("date_add(date'2024-01-01', cast(id as int)) AS trade_date", "id AS d")
+    bars = spark.range(3000).crossJoin(days).where("(id + d) % 4 > 0").selectExpr("format_string('c%04d', id) AS code", "trade_date", "cast((id * 7 + d * d * 3) % 11 AS double) AS change_ratio")
+    members = bars.selectExpr("'g' AS group_id", "code").distinct()
+    shaped = G._with_group_shape(G._series(bars), members)
+    assert G._block_copies(shaped, G.ROWS).count() == 3000
+    whole, cut = (G.coherency(bars, members, digits=None, **kind).first() for kind in ({}, {"block": 500}))
+    assert whole.pairs == cut.pairs > 1_000_000
+    assert whole.coherency == pytest.approx(cut.coherency, abs=1e-9)
