@@ -35,18 +35,21 @@ class Classification:
 
 
 def classify_hits(hits: DataFrame, members: DataFrame, groups: DataFrame, scope: str = "custom",
-                  by: Sequence[str] = ("trade_date",), digits: int | None = 2) -> Classification:
+                  by: Sequence[str] = ("trade_date",), digits: int | None = 2, unique: bool = False) -> Classification:
     """Which groups the hits concentrate in.
 
     Every hit counts in each of its groups. ``pool_size`` counts all hits,
     ``hit_total`` the distinct hits inside the scope's members; since a hit in
     scope always has a group, both scopes share the definition. Hits stay rows
-    (a group may own most of them); ordering them is left to the reader.
+    (a group may own most of them); ordering them is left to the reader. ``unique`` says
+    that ``members`` hold no pair twice and are cheap to read again, as stored ones.
     """
     if scope not in ("custom", "market"):
         raise ValueError(f"unknown scope: {scope}")
     keys = [*by, "group_id"]
-    pairs = stage(members.select("group_id", "code").distinct(), "scope")
+    pairs = members.select("group_id", "code")
+    if not unique:
+        pairs = stage(pairs.distinct(), "scope")
     sizes = pairs.groupBy("group_id").agg(F.count(F.lit(1)).alias("member_total"))
     change = M.rounded(F.coalesce("change_ratio", F.lit(0.0)), digits)
     unique = stage(

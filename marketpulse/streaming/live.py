@@ -10,12 +10,12 @@ from pyspark.sql.streaming import StreamingQuery
 
 from marketpulse.functions import clock
 from marketpulse.functions import measures as M
-from marketpulse.operators.intraday import compact_ticks, indicators
+from marketpulse.operators.intraday import KEY, compact_ticks, indicators, session_anchors
 from marketpulse.operators.screening import SLOTS
 from marketpulse.operators.strength import MIN_MEMBERS, group_strength
 from marketpulse.operators.upkeep import write_partitions
 from marketpulse.schemas import TRADING
-from marketpulse.staging import exists
+from marketpulse.staging import exists, stage
 
 LATENESS = "2 minutes"
 
@@ -124,18 +124,25 @@ class LatestState:
         )
 
 
-def slot_alerts(run: Callable[[DataFrame, str], DataFrame], out: str) -> Callable[[DataFrame, int], None]:
+def slot_alerts(run: Callable[..., DataFrame], out: str, anchored: bool = False) -> Callable[[DataFrame, int], None]:
     """``foreachBatch`` function firing each slot whose minute is in the batch.
 
     ``run(batch, slot)`` builds the digest rows (see ``plans.jobs.alert_run``).
     The check asks a batch only for the presence of the few slot minutes.
+    ``anchored`` gives ``run(ticks, slot, anchors)`` the batch's ticks, as far as
+    ``intraday.indicators`` reads them, and their session anchors, both written once for
+    all slots: every action on a micro-batch reads its source and makes all columns again.
     """
     def fire(batch: DataFrame, batch_id: int) -> None:
+        also = ()
+        if anchored:
+            batch = stage(batch.select(*KEY, "phase", "hhmm", "seq", "price", "turnover"), "slot-ticks")
+            also = (stage(session_anchors(batch), "slot-anchors"),)
         minutes = {slot: conf["time"] for slot, conf in SLOTS.items()}
         seen = batch.agg(*[F.max((F.col("hhmm") == t).cast("int")).alias(s) for s, t in minutes.items()]).first()
         for slot in minutes:
             if seen[slot]:
-                run(batch, slot).write.mode("overwrite").parquet(f"{out}/slot={slot}/batch={batch_id}")
+                run(batch, slot, *also).write.mode("overwrite").parquet(f"{out}/slot={slot}/batch={batch_id}")
 
     return fire
 

@@ -144,3 +144,23 @@ def test_slots_fire_on_their_minute(spark, tmp_path):
     fire(ticks_at(spark, [("a", 1, 185, 1.0)]), 1)
     got = spark.read.parquet(out).select("slot", "batch").distinct().collect()
     assert [(str(r.slot), r.batch) for r in got] == [("933", 1)]
+
+
+def test_slots_of_a_batch_share_its_ticks_and_anchors(spark, tmp_path, monkeypatch):
+    """Four slots fire on one batch: its source is read for the stored ticks only (before: by every action of every slot), anchors are made once."""
+    out, reads, made = str(tmp_path / "alerts"), spark.sparkContext.accumulator(0), []
+    batch = ticks_at(spark, [("a", i, m, 1.0 + i) for i, m in enumerate((0, 180, 183, 185, 390, 500, 800, 900))]).coalesce(1)
+
+    def counted(batches):
+        reads.add(1)
+        yield from batches
+
+    real = V.session_anchors
+    monkeypatch.setattr(V, "session_anchors", lambda ticks: made.append(1) or real(ticks))
+    monkeypatch.setattr(V, "SLOTS", {s: {"time": at} for s, at in zip("wxyz", [r.hhmm for r in batch.select("hhmm").distinct().sort("hhmm").collect()[-4:]])})
+    V.slot_alerts(lambda ticks, slot, anchors: I.indicators(ticks, V.SLOTS[slot]["time"], resolve=False, anchors=anchors), out, anchored=True)(
+        batch.mapInArrow(counted, batch.schema), 0)
+    assert (reads.value, len(made)) == (1, 1)
+    for slot, conf in V.SLOTS.items():
+        want = I.indicators(batch, conf["time"], resolve=False)
+        assert spark.read.parquet(f"{out}/slot={slot}").drop("batch").collect() == want.collect() != []
