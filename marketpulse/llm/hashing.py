@@ -61,24 +61,38 @@ class Grams:
 
 
 class Sparse:
-    """Rows of (columns, values), with the two products that a gradient needs."""
+    """Rows of (columns, values), with the two products that a gradient needs.
+
+    Products go over runs of rows with about ``RUN`` entries, so that what they hold
+    beside the rows does not grow with them.
+    """
+
+    RUN = 1 << 20
 
     def __init__(self, rows: list[tuple[np.ndarray, np.ndarray]], width: int):
         self.width = width
-        self.columns = np.concatenate([r[0] for r in rows]).astype(np.int32) if rows else np.zeros(0, np.int32)
-        self.values = np.concatenate([r[1] for r in rows]).astype(np.float32) if rows else np.zeros(0, np.float32)
+        self.columns = np.concatenate([r[0] for r in rows]).astype(np.int32, copy=False) if rows else np.zeros(0, np.int32)
+        self.values = np.concatenate([r[1] for r in rows]).astype(np.float32, copy=False) if rows else np.zeros(0, np.float32)
         self.lengths = np.array([len(r[0]) for r in rows], np.int64)
-        self.some = np.flatnonzero(self.lengths)
-        self.starts = (np.cumsum(self.lengths) - self.lengths)[self.some]
+        ends = np.cumsum(self.lengths)
+        cuts = np.unique(np.searchsorted(ends, np.arange(0, len(self.columns), self.RUN), "right")) if len(rows) else np.zeros(0, int)
+        places = np.concatenate([[0], ends])
+        self.runs = [(i, j, int(places[i]), int(places[j])) for i, j in zip(cuts.tolist(), [*cuts[1:].tolist(), len(rows)])]
 
     def dot(self, w: np.ndarray) -> np.ndarray:
         out = np.zeros(len(self.lengths))
-        if len(self.some):
-            out[self.some] = np.add.reduceat(w[self.columns] * self.values, self.starts)
+        for i, j, a, b in self.runs:
+            some = np.flatnonzero(self.lengths[i:j])
+            if len(some):
+                starts = (np.cumsum(self.lengths[i:j]) - self.lengths[i:j])[some]
+                out[i + some] = np.add.reduceat(w[self.columns[a:b]] * self.values[a:b], starts)
         return out
 
     def sums(self, of_rows: np.ndarray) -> np.ndarray:
-        return np.bincount(self.columns, np.repeat(of_rows, self.lengths) * self.values, self.width)
+        out = np.zeros(self.width)
+        for i, j, a, b in self.runs:
+            out += np.bincount(self.columns[a:b], np.repeat(of_rows[i:j], self.lengths[i:j]) * self.values[a:b], self.width)
+        return out
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:

@@ -185,3 +185,22 @@ def test_quality_of_odd_rows(odd, nothing):  # noqa: F811
     assert scored.columns == [*odd.columns, "quality_score_"] and scored.count() == odd.count()
     assert quality.quality_filter(odd).columns == odd.columns
     assert quality.quality_filter(nothing).count() == 0
+
+
+def test_products_of_a_fit_hold_a_bounded_part_of_its_rows():
+    """Beside the rows a step holds what RUN entries need (before: several arrays as long as all entries, 48 MB here)."""
+    import tracemalloc
+
+    r = np.random.default_rng(3)
+    sizes = [0, 0, 3 * hashing.Sparse.RUN, 0, 1, *r.integers(0, 3000, 400), 0]
+    rows = [(r.integers(0, 500, n).astype("<i4"), r.random(n).astype("<f4")) for n in sizes]
+    one, w, of_rows = hashing.Sparse(rows, 500), r.random(500), r.random(len(rows))
+    np.testing.assert_allclose(one.dot(w), [(w[c] * v).sum() for c, v in rows], rtol=1e-9)
+    np.testing.assert_allclose(one.sums(of_rows), sum(np.bincount(c, x * v, 500) for (c, v), x in zip(rows, of_rows)), rtol=1e-9)
+    even = hashing.Sparse([(np.arange(1000, dtype="<i4") % 500, np.ones(1000, "<f4"))] * 6000, 500)
+    tracemalloc.start()
+    even.sums(even.dot(w))
+    held = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert held < 40 * hashing.Sparse.RUN
+    assert hashing.Sparse([], 5).dot(np.ones(5)).shape == (0,) and hashing.Sparse([], 5).sums(np.zeros(0)).tolist() == [0.0] * 5
