@@ -15,8 +15,10 @@ Lists are compared by ``components.link_lists``, which loses no link. Before its
 round, in which the pairs of a list are compared, nodes that are still in lists with
 several components are listed anew, by the rarest hashes of their full sets: linked
 sets share three quarters of the larger one, so all but the last of these are left
-out, and sets that share half or two thirds of their text no longer meet. What is
-compared is first estimated from the smallest K of the union of two sketches. Hashes
+out, and sets that share half or two thirds of their text no longer meet. A pair is
+taken only where the values that both sides have left in the lists' order can still add up to
+what linked sets of their sizes share, so sets that changed in different places are no pairs.
+What is compared is first estimated from the smallest K of the union of two sketches. Hashes
 are stored with their top bit flipped, so that signed longs have the order of the
 unsigned hashes.
 
@@ -102,12 +104,31 @@ def _postings(nodes: DataFrame) -> DataFrame:
 
 
 def _full_postings(nodes: DataFrame, sets: DataFrame) -> DataFrame:
-    """Rows (value, node, n) of the nodes (node, n): each under the rarest values of its full set, all but those that a linked set must share beyond one."""
+    """Rows (value, node, n, left, short) of the nodes (node, n): each under the rarest values of its full set, all but those that a linked set must share beyond one.
+
+    Values have one order for all nodes, and ``left`` are the shared ones of this node that come after. ``short`` marks
+    values that do for linked sets of at least this size, which share six in seven of this one.
+    """
     each = nodes.join(sets, "node").select("node", "n", F.explode("values").alias("value"))
     shared = each.groupBy("value").agg(F.count("*").alias("held")).where("held > 1")
     rare = (each.join(shared, "value").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("held", "value"))).alias("values"))
-            .withColumn("listed", F.size("values") - F.ceil(F.col("n") * NUM / DEN).cast("int") + 1).where("listed > 0"))
-    return rare.select("node", "n", F.explode(F.slice("values", 1, F.col("listed"))["value"]).alias("value"))
+            .withColumn("shared", F.size("values")).withColumn("listed", F.col("shared") - F.ceil(F.col("n") * NUM / DEN).cast("int") + 1).where("listed > 0"))
+    placed = rare.select("node", "n", "shared", F.posexplode(F.slice("values", 1, F.col("listed"))["value"]).alias("place", "value"))
+    left = F.col("shared") - F.col("place") - 1
+    return placed.select("value", "node", "n", left.alias("left"), ((left + 1) * (NUM + DEN) >= F.col("n") * (2 * NUM)).alias("short"))
+
+
+def _full_pairs(lists: DataFrame) -> DataFrame:
+    """Pairs (a, b) in different components that may be linked, of lists (value, node, n, left, short, root).
+
+    Linked sets share NUM / (NUM + DEN) of their sizes' sum, and no more than one value and what is left after it on
+    either side where they meet first. A larger set needs a smaller one's short values only.
+    """
+    x, y = ([F.col("node").alias(f"node_{s}"), F.col("n").alias(f"n_{s}"), F.col("left").alias(f"left_{s}"), F.col("root").alias(f"root_{s}"), "value"] for s in "xy")
+    enough = (F.least("left_x", "left_y") + 1) * (NUM + DEN) >= (F.col("n_x") + F.col("n_y")) * NUM
+    larger = (F.col("n_x") > F.col("n_y")) | ((F.col("n_x") == F.col("n_y")) & (F.col("node_x") > F.col("node_y")))
+    pairs = lists.select(*x).join(lists.where("short").select(*y), "value").where((F.col("root_x") != F.col("root_y")) & larger & enough)
+    return pairs.select(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b")).distinct()
 
 
 def _alike(a: str, b: str) -> Column:
@@ -139,7 +160,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                   .dropDuplicates(["node"]).select("node", "n", "sketch", "id", "print"), "nodes")
     postings = stage(_postings(nodes), "postings")
     sets = stage(_full_sets(docs, nodes.join(postings.select("node").distinct(), "node"), id_col, text_col, size), "sets")
-    labels = link_lists(postings, lambda pairs: _linked(pairs, nodes, sets), NUM, DEN, finer=lambda open_: _full_postings(open_, sets))
+    labels = link_lists(postings, lambda pairs: _linked(pairs, nodes, sets), NUM, DEN, finer=lambda open_: _full_postings(open_, sets), finer_pairs=_full_pairs)
     labels = stage(some.select("node", F.col("best")["id"].alias("first"), F.col("best")["no_id"].alias("no_id")).join(labels, "node", "left")
                    .select("node", "first", "no_id", F.coalesce("root", "node").alias("root")), "labels")
     firsts = stage(labels.groupBy("root").agg(F.min(F.struct("no_id", "first"))["first"].alias("component_id")), "firsts")

@@ -162,6 +162,29 @@ def test_full_postings_list_every_linked_pair_together(spark):
     assert not any(a < 60 and b < 60 for a, b in met)
 
 
+def test_copies_changed_in_different_places_are_not_paired(spark, monkeypatch):
+    """Members share most of a base but lost different parts: lists hold them all, and pairs that can't be linked are not compared."""
+    rng = np.random.default_rng(11)
+    rows = []
+    for k in range(160):
+        words = [f"b{i}" for i in range(200)]
+        for j in rng.choice(40, 2 + k % 5, replace=False):
+            words[5 * j] = f"x{k}_{j}"
+        rows.append((k, " ".join(words)))
+    compared, linked = [], neardup._linked
+
+    def counted(pairs, nodes, sets):
+        compared.append(pairs.count())
+        return linked(pairs, nodes, sets)
+
+    monkeypatch.setattr(neardup, "_linked", counted)
+    got = neardup.near_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = groups_by_hand(rows)
+    assert 20 < len({c for _, _, c in want}) < 140
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == want
+    assert compared[-1] < 3000
+
+
 def test_alike_keeps_all_linked_pairs(spark):
     rng = np.random.default_rng(4)
     rows = []
