@@ -46,6 +46,13 @@ MOST_CACHED = 150_000
 TOUCHING = ("  ", " \n", "\n ", " \t", "\t ", " \r", "\r ")
 
 
+def special_strings(path: str) -> list[str]:
+    """The strings of a tokenizer's special tokens."""
+    from tokenizers import Tokenizer
+
+    return [t.content for t in Tokenizer.from_file(path).get_added_tokens_decoder().values()]
+
+
 class WordIds:
     """Token ids of texts, as little-endian bytes, by a bounded cache of words.
 
@@ -54,23 +61,31 @@ class WordIds:
     The words of a batch that are not cached are encoded as one string and cut by
     the tokens' byte lengths. ``ranks`` is the vocabulary of ``path`` as base64
     lines, for the faster of the two libraries; a text that holds a special token's
-    string goes to the tokenizer itself.
+    string goes to the tokenizer itself, which is loaded for the first such text.
     """
 
-    def __init__(self, path: str, ranks: str):
+    def __init__(self, path: str, ranks: str, special: list[str] | None = None):
         import tiktoken
         from public_tokenizers import PATTERN
-        from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.path, self.slow = path, None
+        self.special = special_strings(path) if special is None else special
         with open(ranks, "rb") as lines:
             table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        self.size = np.zeros(max(table.values()) + 1, np.int64)
-        self.size[list(table.values())] = [len(x) for x in table]
+        self.size = np.zeros(max(table.values()) + 1, np.int32)
+        for token, i in table.items():
+            self.size[i] = len(token)
         self.fast = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=table, special_tokens={})
         self.cached: dict[str, bytes] = {}
 
+    @property
+    def tokenizer(self):
+        if self.slow is None:
+            from tokenizers import Tokenizer
+
+            self.slow = Tokenizer.from_file(self.path)
+        return self.slow
+
     def whole(self, text: str) -> bytes:
         if any(x in text for x in self.special):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -108,12 +123,13 @@ def token_pieces(docs: DataFrame, tokenizer: str, ranks: str, capacity: int = CA
     """Rows (id, piece, start, length, ids_crc32) and, if asked for, the token ids."""
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
+    special = special_strings(tokenizer)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordIds(tokenizer, ranks)
+        words = WordIds(tokenizer, ranks, special)
         tail = np.array([end_token], "<u4").tobytes()
         for whole in batches:
-            for batch in byte_slices(whole, "text", 4 << 20):
+            for batch in byte_slices(whole, "text", 1 << 20):
                 rows, taken = [], []
                 texts = batch.column("text").to_pylist()
                 for i, data in enumerate(words.encode([t or "" for t in texts])):

@@ -128,6 +128,34 @@ def test_overlapping_sources_share_documents(spark):
     assert got.copies.tolist() == [1] * 900
 
 
+def test_tokens_are_made_of_small_slices(spark, monkeypatch):
+    """A worker holds the words of about a megabyte of text, and no second tokenizer for texts without special strings."""
+    import pyarrow as pa
+
+    class Rows:
+        schema = spark.createDataFrame([], "doc_id long, text string").schema
+
+        def select(self, *columns):
+            return self
+
+        def mapInArrow(self, run, schema):
+            return run
+
+    seen, encode = [], packing.WordIds.encode
+
+    def noted(words, texts):
+        out = encode(words, texts)
+        seen.append((sum(map(len, texts)), words.slow))
+        return out
+
+    monkeypatch.setattr(packing.WordIds, "encode", noted)
+    run = packing.token_pieces(Rows(), *tokenizer_files())
+    batch = pa.RecordBatch.from_pydict({"id": list(range(2000)), "text": [f"plain words of text {i} " * 50 for i in range(2000)]})
+    pieces = sum(b.num_rows for b in run(iter([batch])))
+    assert pieces >= 2000 and sum(n for n, _ in seen) == sum(map(len, batch.column("text").to_pylist()))
+    assert max(n for n, _ in seen) <= 1 << 20 and not any(slow for _, slow in seen)
+
+
 # ---- packing ----
 
 def test_token_bytes_equal_the_tokenizer(odd):  # noqa: F811
