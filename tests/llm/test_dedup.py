@@ -266,6 +266,20 @@ def test_remove_repeats(spark, odd, nothing, monkeypatch, shard):
 
 # ---- lines ----
 
+def test_edits_by_hand():
+    """Against a table filled row by row, on drawn lines of few and many characters, empty ones and ones beyond a machine word."""
+    rng = np.random.default_rng(6)
+    for k in range(300):
+        letters, size = 1 + k % 7, int(rng.integers(0, 30 if k % 2 else 200))
+        x = rng.integers(97, 97 + letters, size).astype(np.uint32)
+        y = np.concatenate([c for c in np.split(x, np.sort(rng.integers(0, size + 1, k % 9))) for c in (c[int(rng.integers(0, 2)):], rng.integers(97, 105, int(rng.integers(0, 3))))]).astype(np.uint32)
+        row = np.arange(len(y) + 1)
+        for i, c in enumerate(x):
+            step = np.concatenate([[i + 1], np.minimum(row[1:] + 1, row[:-1] + (y != c))])
+            row = np.minimum.accumulate(step - np.arange(len(y) + 1)) + np.arange(len(y) + 1)
+        assert lines._edits(x, y) == lines._edits(y, x) == row[-1]
+
+
 def lines_by_hand(spark, df):
     """Kept lines, from the operator's own normal form, all pairs compared by edit distance alone."""
     rows = lines.document_lines(df, "doc_id", "text").where(F.char_length("normal") >= lines.MIN_CHARS).select("id", "line", "normal").collect()
