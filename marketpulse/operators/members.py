@@ -47,11 +47,14 @@ def member_ranking(scored: DataFrame, key: str = "score", descending: bool = Tru
                    by: Sequence[str] = ("trade_date", "group_id")) -> DataFrame:
     """Members of each group by a chosen key; ties by score, then code.
 
-    All members are sorted before the cut; ``limit`` is clamped to 1..50.
+    All members are sorted before the cut; ``limit`` is clamped to 1..50. Only the score
+    rests on sums and is compared in steady digits; the other figures come from a
+    member's own prices, alike on every run, and are compared as they are.
     """
     if key not in SORT_KEYS:
         raise ValueError(f"unsupported sort key: {key}")
-    first = R.steady(key).desc() if descending else R.steady(key).asc()
+    figure = R.steady(key) if key == "score" else F.col(key)
+    first = figure.desc() if descending else figure.asc()
     n = max(1, min(int(limit), MAX_RANKING))
     return R.top_per_group(scored, by, [first, R.steady("score").desc(), F.col("code").asc()], n)
 

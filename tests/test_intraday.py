@@ -1,9 +1,11 @@
 from datetime import date, datetime
 
 import pytest
+from pyspark.sql import functions as F
 
 from marketpulse.operators import intraday as I
 from marketpulse.operators import latest as L
+from marketpulse.operators import members as P
 from marketpulse.plans import dashboards as B
 from marketpulse.schemas import TICKS
 
@@ -104,3 +106,17 @@ def test_drilldown_sorts_before_cutting(spark):
     got = sorted(B.member_drilldown(ticks, members, names, key="speed", limit=10).collect(), key=lambda r: r.pos)
     assert [r.code for r in got] == [f"c{i:02d}" for i in range(11, 1, -1)]
     assert {r.member_count for r in got} == {12} and got[0].name == ""
+
+
+def test_ranking_tells_figures_apart_beyond_nine_digits(rows):
+    near = 1.0 + 2e-10
+    scored = rows([(D, "g", "a", 1.0, 1.0, 3.0), (D, "g", "b", near, near, 2.0), (D, "g", "c", near, 1.0, 1.0), (D, "g", "d", 0.5, 2.0, 9.0)],
+                  "trade_date date, group_id string, code string, speed double, change_ratio double, score double")
+
+    def order(*how):
+        return [r.code for r in sorted(P.member_ranking(scored, *how).collect(), key=lambda r: r.pos)]
+
+    assert order("speed") == ["b", "c", "a", "d"]
+    assert order("change_ratio", False) == ["a", "c", "b", "d"]
+    steady = scored.withColumn("score", F.when(F.col("code") == "b", 3.0 + 1e-12).otherwise(F.col("score")))
+    assert [r.code for r in sorted(P.member_ranking(steady).collect(), key=lambda r: r.pos)] == ["d", "a", "b", "c"]
