@@ -249,6 +249,23 @@ def test_suffix_array_and_prefixes():
             assert m == next((k for k in range(21) if k == 20 or a[k:k + 1] != b[k:k + 1] or not a[k:k + 1]), 20)
 
 
+def test_slices_carry_only_the_documents_of_their_entries():
+    """What a slice holds grows with its entries, however many documents the shards have."""
+    rng = np.random.default_rng(4)
+    lengths = rng.integers(0, 40, 3000)
+    starts, ids = np.cumsum(lengths) - lengths, rng.permutation(3000).astype(np.int64)
+    places = np.sort(rng.choice(lengths.sum(), 500, replace=False))
+    hashes = rng.integers(0, 1 << 63, 500).astype(np.uint64)
+    rows = list(substrings._sliced(7, ids, starts, hashes, [places, hashes], 100))
+    found = {}
+    for row in rows:
+        assert len(row[2]) == len(row[3]) <= 2 * len(row[4])
+        shard, doc, place, one = substrings._gathered([row])
+        found |= {p: (s, d, h) for s, d, p, h in zip(shard.tolist(), doc.tolist(), place.tolist(), one.tolist())}
+    owner = np.repeat(ids, lengths)
+    assert found == {p: (7, int(owner[p]), h) for p, h in zip(places.tolist(), hashes.tolist())}
+
+
 @pytest.mark.parametrize("shard", [3000, substrings.SHARD_BYTES])
 def test_remove_repeats(spark, odd, nothing, monkeypatch, shard):
     monkeypatch.setattr(substrings, "SHARD_BYTES", shard)
