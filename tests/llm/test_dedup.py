@@ -346,6 +346,24 @@ def test_line_groups(spark, odd, nothing):
     assert lines.line_dedup(nothing).count() == lines.line_counts(nothing).count() == 0
 
 
+def test_nodes_are_listed_under_all_shared_grams(spark):
+    """Two nodes that share only their commonest gram meet, also where the list is long, unless their lengths rule a link out."""
+    far = lambda n: [((1000 * n + k) << 2) + 1 for k in range(15)]
+    made = [(0, 100, [*far(1), 5]), (1, 90, [*far(2), 5]), (2, 100, far(1)), (3, 90, far(2)), (4, 60, [5])]
+    for extra in (0, 2 * lines.SPLIT):
+        rows = made + [(10 + k, 300, [5]) for k in range(extra)]
+        nodes = spark.createDataFrame(rows, "node long, n int, grams array<long>")
+        listed = [r for i in range(3) for r in lines._postings(nodes, i, 3).collect()]
+        under = {node: {r.value for r in listed if r.node == node} for node in range(5)}
+        assert under[0] & under[1] and len(under[0] & under[2]) == len(under[1] & under[3]) == 15
+        assert not extra or not under[0] & under[4]
+    big = spark.createDataFrame([(i, n, [5]) for i, n in enumerate([100, 90, 1000, 900, 69, 63, 200, 180, 30, 27] + [5000] * 40)], "node long, n int, grams array<long>")
+    under = {}
+    for r in lines._postings(big).collect():
+        under.setdefault(r.node, set()).add(r.value)
+    assert all(under[i] & under[i + 1] for i in range(0, 10, 2))
+
+
 def test_lines_with_replaced_words_and_letters_are_found(spark):
     """Of pairs of lines within the edit rule nine in ten at least are one group, whatever their length."""
     rng = np.random.default_rng(7)
