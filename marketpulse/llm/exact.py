@@ -122,11 +122,13 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """The rows that stay, with the columns of ``docs``.
 
     ``row_number() = 1`` is pruned before the shuffle, so a group of copies that
-    holds a third of all rows sends one row per task.
+    holds a third of all rows sends one row per task. The rows are stored with their
+    fingerprints, which filter, single rows and repeated ones all read.
     """
     sha, maybe, place = (free_name(docs, c) for c in ("sha", "maybe", "place"))
     out = []
-    for part, rows in _slices(docs.withColumn(sha, F.sha2(normal_text(text_col), 256)), sha, rows_per_filter):
+    printed = stage(docs.withColumn(sha, F.sha2(normal_text(text_col), 256)), "exact-rows", "zstd")
+    for part, rows in _slices(printed, sha, rows_per_filter):
         marked = _flagged(part, sha, rows, maybe)
         order = Window.partitionBy(sha).orderBy(F.char_length(text_or_empty(text_col)).desc(), F.col(id_col).asc_nulls_last(),
                                                 text_or_empty(text_col))

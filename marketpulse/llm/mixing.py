@@ -34,7 +34,7 @@ from collections import deque
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marketpulse.llm.common import free_name, text_or_empty, words_of
+from marketpulse.llm.common import WORD, free_name, text_or_empty, words_of
 from marketpulse.operators.ranking import ordered_positions
 from marketpulse.staging import stage
 
@@ -204,7 +204,7 @@ def mixed(docs: DataFrame, sources: Column, weights=WEIGHTS, most: int = MOST_PA
                        *(F.col(c).alias(names[c]) for c in extra))
     keyed = docs.withColumns({names["pattern"]: pattern_of(sources), names["size"]: n_words(text_col), names["key"]: order_key(seed, id_col, text_col)})
     part = (F.col(names["key"]) <= F.col(names["end"])).cast("long")
-    copies = F.when(F.col(names["size"]) == 0, F.lit(0).cast("long")).otherwise(F.least(F.lit(most).cast("long"), F.col(names["passes"]) + part))
+    copies = F.when(~text_or_empty(text_col).rlike(WORD), F.lit(0).cast("long")).otherwise(F.least(F.lit(most).cast("long"), F.col(names["passes"]) + part))
     by = [names["pattern"]]
     if (plan.agg(F.sum(F.octet_length(by[0]) + 100)).first()[0] or 0) <= BROADCAST_BYTES:
         plan = F.broadcast(plan)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from conftest import SMALL
 from odd import nothing, odd  # noqa: F401
-from marketpulse.llm import exact, lines, neardup, substrings
+from marketpulse.llm import exact, lines, mixing, neardup, substrings
 from marketpulse.llm.components import components
 from marketpulse.llm.queries import QUERIES
 
@@ -55,6 +55,24 @@ def test_exact_dedup_keeps_one_row_of_each(odd, nothing, rows_per_filter):
     assert exact.exact_dedup(nothing).count() == exact.exact_groups(nothing).count() == 0
 
 
+def plan_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_texts_are_fingerprinted_once(spark, odd):
+    """What filter, single and repeated rows read has the fingerprints stored."""
+    assert "sha2" not in plan_of(exact.exact_dedup(odd))
+
+
+def test_mixture_splits_no_text_again(spark, odd):
+    """Whether a row has words is known without splitting its text; the plan of the mixture has the sizes stored."""
+    docs = spark.createDataFrame([(1, "a b", "x"), (2, " \t\x0b\x0c\r\n", "x"), (3, None, "x"), (4, "", "x"), (5, "\u00a0", "x")], "doc_id long, text string, source string")
+    sized = mixing.mixed(docs, F.array("source"))
+    assert {r.doc_id: r.copies > 0 for r in sized.collect() if r.doc_id in (2, 3, 4)} == {2: False, 3: False, 4: False}
+    assert sum(r["size"] * r.copies for r in sized.collect()) == 3
+    assert "split(" not in plan_of(mixing.mix(docs, F.array("source")))
+
+
 def test_bloom_filter_misses_no_repeat(spark):
     df = spark.range(4000).select(F.sha2((F.col("id") % 3000).cast("string"), 256).alias("sha"))
     marked = exact._flagged(df.withColumn("id", F.monotonically_increasing_id()), "sha", 4000, "maybe").groupBy("sha").agg(
